@@ -38,7 +38,7 @@ class Running:
 
 def chunk_of(ordinal: str | Column, rows: int = CHUNK_ROWS) -> Column:
     ordinal = F.col(ordinal) if isinstance(ordinal, str) else ordinal
-    return F.floor(ordinal / F.lit(rows)).cast("bigint")
+    return F.call_function("div", ordinal.cast("bigint"), F.lit(rows).cast("bigint"))
 
 
 def _value(measure: Running) -> str:
