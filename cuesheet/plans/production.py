@@ -10,8 +10,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from cuesheet.operators import alignment as A
 from cuesheet.operators import assets as X
 from cuesheet.operators import dialogue as D
 from cuesheet.operators import presets as P
@@ -26,7 +27,7 @@ SCRIPT = ["doc_id", "script_id"]
 
 @dataclass(frozen=True)
 class Plan:
-    """Tables of a planned corpus."""
+    """Tables of a planned corpus; ``plan_nodes``, ``contents`` and ``requests`` hold sound documents only."""
 
     nodes: DataFrame
     errors: DataFrame
@@ -63,7 +64,6 @@ def plan(documents: DataFrame, voice_files: DataFrame, voice_directory: str) ->
     voiced = stored(speakers.join(resolved, "voice_name"), "speakers")
     parts = script_parts(nodes, voiced)
     folded = stored(D.items(D.dialogue_lines(parts, SCRIPT), SCRIPT), "items")
-    contents = stored(D.contents(folded, SCRIPT), "contents")
     stray = D.stray_text(folded).select(
         "doc_id", F.col("script_id").alias("node_id"),
         F.lit("Scripts may begin only with a recognized `speaker:` stanza").alias("message"),
@@ -72,14 +72,18 @@ def plan(documents: DataFrame, voice_files: DataFrame, voice_directory: str) ->
         "doc_id", "node_id",
         F.concat(F.lit("Voice '"), "voice_name", F.lit("' for speaker '"), "authored_name", F.lit(f"' was not found in {voice_directory}")).alias("message"),
     )
-    errors = (
+    errors = stored(
         V.errors(nodes)
         .select("doc_id", "node_id", F.col("formatted").alias("message"))
         .unionByName(S.speaker_errors(entries).select("doc_id", "node_id", "message"))
         .unionByName(unvoiced)
-        .unionByName(stray)
+        .unionByName(stray),
+        "errors",
     )
-    plan_nodes = V.plan_nodes(nodes)
+    # A document with any error yields nothing further; that is settled before anything costly.
+    broken = errors.select("doc_id").distinct()
+    plan_nodes = stored(V.plan_nodes(nodes).join(broken, "doc_id", "left_anti"), "plan_nodes")
+    contents = stored(D.contents(folded, SCRIPT).join(broken, "doc_id", "left_anti"), "contents")
     return Plan(nodes, errors, voiced, plan_nodes, contents, requests(contents, voiced, plan_nodes))
 
 
@@ -115,34 +119,111 @@ def render(
     return R.run_renderer(numbered.drop("_order"), renderer, schema)
 
 
-def timeline(plan_: Plan, clip_frames: DataFrame, rate: int, max_depth: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Place the scripts, sounds and marks of every production.
+def script_arrays(contents: DataFrame) -> DataFrame:
+    """Each script as one row: its spoken lines and, per inline item, how many lines stand before it.
 
-    ``clip_frames``: doc_id, node_id, frames of the leaves. Scripts with inline items are leaves here
-    unless their slices were added as children before. Returns (placements, trimmed productions).
+    The rows of a script come from one document, which was one cell to begin with.
     """
-    nodes = plan_.plan_nodes
-    has_children = nodes.select("doc_id", F.col("parent_id").alias("node_id")).where("node_id is not null").distinct()
-    tree = (
-        nodes.join(has_children.withColumn("_c", F.lit(True)), ["doc_id", "node_id"], "left")
-        .join(clip_frames, ["doc_id", "node_id"], "left")
+    item = F.struct("content_idx", "kind", "spoken_text")
+    gathered = contents.groupBy(*SCRIPT).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    is_audio = lambda x: x["kind"] == "audio"
+    return gathered.select(
+        *SCRIPT,
+        F.transform(F.filter("items", lambda x: ~is_audio(x)), lambda x: x["spoken_text"]).alias("lines"),
+        # The n-th inline item at place i has i - n lines before it.
+        F.transform(F.filter("items", is_audio), lambda x, n: (x["content_idx"] - n).cast("int")).alias("lines_before"),
+    )
+
+
+def script_markers(contents: DataFrame, clip_frames: DataFrame, rate: int, asr: DataFrame | None = None) -> DataFrame:
+    """Marker frames of scripts with inline items: (doc_id, node_id, markers).
+
+    ``asr``: doc_id, script_id, coarse, fine, words as the alignment operators take them. Without it,
+    and for scripts it lacks, time is shared by token count.
+    """
+    clip = clip_frames.withColumnRenamed("node_id", "script_id")
+    scripts = script_arrays(contents).where(F.size("lines_before") > 0).join(clip, SCRIPT)
+    guessed = scripts.withColumn(
+        "guess", A.fallback_clauses(F.col("lines"), F.col("frames").cast("double") / rate)
+    )
+    if asr is None:
+        aligned = guessed.withColumn("clauses", F.col("guess")).withColumn("words", A.fallback_words(F.col("guess")))
+    else:
+        decided = A.decide(guessed.join(asr, SCRIPT, "left"))
+        lost = F.col("decision") == "fallback"
+        aligned = decided.withColumn("clauses", F.when(lost, F.col("guess")).otherwise(F.col("clauses"))).withColumn(
+            "words", F.when(lost, A.fallback_words(F.col("guess"))).otherwise(F.col("words"))
+        )
+    filled = A.line_spans(aligned).withColumn("filled", A.fill_gaps(F.col("spans")))
+    positions = A.inline_positions(F.col("filled"), F.col("lines_before"))
+    return filled.select(
+        "doc_id", F.col("script_id").alias("node_id"), A.marker_frames(positions, F.col("frames"), rate).alias("markers")
+    )
+
+
+def plan_tree(plan_nodes: DataFrame, clip_frames: DataFrame, markers: DataFrame) -> DataFrame:
+    """Plan tree with string node ids; scripts with inline items become slices and items in turn."""
+    as_text = lambda df: df.withColumn("node_id", F.col("node_id").cast("string"))
+    ids = as_text(plan_nodes).withColumn("parent_id", F.col("parent_id").cast("string"))
+    has_children = (
+        ids.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id")).distinct()
+    ).withColumn("_c", F.lit(True))
+    parents = ids.select("doc_id", F.col("node_id").alias("parent_id"), F.col("tag").alias("_parent_tag"))
+    # Children of one script stem from one document, so this window is small.
+    siblings = Window.partitionBy("doc_id", "parent_id").orderBy("ordinal")
+    own = (
+        ids.join(has_children, ["doc_id", "node_id"], "left")
+        .join(as_text(clip_frames), ["doc_id", "node_id"], "left")
+        .join(parents, ["doc_id", "parent_id"], "left")
         .select(
             F.col("doc_id").alias("production"), "node_id", "parent_id", "depth",
-            F.col("ordinal").cast("bigint").alias("idx"),
-            F.coalesce("_c", F.lit(False)).alias("is_container"),
+            F.when(F.col("_parent_tag") == "script", F.row_number().over(siblings) * 2 - 1)
+            .otherwise(F.col("ordinal")).cast("bigint").alias("idx"),
+            (F.coalesce("_c", F.lit(False)) | (F.col("depth") == 0)).alias("is_container"),
             F.coalesce("frames", F.lit(0)).cast("bigint").alias("frames"),
             "pre_gap", "post_gap",
             # A preset wraps its script and states no length of its own.
             F.when(F.col("preset").isNull(), F.col("length")).alias("length"),
         )
     )
-    placements, summaries = L.compose_tree(stored(tree, "tree"), rate, max_depth)
+    spans = F.transform(
+        F.sequence(F.lit(0), F.size("markers") - 2),
+        lambda k: F.struct(
+            k.alias("k"), F.greatest(F.get("markers", k + 1) - F.get("markers", k), F.lit(0)).alias("frames")
+        ),
+    )
+    slices = (
+        as_text(markers).join(ids.select("doc_id", "node_id", "depth"), ["doc_id", "node_id"])
+        .select("doc_id", "node_id", "depth", F.explode(spans).alias("s"))
+        .select(
+            F.col("doc_id").alias("production"),
+            F.concat_ws("/", "node_id", F.col("s.k").cast("string")).alias("node_id"),
+            F.col("node_id").alias("parent_id"),
+            (F.col("depth") + 1).alias("depth"),
+            (F.col("s.k") * 2).cast("bigint").alias("idx"),
+            F.lit(False).alias("is_container"),
+            F.col("s.frames").cast("bigint").alias("frames"),
+            F.lit(0.0).alias("pre_gap"), F.lit(0.0).alias("post_gap"), F.lit(None).cast("double").alias("length"),
+        )
+    )
+    return own.unionByName(slices)
+
+
+def timeline(
+    plan_: Plan, clip_frames: DataFrame, rate: int, asr: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Place the scripts, slices, sounds and marks of every production.
+
+    ``clip_frames``: doc_id, node_id, frames of rendered scripts and sounds. Returns (placements,
+    trimmed productions). Only the depth of the deepest document comes to the driver.
+    """
+    markers = script_markers(plan_.contents, clip_frames, rate, asr)
+    tree = stored(plan_tree(plan_.plan_nodes, clip_frames, markers), "tree")
+    deepest = tree.agg(F.max("depth")).first()[0]
+    placements, summaries = L.compose_tree(tree, rate, max(deepest or 0, 1))
     return placements, L.trim_to_boundary(summaries.where("depth = 0"), rate)
 
 
 def preset_of(plan_nodes: DataFrame) -> DataFrame:
     """Canonical preset of every script that names one."""
     return plan_nodes.where("preset is not null").select("doc_id", "node_id", P.canonical(F.col("preset")).alias("preset"))
-
-
-__all__ = ["Plan", "plan", "render", "requests", "script_parts", "timeline", "preset_of"]

@@ -24,7 +24,7 @@ ATTRS = {
     13: ' tts="other"',
 }
 INLINE = {0: '<mark id="intro"/>', 1: "<sound/>", 2: '<sound ref="door">window</sound>', 3: "<scene/>"}
-KINDS = 16
+KINDS = 24
 
 
 def production_documents(spark, sf_dir):

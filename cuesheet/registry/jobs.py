@@ -6,22 +6,24 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions import text as T
 from cuesheet.plans import production
-from cuesheet.registry.common import sql_ntok, table
-from cuesheet.registry.documents import production_documents
+from cuesheet.registry.common import LB, sql_ntok, sql_strip, table
+from cuesheet.registry.documents import KINDS, production_documents
 from cuesheet.session import work_path
 from cuesheet.streaming import intake
 
+RATE = 1000
+
 
 def _plan(spark, sf_dir):
-    documents = production_documents(spark, sf_dir)
-    files = table(spark, sf_dir, "conversations").select(F.concat(F.lit("/voices/"), F.substring("role", 1, 1), F.lit(".wav")).alias("path"))
-    # The maps ask for a.wav and b.wav; roles start with a, s and u, so b.wav is missing.
-    return production.plan(documents, files.distinct(), "/voices")
+    """The corpus of documents with the two voices its maps name."""
+    voice = F.when(F.col("role") == "user", "a").when(F.col("role") == "assistant", "b").otherwise("s")
+    files = table(spark, sf_dir, "conversations").select(F.concat(F.lit("/voices/"), voice, F.lit(".wav")).alias("path"))
+    return production.plan(production_documents(spark, sf_dir), files.distinct(), "/voices")
 
 
 def plan_requests(spark, sf_dir):
     return _plan(spark, sf_dir).requests.select(
-        "doc_id", "script_id", "block_no", "tts", "normalized_script", F.array_join(F.transform("voice_samples", lambda v: F.coalesce(v, F.lit("?"))), ",").alias("voices")
+        "doc_id", "script_id", "block_no", "tts", "normalized_script", F.array_join("voice_samples", ",").alias("voices")
     )
 
 
@@ -35,24 +37,24 @@ def plan_timeline(spark, sf_dir):
     spoken = planned.contents.where("kind = 'line'").groupBy("doc_id", F.col("script_id").alias("node_id")).agg(
         (F.sum(T.token_count(F.col("spoken_text"))) * 100).alias("frames")
     )
-    _, trimmed = production.timeline(planned, spoken, 1000)
+    _, trimmed = production.timeline(planned, spoken, RATE)
     return trimmed.select(F.col("production").alias("doc_id"), "final_frames", "lead_frames", "tail_frames")
 
 
 def request_intake(spark, sf_dir):
     """Conversation turns as a stream of requests; equal texts are taken in once."""
-    path = f"{sf_dir.rstrip('/')}/conversations.parquet"
+    path = f"{sf_dir.rstrip('/')}/conversation[s].parquet"
     source = intake.read_requests(spark, path, "conv_id bigint, turn bigint, role string, text string")
     requests = source.select(
         "conv_id", "turn", F.sha2("text", 256).alias("key"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
         (T.token_count(F.col("text")) == 0).alias("empty"),
-        F.timestamp_seconds(F.col("turn") * 60).alias("ts"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60).alias("ts"),
     )
     target = work_path(spark, "intake")
     query = intake.intake(requests, f"{target}/rows", f"{target}/state")
     query.awaitTermination()
-    return intake.accepted(spark, f"{target}/rows").select("key", (F.col("batch_no").isNull()).alias("settled"))
+    return intake.accepted(spark, f"{target}/rows").select("key", F.col("batch_no").isNull().alias("settled"))
 
 
 QUERIES = {
@@ -62,8 +64,29 @@ QUERIES = {
     "request_intake": request_intake,
 }
 
+_SOUND = f"""
+d AS (SELECT *, conv_id * 1000 + turn AS doc_id, (conv_id * 7 + turn) % {KINDS} AS kind FROM conversations),
+x AS (
+  SELECT doc_id, kind, role, list_filter(list_transform(regexp_split_to_array(text, {LB}),
+      lambda x: {sql_strip('x')}), lambda x: x <> '') AS l
+  FROM d WHERE (kind = 0 OR kind > 15) AND role IN ('user', 'assistant')),
+t AS (SELECT *, array_to_string(l, ' ') AS spoken FROM x)"""
 
 ORACLE = {
-    "request_intake": f"""
-SELECT DISTINCT sha256(text) AS key, {sql_ntok('text')} = 0 AS settled FROM conversations""",
+    "plan_requests": f"""WITH {_SOUND}
+SELECT doc_id, 3 AS script_id, 0::BIGINT AS block_no, CASE kind WHEN 0 THEN 'qwen' ELSE 'vibevoice' END AS tts,
+       replace('Speaker 1: ' || spoken, '’', '''') AS normalized_script,
+       CASE role WHEN 'user' THEN '/voices/a.wav' ELSE '/voices/b.wav' END AS voices
+FROM t WHERE len(l) > 0""",
+    "plan_errors": f"""
+WITH d AS (SELECT *, conv_id * 1000 + turn AS doc_id, (conv_id * 7 + turn) % {KINDS} AS kind FROM conversations),
+n AS (
+  SELECT doc_id, CASE WHEN kind BETWEEN 1 AND 15 THEN 1 ELSE 0 END
+         + CASE WHEN role NOT IN ('user', 'assistant') OR kind = 5 THEN 1 ELSE 0 END AS n FROM d)
+SELECT doc_id, n::BIGINT AS n_errors FROM n WHERE n > 0""",
+    "plan_timeline": f"""WITH {_SOUND},
+f AS (SELECT doc_id, kind, {sql_ntok('spoken')} * 100 AS f FROM t)
+SELECT doc_id, CASE kind WHEN 0 THEN greatest(0, 250 + f - 10500) ELSE f END AS final_frames,
+       0::BIGINT AS lead_frames, 0::BIGINT AS tail_frames FROM f""",
+    "request_intake": f"SELECT DISTINCT sha256(text) AS key, {sql_ntok('text')} = 0 AS settled FROM conversations",
 }
