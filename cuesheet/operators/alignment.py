@@ -31,6 +31,16 @@ def let(body, **values: Column) -> Column:
     return F.get(F.transform(bound, lambda v: body(*[v[name] for name in values])), 0)
 
 
+def unfold(rows: DataFrame, keep: list, array: Column, pos: str, item: str) -> DataFrame:
+    """Array elements as rows.
+
+    The plain explode makes the optimizer filter on the array's size below all projections, which
+    repeats whatever computes the array; the outer one does not, and its null rows go afterwards.
+    """
+    exploded = rows.select(*keep, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
+    return exploded.withColumn(pos, F.col(pos).cast("bigint"))
+
+
 def cumulative(counts: Column) -> Column:
     """Running totals with a leading zero: one more entry than the input."""
     return F.aggregate(

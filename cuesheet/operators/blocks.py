@@ -457,31 +457,45 @@ def mix_blocks(placed: DataFrame, keys: list[str], block_frames: int, salts: int
     types = {f.name: f.dataType.simpleString() for f in placed.schema}
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
     names = [*keys, "block_no", "salt"]
+    partial = f"{key_schema}, block_no bigint, salt int, at int, samples array<double>"
 
-    def add_up(batch: pd.DataFrame, by: list[str]) -> list[tuple]:
-        sums: dict[tuple, np.ndarray] = {}
+    def add_up(batch: pd.DataFrame, by: list[str], sums: dict[tuple, np.ndarray]) -> None:
         for row in batch[[*by, "at", "samples"]].itertuples(index=False, name=None):
             *key, at, samples = row
             total = sums.setdefault(tuple(key), np.zeros(block_frames))
             total[at : at + len(samples)] += samples
-        return [(*key, 0, total) for key, total in sums.items()]
+
+    def shown(sums: dict[tuple, np.ndarray], by: list[str]) -> pd.DataFrame:
+        frame = pd.DataFrame([(*key, 0, total) for key, total in sums.items()], columns=[*by, "at", "samples"])
+        return frame if "salt" in by else frame.assign(salt=0)[[*names, "at", "samples"]]
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(add_up(batch, names), columns=[*names, "at", "samples"])
-
-    def salted(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(add_up(batch, names), columns=[*names, "at", "samples"])
-
-    def final(batch: pd.DataFrame) -> pd.DataFrame:
-        done = pd.DataFrame(add_up(batch, names[:-1]), columns=[*names[:-1], "at", "samples"])
-        return done[[*names[:-1], "samples"]]
-
-    partial = f"{key_schema}, block_no bigint, salt int, at int, samples array<double>"
-    return (
-        pieces.mapInPandas(per_batch, partial)
-        .groupBy(*names)
-        .applyInPandas(salted, partial)
-        .groupBy(*keys, "block_no")
-        .applyInPandas(final, f"{key_schema}, block_no bigint, samples array<double>")
-    )
+            sums: dict[tuple, np.ndarray] = {}
+            add_up(batch, names, sums)
+            yield shown(sums, names)
+
+    def merge(by: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        """Sums of rows that arrive sorted: only the last block is held back between batches."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[tuple, np.ndarray] = {}
+            for batch in batches:
+                if not len(batch):
+                    continue
+                add_up(batch, by, held)
+                last = next(reversed(held))
+                ready = {key: total for key, total in held.items() if key != last}
+                held = {last: held[last]}
+                if ready:
+                    yield shown(ready, by)
+            if held:
+                yield shown(held, by)
+
+        return run
+
+    def summed(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.repartition(*by).sortWithinPartitions(*by).mapInPandas(merge(by), partial)
+
+    combined = pieces.mapInPandas(per_batch, partial)
+    return summed(summed(combined, names), names[:-1]).select(*keys, "block_no", "samples")

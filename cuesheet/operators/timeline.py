@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cuesheet.functions.timing import overrides, to_frames, to_seconds, truncated_frame
 from cuesheet.operators.scans import CHUNK_ROWS, Running, attach, chunk_of, running
-from cuesheet.session import cut_lineage
+from cuesheet.session import cut_lineage, stored
 
 FRAME_BLOCK = 65_536
 CHECKPOINT_LEVELS = 3
@@ -103,7 +103,6 @@ def compose_tree(nodes: DataFrame, rate: int, max_depth: int) -> tuple[DataFrame
     ``frames`` (leaves), ``pre_gap``, ``post_gap``, ``length``. Returns (placements, summaries); the
     root's own summary is the one with depth 0. The loop runs over depth, never over rows.
     """
-    spark = nodes.sparkSession
     keys = ["production", "parent_id"]
     placed_levels: dict[int, DataFrame] = {}
     summary_levels: dict[int, DataFrame] = {}
@@ -112,29 +111,26 @@ def compose_tree(nodes: DataFrame, rate: int, max_depth: int) -> tuple[DataFrame
         level = nodes.where(F.col("depth") == depth)
         if below is not None:
             level = _with_results(level, below)
-        placed = place(level, keys, rate)
-        summary = summarise(placed, keys, rate).withColumnRenamed("parent_id", "node_id")
+        # Each level is read several times below; a stored table keeps the plans from nesting.
+        placed = stored(place(level, keys, rate), "placed")
         placed_levels[depth] = placed
-        below = summary.withColumn("depth", F.lit(depth - 1))
-        if (max_depth - depth) % CHECKPOINT_LEVELS == CHECKPOINT_LEVELS - 1:
-            below = cut_lineage(below)
+        below = summarise(placed, keys, rate).withColumnRenamed("parent_id", "node_id").withColumn(
+            "depth", F.lit(depth - 1)
+        )
         summary_levels[depth - 1] = below
     absolute: DataFrame | None = None
     placements: list[DataFrame] = []
     for depth in range(1, max_depth + 1):
         parents = summary_levels[depth - 1].select(
-            "production", F.col("node_id").alias("parent_id"), "min_start"
+            "production", F.col("node_id").alias("parent_id"), F.col("min_start").alias("_min")
         )
-        if absolute is not None:
-            parents = parents.join(
-                absolute.where("is_container").select(
-                    "production", F.col("node_id").alias("parent_id"), "abs_start"
-                ),
-                keys,
-            )
+        if absolute is None:
+            parents = parents.withColumn("_base", F.lit(0).cast("bigint"))
         else:
-            parents = parents.withColumn("abs_start", F.lit(0).cast("bigint"))
-        parents = parents.withColumnRenamed("abs_start", "_base").withColumnRenamed("min_start", "_min")
+            bases = absolute.where("is_container").select(
+                "production", F.col("node_id").alias("parent_id"), F.col("abs_start").alias("_base")
+            )
+            parents = parents.join(bases, keys)
         joined = attach(placed_levels[depth], parents, keys, chunk_of("idx"))
         absolute = joined.withColumn("abs_start", F.col("_base") + F.col("start_frame") - F.col("_min")).drop(
             "_base", "_min"

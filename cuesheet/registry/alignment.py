@@ -8,6 +8,7 @@ from cuesheet.functions import text as T
 from cuesheet.functions.timing import clean_zero
 from cuesheet.operators import alignment as A
 from cuesheet.registry.common import LB, RATE, documents, sql_round, sql_strip, table
+from cuesheet.session import stored
 
 STEP = 0.4
 SECONDS = 0.0314159265358979
@@ -77,12 +78,11 @@ def _timed(name):
 
 def fallback_clauses(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "n_chars", T.stripped_lines(F.col("text")).alias("lines"))
-    clauses = docs.select(
-        "doc_id", F.posexplode(A.fallback_clauses(F.col("lines"), F.col("n_chars") * F.lit(SECONDS))).alias("line_no", "c")
-    )
+    shared = A.fallback_clauses(F.col("lines"), F.col("n_chars") * F.lit(SECONDS))
+    clauses = A.unfold(docs, ["doc_id"], shared, "line_no", "c")
     return clauses.select(
         "doc_id",
-        F.col("line_no").cast("bigint").alias("line_no"),
+        "line_no",
         clean_zero(F.col("c.start"), 6).alias("start_s"),
         clean_zero(F.col("c.end"), 6).alias("end_s"),
     )
@@ -91,10 +91,10 @@ def fallback_clauses(spark, sf_dir):
 def fallback_words(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "n_chars", T.stripped_lines(F.col("text")).alias("lines"))
     clauses = docs.select("doc_id", A.fallback_clauses(F.col("lines"), F.col("n_chars") * F.lit(SECONDS)).alias("c"))
-    words = clauses.select("doc_id", F.posexplode(A.fallback_words(F.col("c"))).alias("pos", "w"))
+    words = A.unfold(clauses, ["doc_id"], A.fallback_words(F.col("c")), "pos", "w")
     return words.select(
         "doc_id",
-        F.col("pos").cast("bigint").alias("pos"),
+        "pos",
         F.col("w.text").alias("token"),
         clean_zero(F.col("w.start"), 5).alias("start_s"),
         clean_zero(F.col("w.end"), 5).alias("end_s"),
@@ -108,9 +108,9 @@ def word_tokens(spark, sf_dir):
         "pieces",
         lambda p, i: F.struct(p.alias("text"), (i * F.lit(0.5)).alias("start"), ((i + 1) * F.lit(0.5)).alias("end")),
     )
-    tokens = docs.select("doc_id", F.posexplode(A.word_tokens(words)).alias("pos", "t"))
+    tokens = A.unfold(docs, ["doc_id"], A.word_tokens(words), "pos", "t")
     return tokens.select(
-        "doc_id", F.col("pos").cast("bigint").alias("pos"), "t.token", F.col("t.start").alias("start_s"), F.col("t.end").alias("end_s")
+        "doc_id", "pos", "t.token", F.col("t.start").alias("start_s"), F.col("t.end").alias("end_s")
     )
 
 
@@ -119,9 +119,9 @@ def exact_clauses(spark, sf_dir):
     found = A.with_offsets(scripts(spark, sf_dir), "coarse")
     args = [F.col("line_ends"), F.col("clause_ranges")]
     spans = F.when(A.is_exact(*args), A.exact_spans(F.col("line_tokens"), *args))
-    return found.select("doc_id", F.posexplode(spans).alias("line_no", "s")).select(
+    return A.unfold(found, ["doc_id"], spans, "line_no", "s").select(
         "doc_id",
-        F.col("line_no").cast("bigint").alias("line_no"),
+        "line_no",
         clean_zero(F.col("s.start"), 6).alias("start_s"),
         clean_zero(F.col("s.end"), 6).alias("end_s"),
     )
@@ -133,7 +133,8 @@ def alignment_decision(spark, sf_dir):
 
 
 def fine_stage(spark, sf_dir):
-    return A.needs_fine_stage(scripts(spark, sf_dir)).select("doc_id", F.size("lines").cast("bigint").alias("n_lines"))
+    inputs = stored(scripts(spark, sf_dir).select("doc_id", "lines", "coarse"), "scripts")
+    return A.needs_fine_stage(inputs).select("doc_id", F.size("lines").cast("bigint").alias("n_lines"))
 
 
 def _spans(spark, sf_dir):
@@ -142,13 +143,11 @@ def _spans(spark, sf_dir):
 
 def line_spans(spark, sf_dir):
     spans = _spans(spark, sf_dir).withColumn("filled", A.fill_gaps(F.col("spans")))
-    both = spans.select(
-        "doc_id", "decision", F.posexplode(F.arrays_zip("spans", "filled")).alias("line_no", "s")
-    )
+    both = A.unfold(spans, ["doc_id", "decision"], F.arrays_zip("spans", "filled"), "line_no", "s")
     return both.select(
         "doc_id",
         "decision",
-        F.col("line_no").cast("bigint").alias("line_no"),
+        "line_no",
         clean_zero(F.col("s.spans.start"), 6).alias("raw_start"),
         clean_zero(F.col("s.spans.end"), 6).alias("raw_end"),
         clean_zero(F.col("s.filled.start"), 6).alias("start_s"),
@@ -162,10 +161,10 @@ def greedy_align(spark, sf_dir):
         A.line_tokens(F.col("lines")).alias("lt"),
         F.concat(F.lit(" "), F.array_join(F.transform("words", lambda w: w["text"]), " "), F.lit(" ")).alias("joined"),
     )
-    hits = prepared.select("doc_id", F.posexplode(A.greedy_hits(F.col("lt"), F.col("joined"))).alias("line_no", "h"))
+    hits = A.unfold(prepared, ["doc_id"], A.greedy_hits(F.col("lt"), F.col("joined")), "line_no", "h")
     return hits.select(
         "doc_id",
-        F.col("line_no").cast("bigint").alias("line_no"),
+        "line_no",
         F.col("h.first").cast("bigint").alias("first_token"),
         F.col("h.last").cast("bigint").alias("last_token"),
     )
@@ -183,15 +182,14 @@ def _positions(spark, sf_dir):
 
 
 def inline_positions(spark, sf_dir):
-    rows = _positions(spark, sf_dir).select("doc_id", F.posexplode("positions").alias("item_no", "p"))
-    return rows.select("doc_id", F.col("item_no").cast("bigint").alias("item_no"), clean_zero(F.col("p"), 6).alias("start_s"))
+    rows = A.unfold(_positions(spark, sf_dir), ["doc_id"], F.col("positions"), "item_no", "p")
+    return rows.select("doc_id", "item_no", clean_zero(F.col("p"), 6).alias("start_s"))
 
 
 def marker_frames(spark, sf_dir):
-    marked = _positions(spark, sf_dir).select(
-        "doc_id", F.posexplode(A.marker_frames(F.col("positions"), F.col("frames"), RATE)).alias("marker_no", "frame")
-    )
-    return marked.select("doc_id", F.col("marker_no").cast("bigint").alias("marker_no"), "frame")
+    frames = A.marker_frames(F.col("positions"), F.col("frames"), RATE)
+    marked = A.unfold(_positions(spark, sf_dir), ["doc_id"], frames, "marker_no", "frame")
+    return marked.select("doc_id", "marker_no", "frame")
 
 
 def token_run_match(spark, sf_dir):

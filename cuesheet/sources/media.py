@@ -1,4 +1,4 @@
-"""Listings of voice and sound files. Only paths are read, never the contents."""
+"""Listings of voice and sound files. Only paths are read, never the contents; empty files do not count."""
 
 from __future__ import annotations
 
