@@ -12,9 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cuesheet.functions import text as T
+from cuesheet.operators.scans import is_bounded
+from cuesheet.session import stored
 
 SPAN = "struct<start: double, end: double>"
 SHINGLE = 8
+BROADCAST_KEYS = 200_000
 
 
 def _number(value: float) -> Column:
@@ -393,31 +396,35 @@ def token_runs(texts: DataFrame, text_id: str, runs: DataFrame, run_id: str, sal
     keyed = distinct.select(
         "run", width.alias("_w"), F.xxhash64(F.slice("run", 1, width)).alias("_key")
     )
-    # At most SHINGLE different widths exist, so this array is bounded whatever the data.
-    widths = keyed.agg(F.collect_set("_w").alias("w")).select(F.coalesce("w", F.expr("array(0)"))).scalar()
+    # At most SHINGLE different numbers, whatever the data.
+    widths = [row["_w"] for row in keyed.select("_w").distinct().collect()]
     needles = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    long = texts.select(text_id, T.tokens(F.col("text")).alias("_tokens"), widths.alias("_widths"))
-    shingles = (
-        long.select(
-            text_id,
-            "_tokens",
-            F.explode("_widths").alias("_w"),
+    keys = keyed.select("_w", "_key").distinct()
+
+    def shingle_keys(found: Column, sizes: Column) -> Column:
+        at = lambda w: F.when(F.size(found) >= w, F.sequence(F.lit(1), F.size(found) - w + 1)).otherwise(
+            F.array().cast("array<int>")
         )
-        .where((F.col("_w") > 0) & (F.size("_tokens") >= F.col("_w")))
-        .select(
-            text_id,
-            F.col("_w"),
-            F.posexplode(
-                F.transform(
-                    F.sequence(F.lit(1), F.size("_tokens") - F.col("_w") + 1),
-                    lambda i: F.xxhash64(F.slice("_tokens", i, F.col("_w"))),
-                )
-            ).alias("pos", "_key"),
+        of_width = lambda w: F.transform(
+            at(w),
+            lambda i: F.struct(w.alias("_w"), (i - 1).alias("pos"), F.xxhash64(F.slice(found, i, w)).alias("_key")),
         )
+        return F.flatten(F.transform(sizes, of_width))
+
+    sizes = F.array(*[F.lit(w) for w in widths]).cast("array<int>")
+    long = texts.select(text_id, let(shingle_keys, found=T.tokens(F.col("text")), sizes=sizes).alias("_all"))
+    # The outer explode keeps the optimizer from computing the shingles again for a size filter.
+    shingles = (
+        long.select(text_id, F.explode_outer("_all").alias("_s"))
+        .select(text_id, "_s._w", "_s.pos", "_s._key")
+        .where("_key is not null")
         .withColumn("_salt", F.pmod(F.hash(text_id), F.lit(salts)))
     )
-    candidates = shingles.join(needles, ["_w", "_key", "_salt"]).select(text_id, "pos", "run")
-    # The texts come back by id; there are no more candidates per text than it has tokens times runs.
+    # Few keys are broadcast first, so that shingles without a partner never travel.
+    if is_bounded(keys, BROADCAST_KEYS):
+        shingles = shingles.join(F.broadcast(keys), ["_w", "_key"], "left_semi")
+    # Stored, so that Spark knows their size when the texts come back by id to be compared in full.
+    candidates = stored(shingles.join(needles, ["_w", "_key", "_salt"]).select(text_id, "pos", "run"), "candidates")
     whole = candidates.join(texts.select(text_id, T.tokens(F.col("text")).alias("_tokens")), text_id).where(
         F.slice("_tokens", F.col("pos") + 1, F.size("run")) == F.col("run")
     )

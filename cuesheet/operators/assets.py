@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cuesheet.operators.scans import attach
+from cuesheet.operators.scans import attach, salt
 
 # Audio file extensions.
 AUDIO_EXTENSIONS = (".wav", ".mp3", ".flac", ".ogg", ".m4a", ".aac")
@@ -191,7 +191,7 @@ def sounds_root(configured: Column, document_path: Column) -> Column:
 def normalise_once(uses: DataFrame, stage, keys: Sequence[str] = ("path",)) -> DataFrame:
     """Run a costly per-file stage once per distinct file and share it with every use.
 
-    ``stage`` maps the distinct files to results keyed by path. Uses may be skewed, so the results
-    come back through a join that adaptive execution may split or broadcast by measured size.
+    ``stage`` maps the distinct files to results keyed by path. One file may serve a third of all
+    uses, so the results come back through a salted join.
     """
-    return uses.join(stage(uses.select(*keys).distinct()), list(keys))
+    return attach(uses, stage(uses.select(*keys).distinct()), list(keys), salt(*uses.columns))

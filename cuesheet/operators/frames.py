@@ -161,8 +161,7 @@ def loudness_gain(stereo: DataFrame, rate: int, target: float = -24.0) -> DataFr
     level = F.lit(10.0) * F.log10(F.greatest("ms", F.lit(1e-12)))
     loud = windows.where(level > -70.0)
     gates = loud.groupBy("clip_id").agg(F.avg("ms").alias("mean"))
-    # Windows are one row per 100 ms, so this join moves little; adaptive execution splits a hot clip.
-    kept = loud.join(gates, "clip_id").where(F.col("ms") > F.col("mean") / 10)
+    kept = attach(loud, gates, ["clip_id"], chunk_of("w", FRAME_CHUNK)).where(F.col("ms") > F.col("mean") / 10)
     final = kept.groupBy("clip_id").agg((F.lit(10.0) * F.log10(F.avg("ms"))).alias("loudness"))
     clips = windows.select("clip_id").distinct().join(final, "clip_id", "left")
     return clips.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cuesheet.functions.text import strip
+from cuesheet.operators.scans import attach, salt
 
 NO_PRESET = "none"
 # Presets with their stages and parameters, in order.
@@ -125,7 +126,9 @@ def slice_status(requests: DataFrame, prepared: DataFrame) -> DataFrame:
         .when(F.col("preset").isin(*PREVIEW_NAMES), "not prepared")
         .otherwise("unknown preset")
     )
-    return named.join(done, ["clip_id", "preset"], "left").withColumn("status", status).drop("_done")
+    # Many requests may ask for the same clip and preset.
+    joined = attach(named, done, ["clip_id", "preset"], salt(*named.columns), "left")
+    return joined.withColumn("status", status).drop("_done")
 
 
 def preview_names(spark: SparkSession) -> DataFrame:

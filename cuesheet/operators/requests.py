@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from cuesheet.operators.scans import global_position
+from cuesheet.operators.scans import attach, global_position, salt
 
 BATCH_SIZE = 10
 LANES = 4
@@ -54,35 +54,43 @@ def canonical_key(script: pd.Series, voices: pd.Series) -> pd.Series:
 
 
 def split_by_cache(requests: DataFrame, cache: DataFrame, mode: str, key: str = "key") -> DataFrame:
-    """State of each request: ``hit``, ``skip`` (cache-only mode) or ``compute``."""
+    """State of each request: ``hit``, ``skip`` (cache-only mode) or ``compute``.
+
+    Equal requests share a key, and copies may be a third of all, so the join is salted.
+    """
     if mode not in ("cache", "live"):
         raise ValueError("mode must be 'cache' or 'live'")
-    known = cache.withColumn("_hit", F.lit(True))
     missing = "skip" if mode == "cache" else "compute"
-    joined = requests.join(known, key, "left")
+    joined = attach(requests, cache.withColumn("_hit", F.lit(True)), [key], salt(*requests.columns), "left")
     return joined.withColumn("state", F.when(F.col("_hit"), "hit").otherwise(F.lit(missing))).drop("_hit")
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
-    return requests.join(cache.select(key), key, "left_anti")
+    """Requests the cache lacks."""
+    known = cache.select(key, F.lit(True).alias("_hit"))
+    joined = attach(requests, known, [key], salt(*requests.columns), "left")
+    return joined.where("_hit is null").select(*requests.columns)
 
 
 def apply_positions(contents: DataFrame, cache: DataFrame, key: str = "key", idx: str = "idx") -> DataFrame:
     """Put cached start positions onto contents by position; unequal lengths are an error.
 
-    ``cache``: key and ``start_positions`` array. Joins run on (key, idx), so no key is hot.
+    ``cache``: key and ``start_positions`` array. Contents carry ``script`` columns of their own beside
+    the key where several scripts share it; the join on (key, idx) is salted by them.
     """
     positions = cache.select(key, F.posexplode("start_positions").alias(idx, "start_pos")).withColumn(
         idx, F.col(idx).cast("bigint")
     )
-    counts = contents.groupBy(key).agg(F.count(F.lit(1)).alias("n_contents"))
+    counts = contents.groupBy(key).agg(F.max(idx).alias("_last"))
     lengths = cache.select(key, F.size("start_positions").cast("bigint").alias("n_positions"))
-    sound = counts.join(lengths, key).where("n_contents = n_positions").select(key)
-    return contents.join(positions.join(sound, key, "left_semi"), [key, idx])
+    # Equal scripts share a key, so the number of contents is told by the last position.
+    sound = counts.join(lengths, key).where("_last + 1 = n_positions").select(key)
+    return attach(contents, positions.join(sound, key, "left_semi"), [key, idx], salt(*contents.columns))
 
 
-def position_errors(contents: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
-    counts = contents.groupBy(key).agg(F.count(F.lit(1)).alias("n_contents"))
+def position_errors(contents: DataFrame, cache: DataFrame, key: str = "key", idx: str = "idx") -> DataFrame:
+    """Keys whose cached positions do not fit their contents."""
+    counts = contents.groupBy(key).agg((F.max(idx) + 1).alias("n_contents"))
     lengths = cache.select(key, F.size("start_positions").cast("bigint").alias("n_positions"))
     return (
         counts.join(lengths, key)

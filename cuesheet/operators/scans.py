@@ -119,6 +119,16 @@ def running(
     )
 
 
+def salt(*columns: str | Column, parts: int = 64) -> Column:
+    """Chunk for ``attach`` where rows have no ordinal: a hash of what tells rows of one key apart."""
+    return F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("bigint")
+
+
+def is_bounded(df: DataFrame, rows: int) -> bool:
+    """Whether a table has at most so many rows, looked up before it may be broadcast."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def attach(
     df: DataFrame,
     facts: DataFrame,
