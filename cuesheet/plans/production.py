@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cuesheet.operators import alignment as A
 from cuesheet.operators import assets as X
 from cuesheet.operators import dialogue as D
+from cuesheet.operators import marks as M
 from cuesheet.operators import presets as P
 from cuesheet.operators import requests as R
 from cuesheet.operators import timeline as L
 from cuesheet.operators import validation as V
+from cuesheet.operators.scans import attach, salt
 from cuesheet.session import stored
 from cuesheet.sources import documents as S
 
@@ -35,6 +37,7 @@ class Plan:
     plan_nodes: DataFrame
     contents: DataFrame
     requests: DataFrame
+    sounds: DataFrame | None = None
 
 
 def script_parts(nodes: DataFrame, speakers: DataFrame) -> DataFrame:
@@ -55,8 +58,17 @@ def script_parts(nodes: DataFrame, speakers: DataFrame) -> DataFrame:
     return children.join(known, "doc_id", "left").withColumn("speakers", F.coalesce("speakers", empty))
 
 
-def plan(documents: DataFrame, voice_files: DataFrame, voice_directory: str) -> Plan:
-    """Shred, check and plan documents (doc_id, source, xml)."""
+def plan(
+    documents: DataFrame,
+    voice_files: DataFrame,
+    voice_directory: str,
+    sound_files: DataFrame | None = None,
+    sounds_root: str = "./sounds",
+) -> Plan:
+    """Shred, check and plan documents (doc_id, source, xml).
+
+    ``sound_files`` are paths relative to ``sounds_root``; without them sounds are not looked up.
+    """
     nodes = stored(S.shred(documents), "nodes")
     entries = stored(S.speaker_entries(nodes), "entries")
     speakers = S.speakers(entries)
@@ -72,9 +84,15 @@ def plan(documents: DataFrame, voice_files: DataFrame, voice_directory: str) ->
         "doc_id", "node_id",
         F.concat(F.lit("Voice '"), "voice_name", F.lit("' for speaker '"), "authored_name", F.lit(f"' was not found in {voice_directory}")).alias("message"),
     )
+    all_nodes = stored(V.plan_nodes(nodes), "all_plan_nodes")
+    sounds, silent = None, unvoiced.limit(0)
+    if sound_files is not None:
+        sounds = stored(find_sounds(all_nodes, sound_files, sounds_root), "sounds")
+        silent = sounds.where("error is not null").select("doc_id", "node_id", F.col("error").alias("message"))
     errors = stored(
         V.errors(nodes)
         .select("doc_id", "node_id", F.col("formatted").alias("message"))
+        .unionByName(silent)
         .unionByName(S.speaker_errors(entries).select("doc_id", "node_id", "message"))
         .unionByName(unvoiced)
         .unionByName(stray),
@@ -82,9 +100,58 @@ def plan(documents: DataFrame, voice_files: DataFrame, voice_directory: str) ->
     )
     # A document with any error yields nothing further; that is settled before anything costly.
     broken = errors.select("doc_id").distinct()
-    plan_nodes = stored(V.plan_nodes(nodes).join(broken, "doc_id", "left_anti"), "plan_nodes")
+    plan_nodes = stored(all_nodes.join(broken, "doc_id", "left_anti"), "plan_nodes")
     contents = stored(D.contents(folded, SCRIPT).join(broken, "doc_id", "left_anti"), "contents")
-    return Plan(nodes, errors, voiced, plan_nodes, contents, requests(contents, voiced, plan_nodes))
+    return Plan(nodes, errors, voiced, plan_nodes, contents, requests(contents, voiced, plan_nodes), sounds)
+
+
+def find_sounds(plan_nodes: DataFrame, sound_files: DataFrame, root: str) -> DataFrame:
+    """Resolved file or error of every sound element: (doc_id, node_id, ref, resolved_path, error)."""
+    uses = plan_nodes.where("tag = 'sound' and value is not null").select("doc_id", "node_id", F.col("value").alias("ref"))
+    found = X.resolve_sounds(uses, sound_files, root).select("ref", "resolved_path", "error")
+    # One sound may be used a third of the time.
+    return attach(uses, found, ["ref"], salt("doc_id", "node_id"))
+
+
+def _marks(plan_nodes: DataFrame) -> DataFrame:
+    return plan_nodes.where("tag = 'mark'").select(
+        F.col("doc_id").alias("production"), F.col("node_id").cast("string").alias("node_id"), F.col("value").alias("mark")
+    )
+
+
+def _cut(tree: DataFrame, marks: DataFrame, targets: DataFrame, max_depth: int) -> DataFrame:
+    shape = tree.select("production", "node_id", "parent_id", "depth", "idx")
+    bubbled = stored(M.bubble(shape, marks, max_depth), "bubbled")
+    wanted = targets.select(F.col("doc_id").alias("production"), "mark")
+    return M.cut_tree(tree, bubbled, wanted, max_depth)
+
+
+def cut_problems(plan_: Plan, targets: DataFrame) -> DataFrame:
+    """Cut marks (doc_id, mark) their production does not show."""
+    shape = _shape(plan_.plan_nodes)
+    bubbled = M.bubble(shape, _marks(plan_.plan_nodes), _deepest(shape)).where("depth = 0")
+    wanted = targets.select(F.col("doc_id").alias("production"), "mark")
+    return M.cut_errors(bubbled, wanted, ["production"]).withColumnRenamed("production", "doc_id")
+
+
+def cut_requests(plan_: Plan, targets: DataFrame) -> DataFrame:
+    """Requests still needed after cutting each production before its mark, to be taken before rendering."""
+    shape = stored(_shape(plan_.plan_nodes), "shape")
+    left = _cut(shape, _marks(plan_.plan_nodes), targets, _deepest(shape))
+    scripts = left.select(F.col("production").alias("doc_id"), F.col("node_id").cast("int").alias("script_id"))
+    return M.surviving_requests(plan_.requests, scripts, SCRIPT)
+
+
+def _shape(plan_nodes: DataFrame) -> DataFrame:
+    return plan_nodes.select(
+        F.col("doc_id").alias("production"), F.col("node_id").cast("string").alias("node_id"),
+        F.col("parent_id").cast("string").alias("parent_id"), "depth", F.col("ordinal").cast("bigint").alias("idx"),
+    )
+
+
+def _deepest(tree: DataFrame) -> int:
+    """Depth of the deepest document, one number."""
+    return max(tree.agg(F.max("depth")).first()[0] or 0, 1)
 
 
 def requests(contents: DataFrame, speakers: DataFrame, plan_nodes: DataFrame) -> DataFrame:
@@ -210,17 +277,24 @@ def plan_tree(plan_nodes: DataFrame, clip_frames: DataFrame, markers: DataFrame)
 
 
 def timeline(
-    plan_: Plan, clip_frames: DataFrame, rate: int, asr: DataFrame | None = None
+    plan_: Plan,
+    clip_frames: DataFrame,
+    rate: int,
+    asr: DataFrame | None = None,
+    cut_before: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Place the scripts, slices, sounds and marks of every production.
 
-    ``clip_frames``: doc_id, node_id, frames of rendered scripts and sounds. Returns (placements,
-    trimmed productions). Only the depth of the deepest document comes to the driver.
+    ``clip_frames``: doc_id, node_id, frames of rendered scripts and sounds. ``cut_before``: doc_id and
+    the mark before which all is dropped. Returns (placements, trimmed productions). Only the depth of
+    the deepest document comes to the driver.
     """
     markers = script_markers(plan_.contents, clip_frames, rate, asr)
     tree = stored(plan_tree(plan_.plan_nodes, clip_frames, markers), "tree")
-    deepest = tree.agg(F.max("depth")).first()[0]
-    placements, summaries = L.compose_tree(tree, rate, max(deepest or 0, 1))
+    deepest = _deepest(tree)
+    if cut_before is not None:
+        tree = stored(_cut(tree, _marks(plan_.plan_nodes), cut_before, deepest), "cut")
+    placements, summaries = L.compose_tree(tree, rate, deepest)
     return placements, L.trim_to_boundary(summaries.where("depth = 0"), rate)
 
 

@@ -93,3 +93,31 @@ def test_plan_with_inline_sound(spark):
     assert starts[f"{ids[0]}/0"] == (0, 4) and starts[str(sound)] == (4, 4) and starts[f"{ids[0]}/1"] == (6, 4)
     assert starts[str(ids[1])] == (10, 3)
     assert trimmed.first().final_frames == 13 + 2
+
+
+def test_cut_and_sounds(spark):
+    first = "<script>Anna: one<mark id='cut'/>Ben: two</script>"
+    body = MAP + "<script>Anna: zero</script>" + first + "<sound>door</sound>"
+    lost = MAP + "<sound ref='bell'/>"
+    rows = [("d", "p.xml", f"<production>{body}</production>"), ("e", "e.xml", f"<production>{lost}</production>")]
+    documents = spark.createDataFrame(rows, "doc_id string, source string, xml string")
+    voices = spark.createDataFrame([("/v/anna.wav",), ("/v/ben.wav",)], "path string")
+    sounds = spark.createDataFrame([("a/door.wav",), ("a/bell.wav",), ("b/bell.wav",)], "path string")
+    planned = production.plan(documents, voices, "/v", sounds, "/s")
+    errors = planned.errors.collect()
+    assert [(r.doc_id, "matched multiple files" in r.message) for r in errors] == [("e", True)]
+    assert planned.sounds.where("doc_id = 'd'").first().resolved_path == "/s/a/door.wav"
+    targets = spark.createDataFrame([("d", "cut")], "doc_id string, mark string")
+    left = production.cut_requests(planned, targets).collect()
+    assert [r.normalized_script for r in left] == ["Speaker 1: one\nSpeaker 2: two"]
+    unknown = spark.createDataFrame([("d", "nope")], "doc_id string, mark string")
+    assert production.cut_problems(planned, targets).count() == 0
+    assert production.cut_problems(planned, unknown).first().message == "Unknown or ambiguous audio mark 'nope'"
+    ids = {r.script_id for r in planned.requests.collect()}
+    script, sound = left[0].script_id, planned.plan_nodes.where("tag = 'sound'").first().node_id
+    clips = spark.createDataFrame([("d", i, 4) for i in ids] + [("d", sound, 3)], "doc_id string, node_id int, frames bigint")
+    placements, trimmed = production.timeline(planned, clips, 4, cut_before=targets)
+    starts = {r.node_id: (r.abs_start, r.frames) for r in placements.collect()}
+    # Only the slice after the mark is left of the script, then the sound.
+    assert starts[f"{script}/1"] == (0, 2) and f"{script}/0" not in starts and starts[str(sound)] == (2, 3)
+    assert trimmed.first().final_frames == 5
