@@ -19,16 +19,6 @@ TABLES = (
 ).split()
 
 
-def kind(value):
-    if value is None:
-        return None
-    if isinstance(value, bool):
-        return bool
-    if isinstance(value, int):
-        return int
-    return type(value)
-
-
 def normal(value):
     if isinstance(value, float):
         if math.isnan(value):
@@ -42,7 +32,6 @@ def compare(spark_rows, spark_cols, sql_rows, sql_cols):
         return f"columns {sorted(spark_cols)} != {sorted(sql_cols)}"
     if len(spark_rows) != len(sql_rows):
         return f"rows {len(spark_rows)} != {len(sql_rows)}"
-    order = [sorted(spark_cols).index(c) for c in sorted(spark_cols)]
     left_at = [spark_cols.index(c) for c in sorted(spark_cols)]
     right_at = [sql_cols.index(c) for c in sorted(sql_cols)]
     left = Counter(tuple(normal(r[i]) for i in left_at) for r in spark_rows)
@@ -54,6 +43,25 @@ def compare(spark_rows, spark_cols, sql_rows, sql_cols):
     return None
 
 
+# Column types that say the same on both sides.
+SAME_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "float": "FLOAT",
+}
+
+
+def type_notes(df, description):
+    """Columns whose types differ between Spark and SQL."""
+    sql = {d[0]: str(d[1]) for d in description}
+    return [
+        f"{name}: {kind} / {sql.get(name)}" for name, kind in df.dtypes if SAME_TYPES.get(kind, kind) != sql.get(name)
+    ]
+
+
 def duck(sf_dir):
     connection = duckdb.connect()
     for name in TABLES:
@@ -78,7 +86,7 @@ def main(argv):
             df = query(spark, sf_dir)
             rows = [tuple(r) for r in df.collect()]
             seconds = time.time() - begin
-            problem, took = None, 0.0
+            problem, took, notes = None, 0.0, []
             if name in oracles:
                 begin = time.time()
                 cursor = connection.execute(oracles[name])
@@ -86,7 +94,9 @@ def main(argv):
                 sql_rows = cursor.fetchall()
                 took = time.time() - begin
                 problem = compare(rows, df.columns, sql_rows, sql_cols)
+                notes = type_notes(df, cursor.description)
             state = "FAIL " + problem if problem else ("ok" if name in oracles else "rows-only")
+            state += f" types {notes}" if notes else ""
         except Exception as exc:  # noqa: BLE001 - a report tool
             connection = duck(sf_dir)
             rows, seconds, took, state = [], 0.0, 0.0, f"ERROR {type(exc).__name__}: {str(exc)[:700]}"

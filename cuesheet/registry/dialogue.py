@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from cuesheet.functions import text as T
 from cuesheet.operators import dialogue as D
 from cuesheet.registry.common import (
-    KNOWN,
     script_parts,
     sql_contents,
     sql_items,

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_OWN_FOLDERS: dict[str, str] = {}
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8, app: str = "cuesheet") -> SparkSession:
@@ -34,8 +35,10 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="cuesheet-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN_FOLDERS:
+            _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="cuesheet-")
+        folder = _OWN_FOLDERS[application]
     return folder.rstrip("/")
 
 

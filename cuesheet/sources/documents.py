@@ -5,7 +5,6 @@ from __future__ import annotations
 import textwrap
 import xml.sax
 from collections.abc import Iterator
-from io import StringIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
