@@ -124,7 +124,7 @@ def _rules() -> list[tuple[int, str, Column, Column]]:
 def errors(nodes: DataFrame) -> DataFrame:
     """All violations: (doc_id, node_id, phase, rule, message, formatted).
 
-    The reference point for stopping at the first error is the lowest (phase, node_id, rule_no).
+    The lowest (phase, node_id, rule_no) of a document is the one a stop-at-first run reports.
     """
     found = F.array(
         *[
