@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cuesheet.llm.arrow import slices
 from cuesheet.session import stored
@@ -231,6 +231,19 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def accepted(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows whose text is not rejected, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            keep = [not shared.value.predict(text)[2] for text in part.column(at).to_pylist()]
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in documents.schema]))
+
+
 def held_out(doc_id="doc_id"):
     """Rows that the fit never sees: a checksum of the id, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cuesheet.llm import decontaminate, langid, minhash
+from cuesheet.llm import decontaminate, langid, minhash, pieces, pii, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     model = langid.fit(langid.training_rows(documents))
@@ -22,10 +30,19 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1")
+    return quality.assess(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -50,6 +67,19 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(
        d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach USING (doc_id)"""
 
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {k * 5 + 1}, 5))::BIGINT >> {s}) & 31)::BIGINT + 1, 1)"
+    for k in range(8)
+    for s in (15, 10, 5, 0)
+)
+_SQL_OP5 = f"""
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT h, min(page_id) AS low FROM hashed GROUP BY h)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_B32} AS payload_digest,
+       CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> low THEN low END AS refers_to, NULL::VARCHAR AS error
+FROM hashed JOIN firsts USING (h)"""
+
 _SQL_OP8 = rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
@@ -76,7 +106,11 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 QUERIES = {
     "op2_minhash": op2_minhash,
+    "op3_personal_data": op3_personal_data,
+    "op5_warc": op5_warc,
     "op6_language": op6_language,
+    "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
+    "op10_pieces": op10_pieces,
 }
-ORACLE = {"op2_minhash": _SQL_OP2, "op8_decontamination": _SQL_OP8}
+ORACLE = {"op2_minhash": _SQL_OP2, "op5_warc": _SQL_OP5, "op8_decontamination": _SQL_OP8}
