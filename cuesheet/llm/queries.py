@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cuesheet.llm import decontaminate, langid, minhash, pieces, pii, quality, warc
+from cuesheet.llm import chat, decontaminate, langid, minhash, pieces, pii, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(_table(spark, sf_dir, "documents"), ["doc_id"], sharding.names())
+    return placed.select("doc_id", "slot", "shard")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -39,6 +44,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
@@ -107,10 +116,12 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
 QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_personal_data": op3_personal_data,
+    "op4_sharding": op4_sharding,
     "op5_warc": op5_warc,
     "op6_language": op6_language,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
+    "op9_chat": op9_chat,
     "op10_pieces": op10_pieces,
 }
 ORACLE = {"op2_minhash": _SQL_OP2, "op5_warc": _SQL_OP5, "op8_decontamination": _SQL_OP8}
