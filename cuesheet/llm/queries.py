@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cuesheet.llm import chat, decontaminate, langid, minhash, pieces, pii, quality, sharding, warc
+from cuesheet.llm import chat, cotrain, decontaminate, langid, minhash, pieces, pii, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return cotrain.score(documents, cotrain.fit(documents, _table(spark, sf_dir, "labels")))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -114,6 +119,7 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
     "op3_personal_data": op3_personal_data,
     "op4_sharding": op4_sharding,
