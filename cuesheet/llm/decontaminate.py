@@ -102,10 +102,15 @@ def occurrences(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     entries = F.concat(marker, *[shingle_codes(F.col("w"), k) for k in widths])
     each = texts.select("row", "doc_id", "w", F.posexplode(entries).alias("at", "code"))
     each = each.withColumn("marked", F.col("at") == 0).withColumn("at", F.col("at") - 1)
-    for width in widths[:-1]:
+    # Entries of a width follow those of the one before.
+    before, place = F.lit(0), None
+    for width in widths:
         count = F.greatest(F.size("w") - width + 1, F.lit(0))
-        # Entries of a width follow those of the one before; a negative place is not yet this width's.
-        each = each.withColumn("at", F.when(F.col("at") < count, F.col("at")).otherwise(F.col("at") - count))
+        inside = F.col("at") < before + count
+        place = F.when(inside, F.col("at") - before) if place is None else place.when(inside, F.col("at") - before)
+        before = before + count
+    if place is not None:
+        each = each.withColumn("at", F.when(F.col("marked"), F.col("at")).otherwise(place))
     marks = documents.sparkSession.range(1).select(
         F.lit(0).cast("bigint").alias("code"),
         F.lit(None).cast("int").alias("offset"),
