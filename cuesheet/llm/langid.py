@@ -30,7 +30,7 @@ BITS = 16
 DIMENSIONS = 1 << BITS
 STEPS = 8
 UNDETERMINED = "und"
-_SIZES = 22  # size classes: powers of two of the number of n-grams
+_SIZES = BITS + 2  # size classes: powers of two of the number of different n-grams
 _SNIPPETS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 _SLACK = 0.7  # share of the smallest cosine seen among a size class's snippets that still is accepted
 
@@ -82,8 +82,9 @@ def weighted(places: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndar
     return (values / (np.sqrt((values * values).sum()) or 1.0)).astype(np.float32)
 
 
-def size_class(total: int) -> int:
-    return min(_SIZES - 1, int(total).bit_length())
+def size_class(places: np.ndarray) -> int:
+    """By the number of different n-grams: a text that repeats itself says as little as a short one."""
+    return min(_SIZES - 1, len(places).bit_length())
 
 
 @dataclass
@@ -101,7 +102,7 @@ class Model:
         cosines = weighted(places, counts, self.idf) @ self.centroids[places]
         best = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, cosines[best])))
-        return self.languages[best], score, score < self.radius[size_class(total)]
+        return self.languages[best], score, score < self.radius[size_class(places)]
 
 
 def _fit_group(idf: np.ndarray):
@@ -147,7 +148,7 @@ def _fit_group(idf: np.ndarray):
                 if total:
                     values = weighted(places, counts, idf)
                     best = max(float(values @ c[places]) for c in centres)
-                    radius[size_class(total)] = min(radius[size_class(total)], best)
+                    radius[size_class(places)] = min(radius[size_class(places)], best)
         return pd.DataFrame(
             {
                 "lang": [rows["lang"].iloc[0]] * len(centres),
