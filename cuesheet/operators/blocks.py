@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cuesheet.operators import frames as FR
-from cuesheet.operators.presets import PRESETS
+from cuesheet.operators.presets import PRESETS, canonical, no_preset, preset_error
 from cuesheet.operators.scans import attach, chunk_of
 
 BLOCK_SECONDS = 10
@@ -386,13 +386,32 @@ def apply_custom(
     return run_stage(blocks, Local(kernel, before, after), block_frames)
 
 
+def preset_problems(blocks: DataFrame, column: str = "preset") -> DataFrame:
+    """Clips that ``by_preset`` leaves out, with the reason: (clip_id, message)."""
+    filtered = [name for name, stages in PRESETS.items() if any(s in ("highpass", "lowpass", "tilt") for s, _ in stages)]
+    name = F.col(column)
+    short = canonical(name).isin(*filtered) & (F.col("total") <= PAD)
+    message = F.coalesce(
+        F.when(~no_preset(name), preset_error(name)),
+        F.when(short, F.concat(F.lit(f"A clip of up to {PAD} frames cannot be filtered by preset '"), canonical(name), F.lit("'"))),
+    )
+    return blocks.select("clip_id", message.alias("message")).where("message is not null").distinct()
+
+
 def by_preset(blocks: DataFrame, rate: int, block_frames: int, column: str = "preset") -> DataFrame:
-    """Blocks that name their clip's preset: one plan per preset in the catalog, clips without one pass."""
+    """Blocks that name their clip's preset, in any spelling the catalog knows: one plan per preset.
+
+    Clips without a preset, by null or by its name for none, pass. ``preset_problems`` lists what is left out: names
+    that are no preset, and clips too short for their preset's filters.
+    """
     plain = ["clip_id", "block_no", "start_frame", "total", "l", "r"]
-    done = blocks.where(F.col(column).isNull()).select(*plain)
-    for name in PRESETS:
-        mine = blocks.where(F.col(column) == name).select(*plain)
-        done = done.unionByName(apply_preset(mine, name, rate, block_frames))
+    named = blocks.withColumn("_preset", F.when(~no_preset(F.col(column)), canonical(F.col(column))))
+    done = named.where("_preset is null").select(*plain)
+    for name, stages in PRESETS.items():
+        mine = named.where(F.col("_preset") == name)
+        if any(s in ("highpass", "lowpass", "tilt") for s, _ in stages):
+            mine = mine.where(F.col("total") > PAD)
+        done = done.unionByName(apply_preset(mine.select(*plain), name, rate, block_frames))
     return done
 
 
@@ -432,6 +451,19 @@ def resample_blocks(blocks: DataFrame, input_rate: int, output_rate: int, block_
     )
 
 
+def fill_silence(mixed: DataFrame, lengths: DataFrame, keys: list[str], block_frames: int) -> DataFrame:
+    """All blocks of every timeline of ``lengths`` (keys, frames), those in which nothing sounds as zeros.
+
+    Without them a writer behind the mix would move what follows a pause. Equal keys spread by block.
+    """
+    count = F.ceil(F.col("frames") / block_frames).cast("bigint")
+    every = lengths.where("frames > 0").select(
+        *keys, F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("block_no")
+    )
+    silent = F.array_repeat(F.lit(0.0), block_frames)
+    return every.join(mixed, [*keys, "block_no"], "left").withColumn("samples", F.coalesce("samples", silent))
+
+
 def mix_blocks(placed: DataFrame, keys: list[str], block_frames: int, salts: int = 16) -> DataFrame:
     """Mix placed mono pieces into timeline blocks: (keys, block_no, samples array<double>).
 
@@ -452,7 +484,8 @@ def mix_blocks(placed: DataFrame, keys: list[str], block_frames: int, salts: int
         "block_no",
         (begin - edge).cast("int").alias("at"),
         F.slice("samples", (begin - F.col("start_frame") + 1).cast("int"), (end - begin).cast("int")).alias("samples"),
-        F.pmod(F.hash("start_frame"), F.lit(salts)).alias("salt"),
+        # Dealt in turn: pieces that start together, or that are equal, get different salts too.
+        (F.monotonically_increasing_id() % salts).cast("int").alias("salt"),
     )
     types = {f.name: f.dataType.simpleString() for f in placed.schema}
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)

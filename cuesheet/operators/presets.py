@@ -89,6 +89,11 @@ def preset_error(name: Column) -> Column:
     )
 
 
+def no_preset(name: Column) -> Column:
+    """Whether a clip asks for no preset: null, blank, or the name for none."""
+    return F.coalesce(canonical(name).isin(NO_PRESET, ""), F.lit(True))
+
+
 def with_chain(clips: DataFrame, presets: DataFrame, name: str = "preset") -> DataFrame:
     """Clips with the stages of their preset, in order. The catalog is a fixed list, so it is broadcast."""
     named = clips.withColumn("preset", canonical(F.col(name)))

@@ -6,10 +6,11 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from cuesheet.operators.scans import attach, global_position, salt
+from cuesheet.session import stored
 
 BATCH_SIZE = 10
 LANES = 4
@@ -122,6 +123,27 @@ def batches(requests: DataFrame, major: str, minor: Sequence[str], size: int = B
     )
 
 
+def ranked_batches(requests: DataFrame, order: Sequence[str], size: int = BATCH_SIZE) -> DataFrame:
+    """Batch number and place in the batch in the order of any columns, over all requests.
+
+    The rows are sorted over all tasks and stored; only the number of rows of each task is summed up in one place.
+    """
+    names = requests.columns
+    ordered = requests.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id counts rows inside a partition below bit 33.
+    placed = stored(ordered.withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))
+    position = F.col("_before") + row
+    return (
+        placed.withColumn("_part", part)
+        .join(starts, "_part")
+        .select(*names, F.floor(position / size).cast("bigint").alias("batch_no"), (position % size).alias("pos"))
+    )
+
+
 def first_batch(requests: DataFrame, major: str, minor: Sequence[str], size: int = BATCH_SIZE) -> DataFrame:
     """The next batch to hand out: the first requests in registration order.
 
@@ -146,8 +168,11 @@ def run_renderer(
     """Seam for a speech or alignment model: an iterator function over batches of requests.
 
     Whatever the function loads before its loop is loaded once per Python worker. Requests are spread
-    by batch, so that one batch stays together and no task gets all of them.
+    by batch, so that one batch stays together and no task gets all of them. Batch numbers of a stream count from 0 in
+    each micro-batch; its ``epoch`` keeps them apart.
     """
-    return requests.repartition("batch_no").sortWithinPartitions("batch_no", "pos").mapInPandas(renderer, schema)
+    by = [c for c in ("epoch", "batch_no") if c in requests.columns]
+    order = [*by, "pos", *[c for c in ("block_no",) if c in requests.columns]]
+    return requests.repartition(*by).sortWithinPartitions(*order).mapInPandas(renderer, schema)
 
 

@@ -144,7 +144,19 @@ def compose_tree(nodes: DataFrame, rate: int, max_depth: int) -> tuple[DataFrame
     summaries = summary_levels[0]
     for depth in range(1, max_depth):
         summaries = summaries.unionByName(summary_levels[depth])
-    return union, summaries
+    return union, summaries.unionByName(_without_children(nodes, summaries), allowMissingColumns=True)
+
+
+def _without_children(nodes: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Empty results of containers, and of productions, in which there is nothing to place."""
+    containers = nodes.where((F.col("depth") == 0) | F.col("is_container")).select("production", "node_id", "depth")
+    empty = containers.join(summaries.select("production", "node_id"), ["production", "node_id"], "left_anti")
+    none = F.lit(0).cast("bigint")
+    return empty.select(
+        "production", "node_id", "depth",
+        *[none.alias(name) for name in ("min_start", "max_end", "cursor_end", "n_children", "frames")],
+        F.lit(0.0).alias("pre_gap"), F.lit(0.0).alias("post_gap"),
+    )
 
 
 def _with_results(level: DataFrame, results: DataFrame) -> DataFrame:

@@ -155,12 +155,14 @@ def _deepest(tree: DataFrame) -> int:
 
 
 def requests(contents: DataFrame, speakers: DataFrame, plan_nodes: DataFrame) -> DataFrame:
-    """One request per script with lines: normalised text and voice files in speaker order.
+    """One request per script with lines: normalised text and voice files in speaker order, and one key.
 
-    A script is one element of one document, so its text is a cell; longer scripts come in blocks.
+    The key is a digest of the numbered lines and the voices, so it is the script's however long that is. Its text comes
+    in blocks of bounded size, the rows of one request; joined by newlines they are the script.
     """
-    lines = D.normalized_lines(contents, SCRIPT)
+    lines = stored(D.normalized_lines(contents, SCRIPT), "lines")
     blocks = D.script_blocks(lines, SCRIPT)
+    digests = R.digest(lines, SCRIPT, F.col("line_no"), F.col("line")).select(*SCRIPT, "digest")
     paths = speakers.groupBy("doc_id", "speaker_key").agg(F.min("resolved_path").alias("path"))
     voices = (
         D.speakers(contents, SCRIPT)
@@ -170,20 +172,37 @@ def requests(contents: DataFrame, speakers: DataFrame, plan_nodes: DataFrame) ->
         .select(*SCRIPT, F.transform("v", lambda v: v["path"]).alias("voice_samples"))
     )
     backends = plan_nodes.where("tag = 'script'").select("doc_id", F.col("node_id").alias("script_id"), "tts")
-    joined = blocks.join(voices, SCRIPT).join(backends, SCRIPT)
-    return joined.select(
-        *SCRIPT, "block_no", "tts", "normalized_script", "voice_samples",
-        R.canonical_key(F.col("normalized_script"), F.col("voice_samples")).alias("key"),
-    )
+    joined = blocks.join(voices.join(digests, SCRIPT), SCRIPT).join(backends, SCRIPT)
+    key = F.sha2(F.to_json(F.struct("digest", "voice_samples")), 256)
+    return joined.select(*SCRIPT, "block_no", "tts", "normalized_script", "voice_samples", key.alias("key"))
 
 
 def render(
     requests_: DataFrame, cache: DataFrame, renderer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str
 ) -> DataFrame:
-    """Run a renderer on what the cache lacks, in batches."""
-    todo = R.cache_misses(requests_, cache).dropDuplicates(["key"])
-    numbered = R.batches(todo.withColumn("_order", F.xxhash64("key")), "_order", ["_order", "key"])
-    return R.run_renderer(numbered.drop("_order"), renderer, schema)
+    """Run a renderer on what the cache lacks, in batches of requests numbered by document and script.
+
+    Equal requests are rendered once, by the first of them; all blocks of a request go to the same batch.
+    """
+    todo = R.cache_misses(requests_, cache)
+    owner = todo.groupBy("key").agg(F.min(F.struct(*SCRIPT)).alias("_first"))
+    firsts = owner.select("key", F.col("_first.doc_id").alias("doc_id"), F.col("_first.script_id").alias("script_id"))
+    numbered = R.ranked_batches(firsts, SCRIPT)
+    return R.run_renderer(todo.join(numbered, [*SCRIPT, "key"]), renderer, schema)
+
+
+def missing_clips(plan_: Plan, clip_frames: DataFrame) -> DataFrame:
+    """Scripts with lines and sounds that have no rendered clip: (doc_id, node_id, message).
+
+    ``timeline`` leaves their productions out: a clip of unknown length cannot be placed, nor what follows it.
+    """
+    spoken = plan_.contents.where("kind = 'line'").select("doc_id", F.col("script_id").alias("node_id"))
+    sounds = plan_.plan_nodes.where("tag = 'sound'").select("doc_id", "node_id")
+    needed = spoken.unionByName(sounds).distinct()
+    found = clip_frames.where("frames is not null").select("doc_id", "node_id")
+    return needed.join(found, ["doc_id", "node_id"], "left_anti").withColumn(
+        "message", F.lit("No rendered clip: its length is unknown")
+    )
 
 
 def script_arrays(contents: DataFrame) -> DataFrame:
@@ -289,8 +308,10 @@ def timeline(
     the mark before which all is dropped. Returns (placements, trimmed productions). Only the depth of
     the deepest document comes to the driver.
     """
-    markers = script_markers(plan_.contents, clip_frames, rate, asr)
-    tree = stored(plan_tree(plan_.plan_nodes, clip_frames, markers), "tree")
+    missing = stored(missing_clips(plan_, clip_frames), "missing").select("doc_id").distinct()
+    whole = plan_.plan_nodes.join(missing, "doc_id", "left_anti")
+    markers = script_markers(plan_.contents.join(missing, "doc_id", "left_anti"), clip_frames, rate, asr)
+    tree = stored(plan_tree(whole, clip_frames, markers), "tree")
     deepest = _deepest(tree)
     if cut_before is not None:
         tree = stored(_cut(tree, _marks(plan_.plan_nodes), cut_before, deepest), "cut")

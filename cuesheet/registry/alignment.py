@@ -17,9 +17,9 @@ SECONDS = 0.0314159265358979
 def scripts(spark, sf_dir):
     """Documents as scripts.
 
-    Words are the text's tokens at 0.4 s each, every 7th lost and some starts unknown. Coarse clauses
+    Words are the text's tokens at 0.4 s each, every 7th misheard and some starts unknown. Coarse clauses
     are the lines, their sentences or pairs of lines, by document; fine clauses are sentences, of
-    which some documents lose the last.
+    which some documents have the last ones with a word too many.
     """
     base = documents(spark, sf_dir).select(
         "doc_id", T.stripped_lines(F.col("text")).alias("lines"), T.tokens(F.col("text")).alias("all_tokens")
@@ -37,8 +37,9 @@ def scripts(spark, sf_dir):
         )
         .withColumn(
             "fine_text",
-            F.when(kind == 3, F.slice("sentences", 1, F.greatest(F.size("sentences") - 2, F.lit(0)))).otherwise(
-                F.col("sentences")
+            F.transform(
+                "sentences",
+                lambda t, i: F.when((kind == 3) & (i >= F.size("sentences") - 2), F.concat(t, F.lit(" extra"))).otherwise(t),
             ),
         )
     )
@@ -46,17 +47,14 @@ def scripts(spark, sf_dir):
         texts = texts.withColumn(
             f"{name}_ends", A.cumulative(F.transform(f"{name}_text", lambda t: F.size(T.raw_tokens(t))))
         ).withColumn(name, _timed(name))
-    words = F.filter(
-        F.transform(
-            "all_tokens",
-            lambda t, i: F.struct(
-                t.alias("text"),
-                F.when(i % 11 != 0, i * F.lit(STEP)).alias("start"),
-                ((i + 1) * F.lit(STEP)).alias("end"),
-                i.alias("pos"),
-            ),
+    words = F.transform(
+        "all_tokens",
+        lambda t, i: F.struct(
+            F.when(i % 7 == 6, F.concat(t, F.lit("zq"))).otherwise(t).alias("text"),
+            F.when(i % 11 != 0, i * F.lit(STEP)).alias("start"),
+            ((i + 1) * F.lit(STEP)).alias("end"),
+            i.alias("pos"),
         ),
-        lambda w: w["pos"] % 7 != 6,
     )
     return texts.withColumn("words", words).select("doc_id", "lines", "coarse", "fine", "words")
 
@@ -257,8 +255,8 @@ coarse_text AS (
   UNION ALL SELECT * FROM sentence WHERE doc_id % 4 = 1
   UNION ALL SELECT * FROM pair WHERE doc_id % 4 IN (2, 3)),
 fine_text AS (
-  SELECT s.* FROM sentence s JOIN (SELECT doc_id, count(*) AS n FROM sentence GROUP BY doc_id) c USING (doc_id)
-  WHERE doc_id % 4 <> 3 OR idx < n - 2),
+  SELECT doc_id, idx, CASE WHEN doc_id % 4 = 3 AND idx >= n - 2 THEN txt || ' extra' ELSE txt END AS txt
+  FROM sentence JOIN (SELECT doc_id, count(*) AS n FROM sentence GROUP BY doc_id) c USING (doc_id)),
 staged AS (SELECT 'coarse' AS stage, * FROM coarse_text UNION ALL SELECT 'fine', * FROM fine_text),
 ranged AS (
   SELECT *, {_tok('txt')} AS tk, sum({_ntok('txt')}) OVER w::BIGINT AS hi,
@@ -288,9 +286,9 @@ alltok AS (
   SELECT doc_id, generate_subscripts(tk, 1)::BIGINT - 1 AS pos, unnest(tk) AS token
   FROM (SELECT doc_id, {_tok('text')} AS tk FROM documents)),
 words AS (
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS w, token,
+  SELECT doc_id, pos AS w, CASE WHEN pos % 7 = 6 THEN token || 'zq' ELSE token END AS token,
          CASE WHEN pos % 11 <> 0 THEN pos * {STEP}::DOUBLE END AS s, (pos + 1) * {STEP}::DOUBLE AS e
-  FROM alltok WHERE pos % 7 <> 6),
+  FROM alltok),
 wl AS (SELECT doc_id, ' ' || string_agg(token, ' ' ORDER BY w) || ' ' AS j FROM words GROUP BY doc_id)"""
 
 # The frontier holds one row per document; each step moves every document on by one line.

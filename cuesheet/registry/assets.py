@@ -70,7 +70,7 @@ def _sound_files(spark, sf_dir):
 def _sound_refs(spark, sf_dir):
     """Pages ask by the last one or two path parts, some with an extension, backslashes or a full path."""
     parts = F.split(_page_path(), "/")
-    last, two = F.element_at(parts, -1), F.concat_ws("/", F.slice(parts, -2, 2))
+    last, two = F.element_at(parts, -1), F.concat_ws("/", F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)))
     kind = F.col("page_id") % 6
     ref = (
         F.when(kind == 0, last)
@@ -80,8 +80,7 @@ def _sound_refs(spark, sf_dir):
         .when(kind == 4, F.concat(F.lit(f"{SOUNDS}/"), _page_path(), F.lit(".wav")))
         .otherwise(F.concat(F.lit("/gone/"), last))
     )
-    pages = table(spark, sf_dir, "pages").where(F.size(F.split(_page_path(), "/")) >= 2)
-    return pages.select("page_id", ref.alias("ref"))
+    return table(spark, sf_dir, "pages").select("page_id", ref.alias("ref"))
 
 
 def sound_resolve(spark, sf_dir):
@@ -168,7 +167,7 @@ refs AS (
       WHEN 2 THEN parts[-2] || '/' || parts[-1] || '.wav'
       WHEN 3 THEN parts[-2] || '\\' || parts[-1] || '.v1'
       WHEN 4 THEN '{SOUNDS}/' || p || '.wav' ELSE '/gone/' || parts[-1] END AS ref
-  FROM pg WHERE len(parts) >= 2),
+  FROM pg),
 wanted AS (
   SELECT DISTINCT ref, regexp_replace(replace(ref, '\\', '/'), '([^/])\\.[^./]+$', '\\1') AS bare FROM refs),
 cand AS (

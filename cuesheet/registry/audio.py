@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions.timing import clean_zero
 from cuesheet.operators import blocks as B
 from cuesheet.operators import frames as FR
-from cuesheet.operators.presets import PRESETS
+from cuesheet.operators.presets import PRESETS, canonical, no_preset, preset_error
 from cuesheet.registry.common import table
 from cuesheet.registry.timeline import _MIX, _overlapping, clips
 from cuesheet.sources import wav
@@ -158,7 +158,7 @@ def block_noise(spark, sf_dir):
 
 def preset_chain(spark, sf_dir):
     """Every clip goes through the preset its label picks; some have none."""
-    names = [*PRESETS, None]
+    names = [*PRESETS, None, "none", " Narrator1 "]
     picked = F.get(F.array(*[F.lit(n) for n in names]), F.pmod(F.col("clip_id"), F.lit(len(names))).cast("int"))
     blocks = _blocks(spark, sf_dir).withColumn("preset", picked)
     return _shown(B.block_frames_table(B.by_preset(blocks, RATE, BLOCK)))
@@ -177,7 +177,29 @@ def mix_blocks(spark, sf_dir):
     rows = mixed.select("label", "block_no", F.posexplode("samples").alias("at", "value"))
     return rows.select(
         "label", (F.col("block_no") * 50 + F.col("at")).alias("frame"), clean_zero(F.col("value"), 6).alias("value")
-    ).where("value <> 0")
+    )
+
+
+def silent_blocks(spark, sf_dir):
+    """Pieces far apart: every block of the timeline is there, with silence where nothing sounds."""
+    placed = table(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("bigint").alias("label"), (F.col("vec_id") * 130).alias("start_frame"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("samples"),
+    )
+    lengths = placed.groupBy("label").agg(F.max(F.col("start_frame") + F.size("samples")).alias("frames"))
+    mixed = B.fill_silence(B.mix_blocks(placed, ["label"], 50), lengths, ["label"], 50)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
+    return mixed.select("label", "block_no", clean_zero(total, 4).alias("total"), F.size("samples").cast("bigint").alias("n"))
+
+
+def preset_route(spark, sf_dir):
+    """Names in any spelling, none, and unknown ones: each clip has a preset, passes, or has an error."""
+    asked = ["narrator1", " Thoughts ", None, "none", "", "the moon", "INDOOR1", "master"]
+    name = F.get(F.array(*[F.lit(n) for n in asked]), F.pmod(F.col("clip_id"), F.lit(len(asked))).cast("int"))
+    clips = _blocks(spark, sf_dir).select("clip_id", "total", name.alias("preset"))
+    chosen = F.when(~no_preset(F.col("preset")) & preset_error(F.col("preset")).isNull(), canonical(F.col("preset")))
+    routed = clips.select("clip_id", chosen.alias("routed")).distinct()
+    return routed.join(B.preset_problems(clips), "clip_id", "left")
 
 
 def wav_pcm(spark, sf_dir):
@@ -218,6 +240,8 @@ QUERIES = {
     "preset_chain": preset_chain,
     "preset_difference": preset_difference,
     "mix_blocks": mix_blocks,
+    "silent_blocks": silent_blocks,
+    "preset_route": preset_route,
     "wav_pcm": wav_pcm,
     "wav_float": wav_float,
 }
@@ -384,8 +408,22 @@ both_ch AS (SELECT clip_id, frame, 0 AS ch, l AS value FROM st UNION ALL SELECT
 {_sql_resample('both_ch', 24_000, 48_000, 32)}, {_sql_pivot('rs', 'value')}""",
     "convert_format": f"""WITH {_MONO}, {_sql_resample('mono', 24_000, 48_000, 64)},
 two AS (SELECT clip_id, frame, v.c AS ch, value FROM rs, (VALUES (0), (1)) AS v(c)) {_SHOW_VALUE} FROM two""",
-    "mix_blocks": f"""WITH {_MIX}
-SELECT label, frame, {_round('v')} AS value FROM m WHERE round(v, 6) <> 0""",
+    "mix_blocks": f"""WITH {_MIX},
+f AS (SELECT label, b * 50 + i AS frame FROM (SELECT DISTINCT label, frame // 50 AS b FROM m), (SELECT unnest(range(50)) AS i))
+SELECT f.label, f.frame, {_round('coalesce(v, 0)')} AS value FROM f LEFT JOIN m ON m.label = f.label AND m.frame = f.frame""",
+    "silent_blocks": """
+WITH s AS (
+  SELECT label::BIGINT AS label, vec_id * 130 + generate_subscripts(embedding, 1) - 1 AS f, unnest(embedding)::DOUBLE AS v FROM embeddings),
+b AS (SELECT label, unnest(range(0, max(f) // 50 + 1)) AS block_no FROM s GROUP BY label),
+t AS (SELECT label, f // 50 AS block_no, round(sum(v), 4) AS total FROM s GROUP BY ALL)
+SELECT b.label, b.block_no, CASE WHEN coalesce(total, 0) = 0 THEN 0.0 ELSE total END::DOUBLE AS total, 50::BIGINT AS n
+FROM b LEFT JOIN t ON t.label = b.label AND t.block_no = b.block_no""",
+    "preset_route": """
+SELECT vec_id AS clip_id,
+       CASE vec_id % 8 WHEN 0 THEN 'narrator' WHEN 1 THEN 'thoughts' WHEN 6 THEN 'indoor1' WHEN 7 THEN 'master' END AS routed,
+       CASE WHEN vec_id % 8 = 5 THEN 'Unknown preset ''the moon''. Available presets: '
+            || 'indoor1, indoor2, master, narrator, outdoor1, outdoor2, thoughts' END AS message
+FROM embeddings""",
     "wav_pcm": """
 WITH s AS (SELECT vec_id AS idx, round_even(greatest(least(embedding[1]::DOUBLE, 1.0), -1.0) * 32767.0::DOUBLE, 0)::BIGINT AS v FROM embeddings),
 u AS (SELECT idx, CASE WHEN v < 0 THEN v + 65536 ELSE v END AS v FROM s)

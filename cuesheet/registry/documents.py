@@ -126,7 +126,7 @@ def asr_segments(spark, sf_dir):
             F.when(
                 i % 4 != 2,
                 F.transform(
-                    F.slice(T.raw_tokens(line), 1, 3),
+                    T.raw_tokens(line),
                     lambda t, k: F.struct(
                         t.alias("word"), F.when(k != 1, i + k / F.lit(10.0)).alias("start"), (i + (k + 1) / F.lit(10.0)).alias("end")
                     ),
@@ -264,7 +264,7 @@ FROM k WHERE kind <> 0""",
     "asr_clauses": f"""WITH {_ASR}
 SELECT doc_id, i AS idx, line AS text, CASE WHEN i % 3 <> 1 THEN i::DOUBLE END AS start_s, (i + 1)::DOUBLE AS end_s FROM ln""",
     "asr_words": f"""WITH {_ASR},
-t AS (SELECT doc_id, i, list_slice(regexp_extract_all(line, '[A-Za-z0-9'']+'), 1, 3) AS tk FROM ln WHERE i % 4 <> 2),
+t AS (SELECT doc_id, i, regexp_extract_all(line, '[A-Za-z0-9'']+') AS tk FROM ln WHERE i % 4 <> 2),
 w AS (SELECT doc_id, i, generate_subscripts(tk, 1) - 1 AS k, unnest(tk) AS text FROM t),
 r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS idx, text,
        CASE WHEN k <> 1 THEN i + k / 10.0::DOUBLE END AS s, i + (k + 1) / 10.0::DOUBLE AS e FROM w)

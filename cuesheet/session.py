@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,10 +32,13 @@ def local_session(cpus: int | str = 8, partitions: int = 8, app: str = "cuesheet
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where the setting is missing (a bare local session) is a folder made up.
+    Only a local session without the setting gets a folder of its own; on a cluster that would be one machine's.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors of {master} can reach")
         application = spark.sparkContext.applicationId
         if application not in _OWN_FOLDERS:
             _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="cuesheet-")

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 FALSY_DEFAULTS = {
     "voice_directory": "./voices",
     "sounds_directory": "./sounds",
-    "model_name": "/srv/ai/models/vibevoice/vibevoice-large",
     "output_sample_rate": 48000,
     "output_channels": 2,
     "batch_size": 10,

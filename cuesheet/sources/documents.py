@@ -15,6 +15,7 @@ NODE_SCHEMA = (
     "node_id int, parent_id int, ordinal int, depth int, kind string, tag string, parent_tag string, "
     "attrs map<string,string>, text string, maps_before int, line int, col int, end_line int, end_col int"
 )
+NODE_ROWS = 20_000
 # Elements that may hold text.
 TEXT_TAGS = ("speaker-map", "script", "sound", "mark")
 # Elements whose whole text is one value.
@@ -81,10 +82,12 @@ class _Shredder(xml.sax.handler.ContentHandler):
     def characters(self, content) -> None:
         if self.run is None:
             self.run = self._add("text", None, {}, "")
+            self.run |= {"visible": False, "pieces": []}
         # The place of a text is that of its first visible part.
-        if not self.run["text"].strip() and content.strip():
+        if not self.run["visible"] and content.strip():
             self.run["line"], self.run["col"] = self._here()
-        self.run["text"] += content
+            self.run["visible"] = True
+        self.run["pieces"].append(content)
 
     def endElement(self, name) -> None:  # noqa: N802
         self.run = None
@@ -109,6 +112,7 @@ def _shred_text(xml_text: str) -> list[dict]:
     parts: dict[int, list[str]] = {}
     for row in rows:
         if row["kind"] == "text":
+            row["text"] = "".join(row.pop("pieces"))
             parts.setdefault(row["parent_id"], []).append(row["text"])
     for row in rows:
         if row["kind"] == "element" and row["tag"] in VALUE_TAGS:
@@ -125,17 +129,23 @@ def shred(documents: DataFrame) -> DataFrame:
     id_type = documents.schema["doc_id"].dataType.simpleString()
     names = [part.strip().split(" ")[0] for part in NODE_SCHEMA.split(", ")]
 
+    def frame_of(found: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(found, columns=["doc_id", "source", *names])
+        for name in ("node_id", "parent_id", "ordinal", "depth", "maps_before", "line", "col", "end_line", "end_col"):
+            frame[name] = frame[name].astype("Int32")
+        return frame
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [
-                (doc_id, source, *[row[name] for name in names])
-                for doc_id, source, text in zip(batch["doc_id"], batch["source"], batch["xml"])
-                for row in _shred_text(text)
-            ]
-            frame = pd.DataFrame(found, columns=["doc_id", "source", *names])
-            for name in ("node_id", "parent_id", "ordinal", "depth", "maps_before", "line", "col", "end_line", "end_col"):
-                frame[name] = frame[name].astype("Int32")
-            yield frame
+            found: list[tuple] = []
+            for doc_id, source, text in zip(batch["doc_id"], batch["source"], batch["xml"]):
+                found.extend((doc_id, source, *[row[name] for name in names]) for row in _shred_text(text))
+                # Nodes of a few documents at a time, however many documents a batch has.
+                if len(found) >= NODE_ROWS:
+                    yield frame_of(found)
+                    found = []
+            if found:
+                yield frame_of(found)
 
     return documents.select("doc_id", "source", "xml").mapInPandas(
         run, f"doc_id {id_type}, source string, {NODE_SCHEMA}"

@@ -1,4 +1,4 @@
-"""Render requests as a stream: drop repeats, skip cached ones, number batches, append."""
+"""Render requests as a stream: skip repeats and cached ones, number batches, append."""
 
 from __future__ import annotations
 
@@ -19,21 +19,21 @@ def intake(
     checkpoint: str,
     cache_path: str | None = None,
     cache_schema: str = "key string",
-    event_time: str = "ts",
-    delay: str = "1 hour",
     batch_size: int = BATCH_SIZE,
 ):
-    """Start the job. Requests need ``key``, ``request_id`` (integer, registration order), ``empty`` and event time.
+    """Start the job. Requests need ``key``, ``request_id`` (integer, registration order) and ``empty``.
 
-    Repeats of a key inside the watermark are dropped by the state store, repeats across it by the
-    target itself. A micro-batch that runs again overwrites its own folder, so the sink is exactly-once.
-    Empty requests are settled at once and carry no batch number.
+    A request is never too late: no watermark drops it. Of the requests with one key the first that comes is taken in;
+    repeats in the same micro-batch go by ``request_id``, later ones by an anti-join with the target's earlier epochs,
+    of which only the keys are read. A micro-batch that runs again sees the same earlier epochs and overwrites its own
+    folder, so the sink is exactly-once. Empty requests are settled at once and carry no batch number.
     """
     spark = requests.sparkSession
-    distinct = requests.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["key"])
 
     def settle(batch: DataFrame, epoch: int) -> None:
-        todo = batch
+        # The stream's rows are read once; what is new is needed several times.
+        first = batch.groupBy("key").agg(F.min_by(F.struct(*batch.columns), "request_id").alias("r")).select("r.*")
+        todo = cache_misses(first, _taken(spark, target, epoch))
         if cache_path is not None:
             todo = cache_misses(todo, read_cache(spark, cache_path, cache_schema))
         numbered = batches(todo.where(~F.col("empty")), "request_id", ["request_id"], batch_size)
@@ -44,13 +44,18 @@ def intake(
         rows.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     return (
-        distinct.writeStream.foreachBatch(settle)
+        requests.writeStream.foreachBatch(settle)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def _taken(spark: SparkSession, target: str, epoch: int) -> DataFrame:
+    """Keys of earlier epochs."""
+    return read_cache(spark, target, "key string, epoch bigint").where(F.col("epoch") < epoch).select("key")
+
+
 def accepted(spark: SparkSession, target: str) -> DataFrame:
-    """What the job has taken in so far; ``epoch`` tells the micro-batch."""
+    """What the job has taken in so far; (epoch, batch_no) names a batch."""
     return spark.read.parquet(target)
