@@ -9,6 +9,8 @@ Spans are arrays of ``struct<start: double, end: double>``; a missing time is nu
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cuesheet.functions import text as T
@@ -430,3 +432,9 @@ def token_runs(texts: DataFrame, text_id: str, runs: DataFrame, run_id: str, sal
     )
     hits = whole.select(text_id, "run", F.col("pos").cast("bigint").alias("pos"))
     return hits.join(listed, "run").select(text_id, run_id, "pos")
+
+
+def needs_alignment(contents: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Contents of scripts with inline audio, and of the others, which stay as they are."""
+    with_audio = contents.where(F.col("kind") == "audio").select(*keys).distinct()
+    return contents.join(with_audio, list(keys), "left_semi"), contents.join(with_audio, list(keys), "left_anti")

@@ -114,10 +114,17 @@ def difference_rms(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def white_noise(frame: Column, channel: int, seed: int = NOISE_SEED) -> Column:
-    """Standard normal noise that depends on seed, frame and channel only (Box-Muller on hashes)."""
-    unit = lambda salt: (
-        F.pmod(F.xxhash64(F.lit(seed), frame, F.lit(channel), F.lit(salt)), F.lit(1 << 52)).cast("double") + 0.5
-    ) / float(1 << 52)
+    """Standard normal noise that depends on seed, frame and channel only (Box-Muller on mixed numbers).
+
+    Mixing is multiplication modulo a prime below 2^31, so that any SQL engine gives the same noise.
+    """
+    prime = F.lit((1 << 31) - 1).cast("bigint")
+
+    def unit(salt: int) -> Column:
+        start = (frame.cast("bigint") * 1_000_003 + channel * 7_919 + seed * 104_729 + salt * 15_485_863) % prime
+        once = (start * 48_271) % prime
+        return ((((once * once + start) % prime) * 69_621) % prime + 0.5) / prime
+
     return F.sqrt(F.lit(-2.0) * F.log(unit(0))) * F.cos(F.lit(2.0 * math.pi) * unit(1))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cuesheet.functions.timing import clean_zero
@@ -180,6 +181,20 @@ def mix_blocks(spark, sf_dir):
     )
 
 
+def custom_stage(spark, sf_dir):
+    """A user's own stage, a short echo: a block needs three frames before it, a clip's start has none."""
+
+    def factory():
+        def kernel(x, at_start, at_end):
+            made = x * 0.5
+            made[..., 3:] += x[..., :-3] * 0.25
+            return made
+
+        return kernel
+
+    return _shown(B.block_frames_table(B.apply_custom(_blocks(spark, sf_dir), factory, 3, 0, BLOCK)))
+
+
 def silent_blocks(spark, sf_dir):
     """Pieces far apart: every block of the timeline is there, with silence where nothing sounds."""
     placed = table(spark, sf_dir, "embeddings").select(
@@ -206,7 +221,7 @@ def wav_pcm(spark, sf_dir):
     made = clips(spark, sf_dir).select("idx", "samples", wav.wav_bytes(F.col("samples"), 24_000, False).alias("wav"))
     return made.select(
         "idx", F.length("wav").cast("bigint").alias("n_bytes"), F.lower(F.hex(F.substring("wav", 1, 44))).alias("header"),
-        F.lower(F.hex(F.substring("wav", 45, 2))).alias("first_sample"),
+        F.sha2(F.expr("substring(wav, 45)"), 256).alias("payload_sha256"),
     )
 
 
@@ -241,6 +256,7 @@ QUERIES = {
     "preset_difference": preset_difference,
     "mix_blocks": mix_blocks,
     "silent_blocks": silent_blocks,
+    "custom_stage": custom_stage,
     "preset_route": preset_route,
     "wav_pcm": wav_pcm,
     "wav_float": wav_float,
@@ -353,6 +369,24 @@ o AS (
          (0.5::DOUBLE * (l::DOUBLE + r::DOUBLE) * 1.18::DOUBLE - 0.5::DOUBLE * (l::DOUBLE - r::DOUBLE) * 0.62::DOUBLE)::FLOAT AS r FROM st)"""
 _REFLECTED = _sql_taps(FR.reflection_taps(RATE, PRESETS["narrator"][4][1]["taps"]), 0.96)
 
+def _sql_unit(channel, salt):
+    start = f"((frame * 1000003 + {channel * 7919 + 7 * 104729 + salt * 15485863}) % 2147483647)"
+    once = f"(({start} * 48271) % 2147483647)"
+    return f"((((({once} * {once} + {start}) % 2147483647) * 69621) % 2147483647) + 0.5::DOUBLE) / 2147483647.0::DOUBLE"
+
+
+def _sql_normal(channel):
+    return f"sqrt(-2.0::DOUBLE * ln({_sql_unit(channel, 0)})) * cos(2 * pi() * ({_sql_unit(channel, 1)}))"
+
+
+_NOISY = f"""WITH {_STEREO},
+n AS (SELECT *, {_sql_normal(0)} AS nl, {_sql_normal(1)} AS nr FROM st),
+k AS (
+  SELECT clip_id, greatest(sqrt(avg(l::DOUBLE * l + r::DOUBLE * r) / 2) * pow(10.0::DOUBLE, -24.0::DOUBLE / 20), 1e-4::DOUBLE)
+         / greatest(sqrt(avg(nl * nl + nr * nr) / 2), 1e-6::DOUBLE) AS k FROM n GROUP BY clip_id),
+o AS (SELECT n.clip_id, frame, (l + nl * k)::FLOAT AS l, (r + nr * k)::FLOAT AS r FROM n JOIN k ON k.clip_id = n.clip_id)
+{_sql_shown()}"""
+
 ORACLE = {
     "channels_down": f"""WITH {_STEREO}
 SELECT clip_id, frame, 0 AS ch, {_round('((l::DOUBLE + r::DOUBLE) / 2)::FLOAT')} AS value FROM st""",
@@ -411,6 +445,13 @@ two AS (SELECT clip_id, frame, v.c AS ch, value FROM rs, (VALUES (0), (1)) AS v(
     "mix_blocks": f"""WITH {_MIX},
 f AS (SELECT label, b * 50 + i AS frame FROM (SELECT DISTINCT label, frame // 50 AS b FROM m), (SELECT unnest(range(50)) AS i))
 SELECT f.label, f.frame, {_round('coalesce(v, 0)')} AS value FROM f LEFT JOIN m ON m.label = f.label AND m.frame = f.frame""",
+    "custom_stage": f"""WITH {_STEREO},
+o AS (
+  SELECT clip_id, frame, (l * 0.5::DOUBLE + coalesce(lag(l, 3) OVER w, 0) * 0.25::DOUBLE)::FLOAT AS l,
+         (r * 0.5::DOUBLE + coalesce(lag(r, 3) OVER w, 0) * 0.25::DOUBLE)::FLOAT AS r
+  FROM st WINDOW w AS (PARTITION BY clip_id ORDER BY frame)) {_sql_shown()}""",
+    "noise_bed": _NOISY,
+    "block_noise": _NOISY,
     "silent_blocks": """
 WITH s AS (
   SELECT label::BIGINT AS label, vec_id * 130 + generate_subscripts(embedding, 1) - 1 AS f, unnest(embedding)::DOUBLE AS v FROM embeddings),
@@ -425,11 +466,14 @@ SELECT vec_id AS clip_id,
             || 'indoor1, indoor2, master, narrator, outdoor1, outdoor2, thoughts' END AS message
 FROM embeddings""",
     "wav_pcm": """
-WITH s AS (SELECT vec_id AS idx, round_even(greatest(least(embedding[1]::DOUBLE, 1.0), -1.0) * 32767.0::DOUBLE, 0)::BIGINT AS v FROM embeddings),
-u AS (SELECT idx, CASE WHEN v < 0 THEN v + 65536 ELSE v END AS v FROM s)
+WITH e AS (SELECT vec_id AS idx, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+s AS (SELECT idx, i, round_even(greatest(least(x, 1.0), -1.0) * 32767.0::DOUBLE, 0)::BIGINT AS v FROM e),
+u AS (SELECT idx, i, CASE WHEN v < 0 THEN v + 65536 ELSE v END AS v FROM s),
+b AS (
+  SELECT idx, string_agg(lpad(to_hex(v % 256), 2, '0') || lpad(to_hex(v // 256), 2, '0'), '' ORDER BY i) AS bytes FROM u GROUP BY idx)
 SELECT idx, 172::BIGINT AS n_bytes,
        '52494646a400000057415645666d7420100000000100' || '0100' || 'c05d0000' || '80bb0000' || '0200' || '1000' || '64617461' || '80000000' AS header,
-       lpad(lower(to_hex(v % 256)), 2, '0') || lpad(lower(to_hex(v // 256)), 2, '0') AS first_sample FROM u""",
+       sha256(unhex(bytes)) AS payload_sha256 FROM b""",
     "wav_float": """
 SELECT vec_id AS idx, 300::BIGINT AS n_bytes,
        '524946462401000057415645666d7420100000000300' || '0100' || 'c05d0000' || '00770100' || '0400' || '2000' || '64617461' || '00010000' AS header

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions import text as T
 
+from cuesheet.operators import alignment as A
 from cuesheet.operators import dialogue as D
 from cuesheet.operators import presets as P
 from cuesheet.operators import requests as R
@@ -13,6 +14,8 @@ from cuesheet.operators import requests as R
 from cuesheet.registry.common import LB, RATE, sql_contents, sql_ntok, sql_strip, table
 from cuesheet.registry.dialogue import KEYS, _NORMALIZED, _contents
 
+from cuesheet.session import work_path
+from cuesheet.sources import caches
 from cuesheet.sources import debug as G
 from cuesheet import settings as C
 
@@ -185,7 +188,65 @@ def debug_artifacts(spark, sf_dir):
         "conv_id", "turn", "file_name"
     )
 
+def preview_names(spark, sf_dir):
+    """All previews of every clip, of which those of some labels have been made."""
+    clips = table(spark, sf_dir, "embeddings").select("vec_id", F.pmod("label", F.lit(2)).alias("made"))
+    names = P.preview_names(spark)
+    listed = names.agg(F.array_sort(F.collect_list(F.struct("idx", "preset"))).alias("all"))
+    # One row of a fixed list, so this is no product of tables.
+    asked = clips.join(F.broadcast(listed), F.lit(True)).select("vec_id", "made", F.explode("all").alias("p"))
+    return asked.where("made = 0 OR p.preset <> 'none'").select("vec_id", F.col("p.idx").alias("idx"), F.col("p.preset").alias("preset"))
+
+
+def cache_appends(spark, sf_dir):
+    """Renders appended in two overlapping rounds, then again: each key is there once, as it was first."""
+    path = work_path(spark, "render-cache")
+    rows = _keyed(spark, sf_dir).groupBy("key").agg(F.min("n_chars").cast("bigint").alias("frame_count"))
+    first = rows.where("key < 'a'").withColumn("sample_rate", F.lit(24000))
+    second = rows.where("key > '4'").withColumn("sample_rate", F.lit(48000))
+    for entries in (first, second, first):
+        caches.append_cache(entries, path, caches.RENDER_SCHEMA)
+    return caches.read_cache(spark, path, caches.RENDER_SCHEMA)
+
+
+def align_cache(spark, sf_dir):
+    """Start positions of scripts written to the cache and put back onto their contents."""
+    contents = _contents(spark, sf_dir).select(F.col("conv_id").cast("string").alias("key"), F.col("content_idx").alias("idx"), "kind")
+    # The contents of one script, whose positions are one cell of the cache.
+    positions = contents.groupBy("key").agg(F.array_sort(F.collect_list("idx")).alias("ids"))
+    entries = positions.select("key", F.transform("ids", lambda i: i * F.lit(0.5)).alias("start_positions"))
+    path = work_path(spark, "align-cache")
+    caches.append_cache(entries, path, caches.ALIGN_SCHEMA)
+    return R.apply_positions(contents, caches.read_cache(spark, path, caches.ALIGN_SCHEMA))
+
+
+def without_audio(spark, sf_dir):
+    """Scripts that alignment passes by."""
+    aligned, unchanged = A.needs_alignment(_contents(spark, sf_dir), KEYS)
+    shown = lambda df, flag: df.select("conv_id", "content_idx", "kind", F.lit(flag).alias("aligned"))
+    return shown(aligned, True).unionByName(shown(unchanged, False))
+
+
+def renderer_batches(spark, sf_dir):
+    """Requests through a renderer that is loaded once per task and sees them batch by batch."""
+    asked = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text")
+
+    def renderer(frames):
+        per_char = 3
+        for frame in frames:
+            yield frame[["batch_no", "pos", "request_id"]].assign(frames=frame["text"].str.len() * per_char)
+
+    return R.run_renderer(
+        R.batches(asked, "request_id", ["request_id"]), renderer, "batch_no bigint, pos bigint, request_id bigint, frames bigint"
+    )
+
+
 QUERIES = {
+    "preview_names": preview_names,
+    "cache_appends": cache_appends,
+    "align_cache": align_cache,
+    "without_audio": without_audio,
+    "renderer_batches": renderer_batches,
     "request_keys": request_keys,
     "align_keys": align_keys,
     "request_cells": request_cells,
@@ -246,6 +307,21 @@ rk AS (SELECT clip_id, preset, row_number() OVER (PARTITION BY clip_id ORDER BY
 done AS (SELECT DISTINCT doc_id AS clip_id, 'narrator' AS preset FROM labels WHERE quality = 1)"""
 
 ORACLE = {
+    "preview_names": """
+WITH p AS (
+  SELECT unnest(['none', 'indoor1', 'indoor2', 'narrator', 'outdoor1', 'outdoor2', 'thoughts']) AS preset, unnest(range(7))::INTEGER AS idx)
+SELECT vec_id, idx, preset FROM embeddings, p WHERE label % 2 = 0 OR preset <> 'none'""",
+    "cache_appends": """
+WITH k AS (SELECT sha256(text) AS key, min(n_chars)::BIGINT AS frame_count FROM documents GROUP BY 1)
+SELECT key, CASE WHEN key < 'a' THEN 24000 ELSE 48000 END AS sample_rate, frame_count FROM k""",
+    "align_cache": f"""WITH {sql_contents(True)}
+SELECT conv_id::VARCHAR AS key, content_idx AS idx, kind, content_idx * 0.5::DOUBLE AS start_pos FROM contents""",
+    "without_audio": f"""WITH {sql_contents(True)}
+SELECT conv_id, content_idx, kind, bool_or(kind = 'audio') OVER (PARTITION BY conv_id) AS aligned FROM contents""",
+    "renderer_batches": """
+WITH r AS (
+  SELECT conv_id * 1000 + turn AS request_id, text, row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS n FROM conversations)
+SELECT n // 10 AS batch_no, n % 10 AS pos, request_id, length(text) * 3 AS frames FROM r""",
     "request_keys": f"WITH {sql_contents(True)}, {_NORMALIZED}, " + _sql_digest("nlines", "conv_id", "line_no", "line", "speaker_key"),
     "align_keys": f"WITH {sql_contents(True)}, "
     + _sql_digest("contents", "conv_id", "content_idx", "kind", "speaker_key", "spoken_text", "label", str(RATE), "2"),

@@ -121,3 +121,18 @@ def test_cut_and_sounds(spark):
     # Only the slice after the mark is left of the script, then the sound.
     assert starts[f"{script}/1"] == (0, 2) and f"{script}/0" not in starts and starts[str(sound)] == (2, 3)
     assert trimmed.first().final_frames == 5
+
+
+def test_long_texts_are_linear():
+    """The time of a long run of text grows with its length, not with its square."""
+    import time
+
+    from cuesheet.sources.documents import _shred_text
+
+    seconds = []
+    for lines in (20_000, 80_000):
+        begin = time.perf_counter()
+        rows = _shred_text("<production><script>" + "a line of text\n" * lines + "</script></production>")
+        seconds.append(time.perf_counter() - begin)
+        assert len(rows) == 3 and len(rows[2]["text"]) == 15 * lines
+    assert seconds[1] < 8 * seconds[0] + 0.5

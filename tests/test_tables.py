@@ -162,3 +162,38 @@ def test_stream_drops_repeats(spark):
     intake.intake(source, folder + "/out", folder + "/state", folder + "/cache", "key string").awaitTermination()
     got = {r.key: r.batch_no for r in intake.accepted(spark, folder + "/out").collect()}
     assert set(got) == {"a", "b", "c"} and got["c"] is None and got["a"] == 0
+
+
+def test_listing_in_any_form_of_a_folder(spark):
+    folder = tempfile.mkdtemp(prefix="cuesheet-listing-")
+    os.makedirs(folder + "/sub")
+    for name in ("a.wav", "sub/b.wav"):
+        with open(f"{folder}/{name}", "w") as handle:
+            handle.write("x")
+    for form in (folder, folder + "/", f"file://{folder}", f"file:{folder}"):
+        assert {r.path for r in media.sound_files(spark, form).collect()} == {"a.wav", "sub/b.wav"}
+        assert [r.path for r in media.voice_files(spark, form).collect()] == [f"{folder}/a.wav"]
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from cuesheet.session import shared_folder
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda name, default: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"))
+
+    with pytest.raises(ValueError):
+        shared_folder(session("yarn"))
+    with pytest.raises(ValueError):
+        shared_folder(session("local-cluster[2,1,1024]"))
+    assert shared_folder(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_folder(session("local[2]"))
+
+
+def test_batches_in_any_order(spark):
+    rows = [(f"d{k % 7}", k) for k in range(137)]
+    got = R.ranked_batches(spark.createDataFrame(rows, "doc string, script int"), ["doc", "script"], 10).collect()
+    expected = {(*key, n // 10, n % 10) for n, key in enumerate(sorted(rows))}
+    assert {tuple(r) for r in got} == expected
