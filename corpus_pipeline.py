@@ -23,9 +23,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without a doc_id or without words stay. Rows that repeat a doc_id are one document, and one of them stays.
     """
-    found = minhash.near_duplicates(docs)
-    dropped = found.where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    found = stored(minhash.near_duplicates(docs), "near-duplicates")
+    several = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept"))
+    several = stored(several.where("n > 1"), "repeated-ids")
+    gone = found.where("NOT kept").select("doc_id").unionByName(several.select("doc_id")).distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if several.isEmpty():
+        return left
+    # Of rows with one id the one with the smallest text stays.
+    again = docs.join(several.where("kept").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id")
+    one = again.agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct("text")).alias("row"))
+    return left.unionByName(one.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,19 @@
+"""Every query of the subpackage against its SQL on the smallest scale; the main test runs those without SQL as well."""
+
+import pytest
+from check import compare, duck
+
+from cuesheet.llm.queries import ORACLE, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query(spark, sf_dir, name):
+    df = QUERIES[name](spark, sf_dir)
+    cursor = duck(sf_dir).execute(ORACLE[name])
+    assert compare([tuple(r) for r in df.collect()], df.columns, cursor.fetchall(), [d[0] for d in cursor.description]) is None
+
+
+@pytest.mark.parametrize("name", ["op7_quality", "op8_decontamination"])
+def test_native(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
