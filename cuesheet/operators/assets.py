@@ -172,13 +172,13 @@ def resolve_sounds(refs: DataFrame, files: DataFrame, root: str) -> DataFrame:
 
 
 def ambiguous_files(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """The tied files of every ambiguous relative reference, one row each."""
-    tails = refs.select("ref").distinct().where(~F.col("ref").startswith("/")).select(
-        "ref", F.array_join(_bare(_parts(F.col("ref"))), "/").alias("tail")
-    )
+    """The tied files of every ambiguous path ending that is asked for: (tail, path), once for all its references."""
+    tails = refs.where(~F.col("ref").startswith("/")).select(
+        F.array_join(_bare(_parts(F.col("ref"))), "/").alias("tail")
+    ).distinct()
     tied = sound_index(files).where("n_best > 1").select("tail", "depth_diff")
     ties = sound_tails(files).join(tied, ["tail", "depth_diff"])
-    return tails.join(ties, "tail").select("ref", "path")
+    return ties.join(tails, "tail", "left_semi").select("tail", "path")
 
 
 def sounds_root(configured: Column, document_path: Column) -> Column:

@@ -60,14 +60,17 @@ def dialogue_lines(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def items(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fold the lines of each item; a turn's text is one cell of the result."""
+    """Fold the lines of each item; a turn's text is one cell of the result.
+
+    Text before the first speaker or inline item, item 0, is counted but not strung together: nobody reads it.
+    """
     ordered = "listagg(piece, ' ') WITHIN GROUP (ORDER BY ordinal, line_no)"
     return lines.groupBy(*keys, "item").agg(
         F.max(F.when(F.col("kind") == "audio", F.lit("audio"))).alias("audio"),
         F.max("speaker_key").alias("speaker_key"),
         F.max("label").alias("label"),
         F.count(F.when((F.col("kind") == "text") & (F.col("piece") != ""), 1)).alias("n_lines"),
-        F.expr(f"{ordered} FILTER (WHERE kind = 'text' AND piece <> '')").alias("spoken_text"),
+        F.expr(f"{ordered} FILTER (WHERE kind = 'text' AND piece <> '' AND item > 0)").alias("spoken_text"),
         F.count(
             F.when((F.col("kind") == "text") & F.col("speaker_key").isNull(), 1)
         ).alias("n_continued"),

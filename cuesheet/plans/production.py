@@ -73,7 +73,8 @@ def plan(
     entries = stored(S.speaker_entries(nodes), "entries")
     speakers = S.speakers(entries)
     resolved = X.resolve_voices(speakers, voice_files, voice_directory)
-    voiced = stored(speakers.join(resolved, "voice_name"), "speakers")
+    # One voice may be named by every document.
+    voiced = stored(X.voices_of(speakers, resolved, salt("doc_id", "speaker_key")), "speakers")
     parts = script_parts(nodes, voiced)
     folded = stored(D.items(D.dialogue_lines(parts, SCRIPT), SCRIPT), "items")
     stray = D.stray_text(folded).select(
@@ -84,7 +85,7 @@ def plan(
         "doc_id", "node_id",
         F.concat(F.lit("Voice '"), "voice_name", F.lit("' for speaker '"), "authored_name", F.lit(f"' was not found in {voice_directory}")).alias("message"),
     )
-    all_nodes = stored(V.plan_nodes(nodes), "all_plan_nodes")
+    all_nodes = V.plan_nodes(nodes)
     sounds, silent = None, unvoiced.limit(0)
     if sound_files is not None:
         sounds = stored(find_sounds(all_nodes, sound_files, sounds_root), "sounds")
@@ -100,7 +101,7 @@ def plan(
     )
     # A document with any error yields nothing further; that is settled before anything costly.
     broken = errors.select("doc_id").distinct()
-    plan_nodes = stored(all_nodes.join(broken, "doc_id", "left_anti"), "plan_nodes")
+    plan_nodes = all_nodes.join(broken, "doc_id", "left_anti")
     contents = stored(D.contents(folded, SCRIPT).join(broken, "doc_id", "left_anti"), "contents")
     return Plan(nodes, errors, voiced, plan_nodes, contents, requests(contents, voiced, plan_nodes), sounds)
 

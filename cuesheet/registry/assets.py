@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuesheet.operators import assets as X
-from cuesheet.operators.scans import chunk_of
+from cuesheet.operators.scans import attach, chunk_of, salt
 from cuesheet.registry.common import table
 
 VOICES = "/voices"
@@ -95,7 +95,7 @@ def sound_uses(spark, sf_dir):
     """Each resolved file is prepared once, however many pages use it."""
     refs = _sound_refs(spark, sf_dir)
     found = X.resolve_sounds(refs, _sound_files(spark, sf_dir), SOUNDS).where("resolved_path is not null")
-    uses = refs.join(found, "ref").select("page_id", F.col("resolved_path").alias("path"))
+    uses = attach(refs, found, ["ref"], salt("page_id")).select("page_id", F.col("resolved_path").alias("path"))
     stage = lambda files: files.withColumn("frames", F.length("path").cast("bigint") * 100)
     return X.normalise_once(uses, stage)
 
@@ -163,9 +163,9 @@ _SOUNDS = f"""
 pg AS (SELECT page_id, {_PAGE} AS p, string_split({_PAGE}, '/') AS parts FROM pages),
 files AS (SELECT DISTINCT p || '.wav' AS path FROM pg),
 refs AS (
-  SELECT page_id, CASE page_id % 6 WHEN 0 THEN parts[-1] WHEN 1 THEN parts[-2] || '/' || parts[-1]
-      WHEN 2 THEN parts[-2] || '/' || parts[-1] || '.wav'
-      WHEN 3 THEN parts[-2] || '\\' || parts[-1] || '.v1'
+  SELECT page_id, CASE page_id % 6 WHEN 0 THEN parts[-1] WHEN 1 THEN array_to_string(parts[-2:], '/')
+      WHEN 2 THEN array_to_string(parts[-2:], '/') || '.wav'
+      WHEN 3 THEN array_to_string(parts[-2:], '\\') || '.v1'
       WHEN 4 THEN '{SOUNDS}/' || p || '.wav' ELSE '/gone/' || parts[-1] END AS ref
   FROM pg),
 wanted AS (
@@ -197,7 +197,7 @@ SELECT voice_name, 'Voice ''' || voice_name || ''' was not found in {VOICES}' AS
 FROM wanted WHERE voice_name NOT IN (SELECT voice_name FROM res)""",
     "sound_resolve": f"WITH {_SOUNDS} SELECT * FROM res",
     "sound_ambiguous": f"""WITH {_SOUNDS}
-SELECT ref, path FROM tied WHERE ref IN (SELECT ref FROM cnt WHERE n > 1)""",
+SELECT DISTINCT bare AS tail, path FROM tied JOIN wanted USING (ref) WHERE ref IN (SELECT ref FROM cnt WHERE n > 1)""",
     "sound_uses": f"""WITH {_SOUNDS}
 SELECT resolved_path AS path, page_id, length(resolved_path)::BIGINT * 100 AS frames
 FROM refs JOIN res USING (ref) WHERE resolved_path IS NOT NULL""",

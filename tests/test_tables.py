@@ -47,7 +47,7 @@ def test_sounds(spark):
     assert "was not found under /s" in got["nothing"].error and "not found" in got["Door"].error
     assert got["/s/left/bell.wav"].resolved_path == "/s/left/bell.wav"
     assert "absolute path" in got["/s/left/bell"].error
-    tied = sorted(r.path for r in X.ambiguous_files(refs, files).where("ref = 'bell'").collect())
+    tied = sorted(r.path for r in X.ambiguous_files(refs, files).where("tail = 'bell'").collect())
     assert tied == ["left/bell.wav", "right/bell.mp3"]
 
 
