@@ -1,5 +1,6 @@
 """Role repair: least costs by trying everything, cuts at any place, rendering by hand."""
 
+import functools
 import itertools
 import random
 
@@ -13,6 +14,7 @@ def legal(roles):
     return len(roles) % 2 == 0 and all(r == ("user", "assistant")[k % 2] for k, r in enumerate(roles)) and (roles or True)
 
 
+@functools.cache
 def least(roles):
     """The least cost by trying all target roles, merges and insertions; empty turns go where legality asks for them."""
     best = None
@@ -55,7 +57,7 @@ def test_against_trying_everything(spark):
     for conv, roles in convs.items():
         own = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["turn"])
         assert [r["role"] for r in own] == roles
-        assert sum(r["cost"] for r in own) == least(roles)
+        assert sum(r["cost"] for r in own) == least(tuple(roles))
         text = "".join(r["piece"] for r in own)
         turns = [t.split("\n", 1) for t in text.split(chat.OPEN)[1:]]
         assert legal([t[0] for t in turns]) and all(t[1].endswith(chat.CLOSE) for t in turns)
@@ -85,7 +87,7 @@ def test_rendering(spark):
     assert one == "<|im_start|>user\na\nb<|im_end|>\n<|im_start|>assistant\nc\n<|im_end|>\n"
     assert [got[1, k]["action"] for k in range(4)] == ["keep", "merge", "keep", "merge"]
     two = got[2, 0]
-    assert two["new_role"] in ("user", "system", "assistant") and two["cost"] == least(["system"])
+    assert two["new_role"] in ("user", "system", "assistant") and two["cost"] == least(("system",))
 
 
 def test_odd_rows(spark):
