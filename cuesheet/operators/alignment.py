@@ -161,12 +161,15 @@ def is_exact(line_ends: Column, ranges: Column) -> Column:
 
 
 def exact_spans(tokens_: Column, line_ends: Column, ranges: Column) -> Column:
-    """Per line: first known start and last known end of the clauses inside it."""
+    """Per line of an exact script: first known start and last known end of the clauses inside it.
 
-    def spans(lines: Column, ends: Column, clauses: Column) -> Column:
+    Where lines end, clauses end, so a line's clauses lie between two places in the list of clause ends.
+    """
+
+    def spans(lines: Column, ends: Column, clauses: Column, clause_ends: Column) -> Column:
         def span(_: Column, i: Column) -> Column:
-            lo, hi = F.get(ends, i), F.get(ends, i + 1)
-            inside = F.filter(clauses, lambda c: (c["hi"] > lo) & (c["hi"] <= hi) & (c["hi"] > c["lo"]))
+            before, last = _place(clause_ends, F.get(ends, i)), _place(clause_ends, F.get(ends, i + 1))
+            inside = F.slice(clauses, before + 1, F.greatest(last - before, F.lit(0)))
             return let(
                 lambda rows: F.struct(
                     F.try_element_at(F.filter(rows, lambda c: c["start"].isNotNull()), F.lit(1))["start"].alias("start"),
@@ -177,7 +180,19 @@ def exact_spans(tokens_: Column, line_ends: Column, ranges: Column) -> Column:
 
         return F.transform(lines, span)
 
-    return let(spans, lines=tokens_, ends=line_ends, clauses=ranges)
+    return let(
+        lambda lines, ends, clauses: let(
+            spans, lines=lines, ends=ends, clauses=clauses, clause_ends=F.transform(clauses, lambda c: c["hi"])
+        ),
+        lines=tokens_,
+        ends=line_ends,
+        clauses=F.filter(ranges, lambda c: c["hi"] > c["lo"]),
+    )
+
+
+def _place(offsets: Column, value: Column) -> Column:
+    """Where a number first stands in an array, from 1; 0 if nowhere. A plain loop over numbers, without a lambda."""
+    return F.array_position(offsets, value).cast("int")
 
 
 def greedy_hits(tokens_: Column, joined: Column) -> Column:
@@ -236,12 +251,16 @@ def greedy_hits(tokens_: Column, joined: Column) -> Column:
 def matched_spans(tokens_: Column, line_ends: Column, hits: Column, words: Column, ranges: Column) -> Column:
     """Word times of each hit; a clause that begins or ends the line at its offset wins."""
 
-    def spans(lines: Column, ends: Column, found: Column, timed: Column, clauses: Column) -> Column:
+    def spans(
+        lines: Column, ends: Column, found: Column, timed: Column,
+        opens: Column, los: Column, closes_: Column, his: Column,
+    ) -> Column:
         def span(line: Column, i: Column) -> Column:
             lo, hi = F.get(ends, i), F.get(ends, i + 1)
-            opening = F.try_element_at(F.filter(clauses, lambda c: (c["lo"] == lo) & (c["hi"] > c["lo"])), F.lit(-1))
-            # A clause without tokens at the same place hides the one before it, and then never matches.
-            closing = F.try_element_at(F.filter(clauses, lambda c: c["hi"] == hi), F.lit(-1))
+            # Only one clause with tokens begins at a place.
+            opening = F.get(opens, _place(los, lo) - 1)
+            # The last that ends there: one without tokens hides the one before it, and then never matches.
+            closing = F.get(closes_, _place(his, hi) - 1)
 
             def chosen(open_: Column, close: Column, hit: Column) -> Column:
                 n_open, n_close = F.size(open_["tokens"]), F.size(close["tokens"])
@@ -257,7 +276,17 @@ def matched_spans(tokens_: Column, line_ends: Column, hits: Column, words: Colum
 
         return F.transform(lines, span)
 
-    return let(spans, lines=tokens_, ends=line_ends, found=hits, timed=words, clauses=ranges)
+    def listed(lines: Column, ends: Column, found: Column, timed: Column, opens: Column, closes_: Column) -> Column:
+        return let(
+            spans, lines=lines, ends=ends, found=found, timed=timed,
+            opens=opens, los=F.transform(opens, lambda c: c["lo"]),
+            closes_=closes_, his=F.transform(closes_, lambda c: c["hi"]),
+        )
+
+    return let(
+        listed, lines=tokens_, ends=line_ends, found=hits, timed=words,
+        opens=F.filter(ranges, lambda c: c["hi"] > c["lo"]), closes_=F.reverse(ranges),
+    )
 
 
 def line_spans(scripts: DataFrame) -> DataFrame:
