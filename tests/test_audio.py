@@ -151,3 +151,38 @@ def test_wav_files(spark, clips):
 def test_custom_stage(clips):
     made = B.apply_custom(_blocks(clips), lambda: (lambda x, s, e: -x), 0, 0, 700)
     assert np.allclose(_whole(made)[2], -np.stack(_signal(2)))
+
+
+def test_presets_lose_no_clip(spark):
+    """Aliases and spellings are known, none passes, the rest is named: every clip is in one of the two tables."""
+    names = ["narrator1", " NARRATOR ", None, "none", "", "moon", "indoor1"]
+    signal = _signal(1)
+    rows = [(i, signal[0][:900].tolist(), signal[1][:900].tolist(), n) for i, n in enumerate(names)]
+    rows.append((7, signal[0][:9].tolist(), signal[1][:9].tolist(), "indoor1"))
+    clips = spark.createDataFrame(rows, "clip_id bigint, l array<float>, r array<float>, preset string")
+    blocks = _blocks(clips, 300).join(clips.select("clip_id", "preset"), "clip_id")
+    done = _whole(B.by_preset(blocks, RATE, 300))
+    problems = {r.clip_id: r.message for r in B.preset_problems(blocks).collect()}
+    assert set(done) | set(problems) == set(range(8)) and not set(done) & set(problems)
+    assert set(problems) == {5, 7} and "Unknown preset 'moon'" in problems[5]
+    for plain in (2, 3, 4):
+        assert np.array_equal(done[plain], np.stack([signal[0][:900], signal[1][:900]]))
+    assert np.array_equal(done[0], done[1]) and not np.array_equal(done[0], done[2])
+
+
+def test_silence_between(spark):
+    placed = spark.createDataFrame([("a", 3, [1.0] * 4), ("a", 40, [2.0])], "key string, start_frame bigint, samples array<double>")
+    lengths = spark.createDataFrame([("a", 45), ("b", 12), ("c", 0)], "key string, frames bigint")
+    full = B.fill_silence(B.mix_blocks(placed, ["key"], 10), lengths, ["key"], 10).collect()
+    by = {(r.key, r.block_no): list(r.samples) for r in full}
+    assert sorted(by) == [("a", k) for k in range(5)] + [("b", 0), ("b", 1)]
+    assert by["a", 0] == [0.0] * 3 + [1.0] * 4 + [0.0] * 3 and by["a", 4][0] == 2.0 and by["b", 1] == [0.0] * 10
+    assert by["a", 2] == [0.0] * 10
+
+
+def test_equal_starts_are_dealt(spark):
+    """A thousand pieces that start together are summed over all salts, and the sum is right."""
+    rows = [("a", 5, [1.0, 2.0])] * 1000
+    placed = spark.createDataFrame(rows, "key string, start_frame bigint, samples array<double>")
+    mixed = B.mix_blocks(placed, ["key"], 10).collect()
+    assert len(mixed) == 1 and list(mixed[0].samples)[5:7] == [1000.0, 2000.0]
