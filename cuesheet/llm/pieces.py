@@ -144,7 +144,9 @@ class Lattices(dict):
         self.prefixes = Prefixes(vocabulary.pieces)
         self.scores = np.array(vocabulary.scores) / temperature
         self.byte_score = float(np.mean([self.scores[k] for k in vocabulary.byte_ids]))
+        self.byte_ids = np.array(vocabulary.byte_ids, np.int32)
         self._space = [np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32)]
+        self._first = np.empty(0, np.int32)
         self.edges = self.nodes = 0
 
     def reset(self) -> None:
@@ -152,15 +154,17 @@ class Lattices(dict):
         self.edges = self.nodes = 0
 
     def arrays(self) -> list[np.ndarray]:
-        return [x[: self.edges] for x in self._space]
+        """upto, back and piece by edge, and each node's first edge."""
+        return [*(x[: self.edges] for x in self._space), self._first[: self.nodes]]
 
-    def _append(self, *parts: np.ndarray) -> None:
-        end = self.edges + len(parts[0])
-        if end > len(self._space[0]):
-            self._space = [np.concatenate([x[: self.edges], np.empty(max(end, 1 << 16), x.dtype)]) for x in self._space]
-        for space, part in zip(self._space, parts):
+    def _append(self, upto: np.ndarray, back: np.ndarray, piece: np.ndarray, first: np.ndarray) -> None:
+        end, last = self.edges + len(upto), self.nodes + len(first)
+        self._space = [_room(x, self.edges, end) for x in self._space]
+        for space, part in zip(self._space, (upto, back, piece)):
             space[self.edges : end] = part
-        self.edges = end
+        self._first = _room(self._first, self.nodes, last)
+        self._first[self.nodes : last] = first
+        self.edges, self.nodes = end, last
 
     def ends(self, words: list[str]) -> list[int]:
         """The last node of each word; words not seen before are filtered, all together."""
@@ -168,10 +172,9 @@ class Lattices(dict):
         if new:
             text = np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)
             sizes = np.fromiter(map(len, new), np.int64, len(new))
+            last = self.nodes + np.cumsum(sizes) - 1
             self._filter(text, sizes)
-            for word, end in zip(new, (self.nodes + np.cumsum(sizes) - 1).tolist()):
-                self[word] = end
-            self.nodes += len(text)
+            self.update(zip(new, last.tolist()))
         return list(map(self.__getitem__, words))
 
     def _filter(self, text: np.ndarray, sizes: np.ndarray) -> None:
@@ -199,35 +202,55 @@ class Lattices(dict):
                 break
         weights = [self.scores[k] for k in ids]
         rest = np.flatnonzero(alone)  # characters that are no piece
+        chars = text[rest].astype(np.int64)
         froms.append(rest)
         tos.append(rest)
-        ids.append((-1 - text[rest].astype(np.int64)).astype(np.int32))
-        chars = text[rest]
-        weights.append(self.byte_score * (1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)))
-        start, end, piece, weight = map(np.concatenate, (froms, tos, ids, weights))
-        # Forward: all nodes at the same place of their words at once.
-        order = np.lexsort((start, end, inside[end]))
-        start, end, piece, weight = start[order], end[order], piece[order], weight[order]
+        ids.append(np.where(chars < 0x80, self.byte_ids[np.minimum(chars, 0x7F)], -1 - chars).astype(np.int32))
+        weights.append(self.byte_score * _bytes_of(chars))
+        # Longer pieces first: they are the likelier ones, and sampling tries a node's edges in order.
+        start, end, piece, weight = (np.concatenate(x[::-1]) for x in (froms, tos, ids, weights))
+        by_node = np.argsort(end, kind="stable")
+        start, piece, weight = start[by_node], piece[by_node], weight[by_node]
         back = np.where(inside[start] == 0, -1, start - 1)
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(inside[end]))])
-        log_sum, upto = np.zeros(len(text) + 1), np.empty(len(end))  # the last entry serves back = -1
-        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            nodes = end[low:high]
-            first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
-            count = np.diff(np.concatenate([first, [high - low]]))
-            total = log_sum[back[low:high]] + weight[low:high]
-            most = np.maximum.reduceat(total, first)
-            share = np.exp(total - np.repeat(most, count))
-            added = np.add.reduceat(share, first)
-            log_sum[nodes[first]] = most + np.log(added)
+        count = np.bincount(end, minlength=len(text))
+        first = np.cumsum(count) - count
+        # Forward: all nodes at the same place of their words at once.
+        order = np.argsort(inside.astype(np.uint16 if sizes.max() < 1 << 16 else np.int64), kind="stable")
+        own = count[order]
+        place = np.cumsum(own) - own
+        edges = np.repeat(first[order] - place, own) + np.arange(len(back))
+        from_, weight = back[edges], weight[edges]
+        log_sum, upto = np.zeros(len(text) + 1), np.empty(len(back))  # the last entry serves back = -1
+        levels = np.concatenate([[0], np.cumsum(np.bincount(inside))])
+        marks = np.append(place, len(back))[levels]
+        for k in range(len(levels) - 1):
+            nodes, many = order[levels[k] : levels[k + 1]], own[levels[k] : levels[k + 1]]
+            low, high = marks[k], marks[k + 1]
+            begin = place[levels[k] : levels[k + 1]] - low
+            total = log_sum[from_[low:high]] + weight[low:high]
+            most = np.maximum.reduceat(total, begin)
+            share = np.exp(total - np.repeat(most, many))
+            added = np.add.reduceat(share, begin)
+            log_sum[nodes] = most + np.log(added)
             running = np.cumsum(share)
-            before = running[first] - share[first]
-            part = np.minimum((running - np.repeat(before, count)) / np.repeat(added, count), 1.0)
-            part[first + count - 1] = 1.0
+            before = running[begin] - share[begin]
+            part = np.minimum((running - np.repeat(before, many)) / np.repeat(added, many), 1.0)
+            part[begin + many - 1] = 1.0
             upto[low:high] = part
-        by_node = np.argsort(end, kind="stable")
+        chance = np.empty(len(back))
+        chance[edges] = upto
         back = np.where(back < 0, -1, back + self.nodes)
-        self._append((self.nodes + end + upto)[by_node], back[by_node], piece[by_node])
+        self._append((self.nodes + end[by_node] + chance), back, piece, first + self.edges)
+
+
+def _room(array: np.ndarray, used: int, wanted: int) -> np.ndarray:
+    """The array, or its used part in a larger one."""
+    return array if wanted <= len(array) else np.concatenate([array[:used], np.empty(max(wanted, 1 << 16), array.dtype)])
+
+
+def _bytes_of(chars: np.ndarray) -> np.ndarray:
+    """How many bytes the characters have in UTF-8."""
+    return 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -255,7 +278,7 @@ def sample(texts: list[str | None], keys: np.ndarray, lattices: Lattices) -> lis
         return [None if t is None else np.empty(0, np.int32) for t in texts]
     nodes = lattices.ends(words)
     sizes = np.array(sizes)
-    upto, back, piece = lattices.arrays()
+    upto, back, piece, first_edge = lattices.arrays()
     first = np.cumsum(sizes) - sizes
     number = (np.arange(len(nodes)) - np.repeat(first, sizes)).astype(np.uint64)
     key = np.repeat(keys, sizes)
@@ -263,7 +286,11 @@ def sample(texts: list[str | None], keys: np.ndarray, lattices: Lattices) -> lis
     drawn, steps = [], np.zeros(len(nodes), np.int64)
     step = 0
     while len(at):
-        edge = np.searchsorted(upto, at + uniform(key[word], number[word], step), side="right")
+        edge, drawn_at = first_edge[at], at + uniform(key[word], number[word], step)
+        past = np.flatnonzero(upto[edge] <= drawn_at)
+        while len(past):
+            edge[past] += 1
+            past = past[upto[edge[past]] <= drawn_at[past]]
         drawn.append((word, piece[edge]))
         steps[word] += 1
         at = back[edge]
@@ -275,16 +302,29 @@ def sample(texts: list[str | None], keys: np.ndarray, lattices: Lattices) -> lis
     for k, (word, ids) in enumerate(drawn):  # drawn from the end of each word
         out[ends[word] - 1 - k] = ids
     bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-    found = [None if t is None else out[bounds[k] : bounds[k + 1]] for k, t in enumerate(texts)]
-    return found if out.min() >= 0 else [f if f is None else _bytes_in(f, lattices.vocabulary) for f in found]
-
-
-def _bytes_in(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """The ids with the byte pieces of the characters that are no piece."""
-    if not len(ids) or ids.min() >= 0:
-        return ids
-    every = [(k,) if k >= 0 else [vocabulary.byte_ids[b] for b in chr(-1 - k).encode()] for k in ids.tolist()]
-    return np.fromiter((k for some in every for k in some), np.int32)
+    out, bounds = _with_bytes(out, bounds, lattices.byte_ids)
+    return [None if t is None else out[bounds[k] : bounds[k + 1]] for k, t in enumerate(texts)]
+
+
+def _with_bytes(ids: np.ndarray, bounds: np.ndarray, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with the byte pieces of the characters that are no piece, and where each text now starts."""
+    where = np.flatnonzero(ids < 0)
+    if not len(where):
+        return ids, bounds
+    chars = -1 - ids[where].astype(np.int64)
+    many = _bytes_of(chars)
+    count = np.ones(len(ids), np.int64)
+    count[where] = many
+    ends = np.cumsum(count)
+    out = np.repeat(ids, count)
+    first = ends[where] - many
+    for k in range(4):
+        on = many > k
+        below = 6 * (many[on] - 1 - k)
+        bits = chars[on] >> below
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[many[on]]
+        out[first[on] + k] = byte_ids[(bits | lead) if k == 0 else (bits & 0x3F) | 0x80]
+    return out, np.concatenate([[0], ends])[bounds]
 
 
 def row_keys(keys: pa.Array, seed: int = SEED) -> np.ndarray:
