@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE = 256
 
@@ -24,3 +26,15 @@ def per_slice(make: Callable[[pa.RecordBatch], pa.RecordBatch]):
             yield make(part)
 
     return run
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Jobs that run inside exchange batches of so many rows with Python: for rows that hold whole sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -11,7 +11,8 @@ How it stays linear where thousands of documents look alike:
 * In each band's bucket every class is compared with the bucket's smallest one only. Links that verify are contracted
   to components.
 * Only where a bucket then still holds several components are the pairs *between* components compared, so no link is
-  lost, while members of one component are never paired with each other.
+  lost, while members of one component are never compared with each other. In large buckets that happens in cells of a
+  bounded number of rows, out of which only links come.
 """
 
 from __future__ import annotations
@@ -19,17 +20,21 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cuesheet.llm.arrow import per_slice
+from cuesheet.llm.arrow import batch_rows, per_slice
 from cuesheet.session import stored
 
 WORDS = 5
 BANDS = 32
 ROWS = 4
 SIMILARITY = (3, 4)  # linked if 4 * intersection >= 3 * union
+SMALL = 8  # buckets of so many classes have their pairs as rows
+PART = 512  # classes in a part of a larger bucket
+SET_ROWS = 400  # rows of a batch of sets or pairs of sets
 _BLOCK = 1 << 15  # array cells of a signature step, small enough for a core's cache
 _KEEP = 400_000  # words whose hash a worker remembers
 
@@ -180,7 +185,6 @@ def contract(edges: DataFrame, label: str = "components") -> DataFrame:
             found = found.join(step, "component", "left").select(
                 "node", F.coalesce("next", "component").alias("component")
             )
-        found = stored(found, f"{label}-found")
         ends_a = to.select(F.col("node").alias("a"), F.col("to").alias("to_a"))
         ends_b = to.select(F.col("node").alias("b"), F.col("to").alias("to_b"))
         edges = edges.join(ends_a, "a").join(ends_b, "b").where("to_a <> to_b")
@@ -188,9 +192,71 @@ def contract(edges: DataFrame, label: str = "components") -> DataFrame:
             edges.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(),
             f"{label}-edges",
         )
+    # Every pointer table is stored, so the joined labels need not be.
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")) if found is None else found
 
 
+def _cell(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the components of one cell of a bucket, of pairs that meet in no earlier band than the bucket's."""
+    rows = rows.sort_values("rep").drop_duplicates("rep")
+    bucket, low, high = (int(rows[c].iloc[0]) for c in ("bucket", "low", "high"))
+    ids, parts, components = (rows[c].to_numpy(np.int64) for c in ("rep", "part", "component"))
+    bands = np.stack([np.asarray(b, np.int64) for b in rows["bands"]])
+    codes = [np.frombuffer(c, np.uint64) for c in rows["codes"]]
+    sizes = np.array([len(c) for c in codes])
+    part, whole = SIMILARITY
+    links = []
+    for k in np.flatnonzero(parts == low):
+        # Each pair once: within a part by order, else one from either part.
+        other = np.flatnonzero((parts == high) & ((ids > ids[k]) if low == high else True) & (components != components[k]))
+        near = whole * np.minimum(sizes[other], sizes[k]) >= part * np.maximum(sizes[other], sizes[k])
+        other = other[near]
+        if len(other):
+            same = bands[other] == bands[k]
+            other = other[bands[k][same.argmax(axis=1)] == bucket]
+            links += [sorted((ids[k], ids[m])) for m in other if linked(codes[k], codes[m])]
+    return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
+def _between(members: DataFrame, found: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components that share a bucket.
+
+    The few pairs of a small bucket are rows. A larger bucket is dealt to parts, and every two of its parts to a cell,
+    in which the pairs are compared without being rows; only links leave it. A cell holds about two parts.
+    """
+    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = stored(placed.withColumn("component", F.coalesce("component", "rep")), "minhash-placed")
+    open_buckets = placed.groupBy("bucket").agg(
+        F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("rows")
+    )
+    open_buckets = stored(open_buckets.where("first <> last").select("bucket", "rows"), "minhash-open")
+    placed = stored(placed.join(open_buckets, "bucket"), "minhash-split")
+
+    small = placed.where(F.col("rows") <= SMALL)
+    one, other = (
+        small.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n_shingles", "component")])
+        for side in "ab"
+    )
+    part, whole = SIMILARITY
+    pairs = one.join(other, "bucket").where(
+        "rep_a < rep_b AND component_a <> component_b "
+        f"AND {whole} * least(n_shingles_a, n_shingles_b) >= {part} * greatest(n_shingles_a, n_shingles_b)"
+    )
+    pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+    parts = F.ceil(F.col("rows") / PART).cast("long")
+    large = placed.where(F.col("rows") > SMALL).select(
+        "bucket", "rep", "component", F.pmod(F.xxhash64("rep"), parts).alias("part"), parts.alias("parts")
+    )
+    cells = large.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("with"))
+    cells = cells.select(
+        "bucket", "rep", "component", "part", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high")
+    )
+    codes = sets.select(F.col("doc_id").alias("rep"), "codes")
+    cells = cells.join(bands, "rep").join(codes, "rep").groupBy("bucket", "low", "high")
+    return verified(pairs, sets).unionByName(cells.applyInPandas(_cell, "a long, b long"))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """Per row of ``documents(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
@@ -204,12 +270,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         "minhash",
     )
     usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = usable.groupBy("print").agg(F.min("doc_id").alias("rep"))
+    # Stored before they are joined back, so that a group that is far larger than others can be split in the join.
+    classes = stored(usable.groupBy("print").agg(F.min("doc_id").alias("rep")), "minhash-classes")
     # A class stands in the buckets once, by its smallest document.
     reps = usable.join(classes.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"], "left_semi")
     members = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last")
-    members = stored(members.join(shared.select("bucket", "hub"), "bucket"), "minhash-buckets")
+    shared = stored(shared.select("bucket", "hub"), "minhash-hubs")
+    members = stored(members.join(shared, "bucket"), "minhash-buckets")
     nodes = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = texts.join(nodes, "doc_id", "left_semi").mapInArrow(per_slice(_sets), "doc_id long, codes binary")
     sets = stored(sets, "minhash-sets")
@@ -218,29 +286,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     several = rows.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a <> last")
     same_id = rows.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
 
-    first = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(verified(first, sets).unionByName(same_id), "minhash-links")
+    star = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    with batch_rows(documents.sparkSession, SET_ROWS):
+        links = stored(verified(star, sets).unionByName(same_id), "minhash-links")
     found = contract(links, "minhash")
 
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "rep"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    placed = stored(placed.join(split.where("low <> high").select("bucket"), "bucket", "left_semi"), "minhash-split")
-    one, other = (
-        placed.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n_shingles", "component")])
-        for side in "ab"
-    )
-    part, whole = SIMILARITY
-    between = one.join(other, "bucket").where(
-        "rep_a < rep_b AND component_a <> component_b "
-        f"AND {whole} * least(n_shingles_a, n_shingles_b) >= {part} * greatest(n_shingles_a, n_shingles_b)"
-    )
-    between = between.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    between = stored(between.join(first, ["a", "b"], "left_anti"), "minhash-between")
-    if not between.isEmpty():
-        more = stored(verified(between, sets), "minhash-more")
-        if not more.isEmpty():
-            found = contract(links.unionByName(more), "minhash")
+    bands = reps.select(F.col("doc_id").alias("rep"), "bands")
+    with batch_rows(documents.sparkSession, SET_ROWS):
+        more = stored(_between(members, found, bands, sets), "minhash-more")
+    if not more.isEmpty():
+        found = contract(links.unionByName(more), "minhash")
 
     labels = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     labels = labels.select("print", F.coalesce("component", "rep").alias("component"))
