@@ -163,13 +163,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "codes_a", "codes_b").mapInArrow(per_slice(_verify), "a long, b long")
 
 
+def _few_files(df: DataFrame, label: str) -> DataFrame:
+    """``stored`` for tables of a row per class, link or bucket: at most four partitions for each core of the cluster.
+
+    They are far smaller than the documents, and otherwise each would be as many files as a shuffle has partitions.
+    """
+    return stored(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), label)
+
+
 def contract(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of (a, b): (node, component), the component being its smallest node.
 
     Every round points each node at its smallest neighbour and rewrites the edges with the pointers' ends, which at
     least halves the nodes that still have edges. All steps are joins and grouped minima.
     """
-    edges = stored(edges.where("a <> b").select("a", "b").distinct(), f"{label}-edges")
+    edges = _few_files(edges.where("a <> b").select("a", "b").distinct(), f"{label}-edges")
     found = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -177,7 +185,7 @@ def contract(edges: DataFrame, label: str = "components") -> DataFrame:
         to = to.select("node", F.least("node", "low").alias("to"))
         # One jump along the pointers: a chain gets half as long, and a smaller node stays a smaller node.
         onward = to.select(F.col("node").alias("to"), F.col("to").alias("onward"))
-        to = stored(to.join(onward, "to").select("node", F.col("onward").alias("to")), f"{label}-pointers")
+        to = _few_files(to.join(onward, "to").select("node", F.col("onward").alias("to")), f"{label}-pointers")
         if found is None:
             found = to.select("node", F.col("to").alias("component"))
         else:
@@ -188,7 +196,7 @@ def contract(edges: DataFrame, label: str = "components") -> DataFrame:
         ends_a = to.select(F.col("node").alias("a"), F.col("to").alias("to_a"))
         ends_b = to.select(F.col("node").alias("b"), F.col("to").alias("to_b"))
         edges = edges.join(ends_a, "a").join(ends_b, "b").where("to_a <> to_b")
-        edges = stored(
+        edges = _few_files(
             edges.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(),
             f"{label}-edges",
         )
@@ -225,12 +233,12 @@ def _between(members: DataFrame, found: DataFrame, bands: DataFrame, sets: DataF
     in which the pairs are compared without being rows; only links leave it. A cell holds about two parts.
     """
     placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = stored(placed.withColumn("component", F.coalesce("component", "rep")), "minhash-placed")
+    placed = _few_files(placed.withColumn("component", F.coalesce("component", "rep")), "minhash-placed")
     open_buckets = placed.groupBy("bucket").agg(
         F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("rows")
     )
-    open_buckets = stored(open_buckets.where("first <> last").select("bucket", "rows"), "minhash-open")
-    placed = stored(placed.join(open_buckets, "bucket"), "minhash-split")
+    open_buckets = _few_files(open_buckets.where("first <> last").select("bucket", "rows"), "minhash-open")
+    placed = _few_files(placed.join(open_buckets, "bucket"), "minhash-split")
 
     small = placed.where(F.col("rows") <= SMALL)
     one, other = (
@@ -271,13 +279,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
     usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     # Stored before they are joined back, so that a group that is far larger than others can be split in the join.
-    classes = stored(usable.groupBy("print").agg(F.min("doc_id").alias("rep")), "minhash-classes")
+    classes = _few_files(usable.groupBy("print").agg(F.min("doc_id").alias("rep")), "minhash-classes")
     # A class stands in the buckets once, by its smallest document.
     reps = usable.join(classes.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"], "left_semi")
     members = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last")
-    shared = stored(shared.select("bucket", "hub"), "minhash-hubs")
-    members = stored(members.join(shared, "bucket"), "minhash-buckets")
+    shared = _few_files(shared.select("bucket", "hub"), "minhash-hubs")
+    members = _few_files(members.join(shared, "bucket"), "minhash-buckets")
     nodes = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = texts.join(nodes, "doc_id", "left_semi").mapInArrow(per_slice(_sets), "doc_id long, codes binary")
     sets = stored(sets, "minhash-sets")
