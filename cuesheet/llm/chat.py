@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -288,37 +287,60 @@ def repair(conversations: DataFrame) -> DataFrame:
     after = _mapped(of_segments, _exits("segment"), "segment long, state int, last boolean")
     after = _mapped(in_segment.join(after, "segment"), _exits("chunk"), "chunk long, state int, last boolean")
     after = after.join(before, "chunk")
-    return rows.join(after, "chunk").groupBy("chunk").applyInPandas(_rendered, RESULT)
+    placed = rows.join(after, "chunk").repartition("chunk").sortWithinPartitions("chunk", "at")
+    return placed.mapInArrow(_render_all, RESULT)
 
 
 RESULT = "conv_id long, turn long, role string, new_role string, action string, inserted int, cost int, piece string"
 
 
-def _rendered(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("at")
-    roles = [r if isinstance(r, str) else None for r in rows["role"]]
-    texts = [t if isinstance(t, str) else "" for t in rows["text"]]
-    state, last = int(rows["state"].iloc[0]), bool(rows["last"].iloc[0])
-    found = trace(roles, list(rows["costs"].iloc[0]), state)
-    actions, inserted, costs, pieces = [], [], [], []
-    for k, (role, (before, action, target)) in enumerate(zip(roles, found)):
-        ends = last and k == len(roles) - 1
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each chunk, from rows that are sorted by chunk and place; a chunk may go on in the next batch."""
+    held: list[dict] = []
+    for part in slices(batches, CHUNK):
+        for row in part.to_pylist():
+            if held and row["chunk"] != held[0]["chunk"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _render_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = pa.schema([(n, _ARROW[k]) for n, k in (part.split() for part in RESULT.split(", "))])
+    done: list[dict] = []
+    for rows in _chunks(batches):
+        done += _rendered(rows)
+        if len(done) >= CHUNK:
+            yield pa.RecordBatch.from_pylist(done, kinds)
+            done = []
+    if done:
+        yield pa.RecordBatch.from_pylist(done, kinds)
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def _rendered(rows: list[dict]) -> list[dict]:
+    """The result rows of one chunk."""
+    found, made = trace([r["role"] for r in rows], rows[0]["costs"], rows[0]["state"]), []
+    for k, (row, (before, action, target)) in enumerate(zip(rows, found)):
+        ends = row["last"] and k == len(rows) - 1
         added = len(_INSERTS[before, target]) if action == "turn" else 0
         added += len(_CLOSING[target + 1]) if ends else 0
-        moved = 0 if _role(role) == target else UNKNOWN if _role(role) < 0 else RELABEL
-        actions.append("merge" if action == "merge" else "relabel" if moved else "keep")
-        inserted.append(added)
-        costs.append(moved + INSERT * added + (MERGE if action == "merge" else 0))
-        pieces.append(piece(texts[k], before, action, target, target + 1 if ends else None))
-    return pd.DataFrame(
-        {
-            "conv_id": rows["conv_id"].astype("Int64").values,
-            "turn": rows["turn"].astype("Int64").values,
-            "role": roles,
-            "new_role": [ROLES[target] for _, _, target in found],
-            "action": actions,
-            "inserted": inserted,
-            "cost": costs,
-            "piece": pieces,
-        }
-    )
+        source = _role(row["role"])
+        moved = 0 if source == target else UNKNOWN if source < 0 else RELABEL
+        made.append(
+            {
+                "conv_id": row["conv_id"],
+                "turn": row["turn"],
+                "role": row["role"],
+                "new_role": ROLES[target],
+                "action": "merge" if action == "merge" else "relabel" if moved else "keep",
+                "inserted": added,
+                "cost": moved + INSERT * added + (MERGE if action == "merge" else 0),
+                "piece": piece(row["text"], before, action, target, target + 1 if ends else None),
+            }
+        )
+    return made
