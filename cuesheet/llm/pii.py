@@ -69,7 +69,8 @@ _SPELLED = re.compile(
     rf"(?:(?:\bplus|\+)\s{{0,2}})?\b(?:{_DIGIT_NAME}|[0-9]++)\b(?:(?:[\s,-]{{1,3}}|\s?\.\s?|{_WORD_DOT}|\s?[()]\s?)\b(?:{_DIGIT_NAME}|[0-9]++)\b){{3,}}"
 )
 _SPELLED_PART = re.compile(rf"(?P<digit>\b{_DIGIT_NAME}\b)|(?P<plus>plus\s{{0,2}})|(?P<dot>{_WORD_DOT}|\s?\.\s?)|(?P<gap>[\s,()-]+)")
-_BRACKETED = re.compile(rf"{_OPEN}{_S}(?:at|arroba|arobase){_S}{_CLOSE}")
+#: Every address holds one of these signs, whatever its dots look like.
+_ANY_AT = re.compile(rf"@|{_OPEN}{_S}(?:at|arroba|arobase){_S}{_CLOSE}|{_WORD_AT}")
 _ANY_NAME = re.compile(rf"\b{_DIGIT_NAME}[\s,.-]{{1,3}}{_DIGIT_NAME}\b")
 
 
@@ -180,7 +181,7 @@ def _homoglyphs(text: str) -> Rewritten:
 def _undisguised(held: Rewritten) -> Rewritten:
     """The second transducer: addresses, then spelled numbers."""
     lower = _lower(held.text)
-    if "@" in lower or "dot" in lower or _BRACKETED.search(lower):
+    if _ANY_AT.search(lower):
         edits = []
         for m in _ADDRESS.finditer(lower):
             for sign in _SIGN.finditer(lower, m.start(), m.end()):

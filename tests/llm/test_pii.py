@@ -61,6 +61,22 @@ def test_disguised(text, kind, source):
     assert (kind, source) in spans
 
 
+@pytest.mark.parametrize(
+    "text, source",
+    [
+        ("write to jane.doe at gmail.com today", "jane.doe at gmail.com"),
+        ("mail x at y.com", "x at y.com"),
+        ("x\tat  mail.y.org!", "x\tat  mail.y.org"),
+    ],
+)
+def test_written_at_with_plain_dots(text, source):
+    """The span is the same whatever else the text holds."""
+    for rest in ("", " An anecdote.", " @", " (at)"):
+        found = [(pii.KINDS[k], (text + rest)[s:e]) for s, k, e, _ in pii.spans(text + rest)]
+        assert found == [("email", source)]
+    assert pii.masked(text) == text.replace(source, "<EMAIL>")
+
+
 @pytest.mark.parametrize(
     "text",
     [
