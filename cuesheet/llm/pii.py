@@ -71,7 +71,8 @@ _SPELLED = re.compile(
 _SPELLED_PART = re.compile(rf"(?P<digit>\b{_DIGIT_NAME}\b)|(?P<plus>plus\s{{0,2}})|(?P<dot>{_WORD_DOT}|\s?\.\s?)|(?P<gap>[\s,()-]+)")
 #: Every address holds one of these signs, whatever its dots look like.
 _ANY_AT = re.compile(rf"@|{_OPEN}{_S}(?:at|arroba|arobase){_S}{_CLOSE}|{_WORD_AT}")
-_ANY_NAME = re.compile(rf"\b{_DIGIT_NAME}[\s,.-]{{1,3}}{_DIGIT_NAME}\b")
+_ANY_NAME = re.compile(rf"\b{_DIGIT_NAME}\b")
+_TWO_NAMES = re.compile(rf"\b{_DIGIT_NAME}[\s,.-]{{1,3}}{_DIGIT_NAME}\b")
 
 
 def _luhn(digits: str) -> bool:
@@ -178,6 +179,33 @@ def _homoglyphs(text: str) -> Rewritten:
     return Rewritten(text).replace([(k, k + 1, table[ord(text[k])]) for k in places])
 
 
+def _spelled(lower: str) -> Iterator[tuple[int, int]]:
+    """Where numbers hold a spelled digit.
+
+    Names that stand apart are often words of the sentence ("call +1 (017) 555-7713 one day"), so such a number ends at
+    an identifier that is plain; what lies between plain ones is searched on its own.
+    """
+    plain = None
+    for m in _SPELLED.finditer(lower):
+        if _TWO_NAMES.search(m.group()):
+            yield m.span()
+        elif _ANY_NAME.search(m.group()):
+            if plain is None:
+                plain, at = plain_spans(lower), 0
+            while at < len(plain) and plain[at][2] <= m.start():
+                at += 1
+            start, k = m.start(), at
+            while k < len(plain) and plain[k][0] < m.end():
+                yield from _single_names(lower, start, plain[k][0])
+                start = max(start, plain[k][2])
+                k += 1
+            yield from _single_names(lower, start, m.end())
+
+
+def _single_names(lower: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    return (m.span() for m in _SPELLED.finditer(lower, start, end) if _ANY_NAME.search(m.group()))
+
+
 def _undisguised(held: Rewritten) -> Rewritten:
     """The second transducer: addresses, then spelled numbers."""
     lower = _lower(held.text)
@@ -192,10 +220,8 @@ def _undisguised(held: Rewritten) -> Rewritten:
         lower = _lower(held.text) if edits else lower
     if _ANY_NAME.search(lower):
         edits = []
-        for m in _SPELLED.finditer(lower):
-            if not _ANY_NAME.search(m.group()):
-                continue
-            for part in _SPELLED_PART.finditer(lower, m.start(), m.end()):
+        for start, end in _spelled(lower):
+            for part in _SPELLED_PART.finditer(lower, start, end):
                 kind = part.lastgroup
                 new = _DIGIT_OF[part.group()] if kind == "digit" else {"plus": "+", "dot": ".", "gap": ""}[kind]
                 if new != part.group():

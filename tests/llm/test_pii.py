@@ -77,6 +77,27 @@ def test_written_at_with_plain_dots(text, source):
     assert pii.masked(text) == text.replace(source, "<EMAIL>")
 
 
+@pytest.mark.parametrize(
+    "kind, source",
+    [
+        ("ip", "eight dot eight dot eight dot eight"),
+        ("ip", "10.0.zero.1"),
+        ("phone", "plus 1 five 5 five 0 one 2 three 4 seven"),
+        ("card", "four 7 three 6 nine 6 two 5 seven 3 zero 9 nine 5 eight 1"),
+    ],
+)
+def test_digit_names_apart(kind, source):
+    for text in (source, f"x {source} y", f"at 10.0.0.1, {source}."):
+        found = [(pii.KINDS[k], text[s:e]) for s, k, e, plain in pii.spans(text) if not plain]
+        assert found == [(kind, source)], text
+
+
+@pytest.mark.parametrize("text", ["+1 (017) 555-7713 one day", "10.0.0.1 one", "un 4736962573099581 un ami", "one, 10.0.0.1, 10.0.0.2 six"])
+def test_words_beside_plain_findings(text):
+    found = pii.spans(text)
+    assert found and all(plain for *_, plain in found)
+
+
 @pytest.mark.parametrize(
     "text",
     [
@@ -101,6 +122,11 @@ def test_long_texts_are_linear():
         pii.spans(text)
 
 
+def test_long_mixed_numbers_are_linear():
+    for text in ("one 1 " * 30_000, "10.0.0.1 one 5, " * 10_000, "one 10.0.0.1 1 " * 10_000, "8 dot " * 20_000 + "one"):
+        pii.spans(text)
+
+
 def test_query_columns(spark):
     rows = [(1, "x@y.com 10.0.0.1", "k"), (2, None, None), (3, "", "k"), (None, "x (at) y (dot) com", "k"), (1, "x@y.com 10.0.0.1", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
