@@ -37,10 +37,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
+    """Rows that hold no window of a benchmark item, each decided by its own text, with or without a doc_id."""
+    # Equal texts hold the same windows, so a text's digest stands for its rows; only null texts have none, and they stay.
+    digest = F.sha2("text", 256)
+    found = decontaminate.contamination(docs.select(digest.alias("doc_id"), "text"), _table(spark, sf_dir, "benchmark"))
     leaked = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(leaked, digest == leaked["doc_id"], "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

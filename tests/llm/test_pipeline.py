@@ -101,6 +101,33 @@ def test_stages_by_hand(spark, folder):
     assert whole == rows_of(encoded, ["doc_id", "n_pieces"])
 
 
+def test_decontamination_decides_rows(spark, folder):
+    """Rows without an id and rows that share one go or stay by their own text."""
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").where("text IS NOT NULL").first()["text"]
+    rows = [
+        (None, f"before {item} after"), (None, "clean, no id"), (None, None), (None, ""), (1, "clean, id used twice"),
+        (1, item), (2, item.upper()), (3, "clean"), (3, "clean"), (None, f"before {item} after"),
+    ]
+    table = [(i, t, "en", "s", 0, 1, "w") for i, t in rows]
+    docs = spark.createDataFrame(table, SCHEMA)
+    left = P.decontamination(spark, docs, folder)
+    assert left.columns == docs.columns
+    clean = [r for r in table if r[1] is None or item not in r[1].lower()]
+    assert rows_of(left, docs.columns) == sorted(clean, key=str) and len(clean) == 6
+
+
+def test_contaminated_row_without_id_through_all_stages(spark, tmp_path):
+    docs, items = documents(spark)
+    planted = docs.where("doc_id = 203").withColumn("doc_id", F.lit(None).cast("long"))
+    docs.unionByName(planted).write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = P.run(spark, str(tmp_path))
+    item = items.first()["text"]
+    texts = [r["text"] for r in pieces.decode(out).collect()]
+    assert len(texts) > 100 and not any(item in t for t in texts)
+    assert out.where("doc_id IS NULL").count() == 1
+
+
 def test_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
