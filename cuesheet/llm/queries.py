@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cuesheet.llm import chat, cotrain, decontaminate, langid, minhash, pieces, pii, quality, sharding, warc
+from cuesheet.llm import (
+    chat, collocations, cotrain, decontaminate, langid, merkle, minhash, pieces, pii, quality, sharding, simhash, warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,18 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"), merkle.tampered_text())
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -118,6 +132,83 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
+_CRC = (
+    "xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda z: ascii(z)::BIGINT),"
+    " lambda c, b: list_reduce(range(8), lambda v, q: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END),"
+    " xor(c, b)), 4294967295))"
+)
+
+
+def _sql_leaf(text: str) -> str:
+    values = [f"{c}::VARCHAR" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+_SQL_OP12 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS k, {_sql_leaf("text")} AS leaf,
+         {_sql_leaf(f"CASE WHEN {_CRC} % 5 = 0 THEN {_LOWER.format('text')} ELSE text END")} AS seen
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY k) AS n
+  FROM leaves),
+tree AS (
+  SELECT k, n, 1::BIGINT AS w, pos AS i, leaf AS h FROM placed
+  UNION ALL
+  SELECT k, n, w * 16, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE w < n GROUP BY k, n, w, i // 16),
+tops AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n, h FROM tree WHERE w >= n),
+upper_tree AS (
+  SELECT n, 1::BIGINT AS w, pos AS i, h FROM tops
+  UNION ALL
+  SELECT n, w * 16, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM upper_tree WHERE w < n GROUP BY n, w, i // 16),
+steps AS (
+  SELECT x.k, x.w, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS l,
+         coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS r
+  FROM tree x JOIN tree y ON x.k = y.k AND x.w = y.w AND x.i // 16 = y.i // 16 WHERE x.w < x.n GROUP BY ALL),
+upper_steps AS (
+  SELECT x.w, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS l,
+         coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS r
+  FROM upper_tree x JOIN upper_tree y ON x.w = y.w AND x.i // 16 = y.i // 16 WHERE x.w < x.n GROUP BY ALL),
+ways AS (
+  SELECT p.k, p.pos, 0 AS part, s.w, l, r FROM placed p JOIN steps s ON s.k = p.k AND s.i = p.pos // s.w
+  UNION ALL
+  SELECT p.k, p.pos, 1, s.w, l, r FROM placed p JOIN tops t ON t.k = p.k JOIN upper_steps s ON s.i = t.pos // s.w),
+proofs AS (
+  SELECT k, pos, string_agg(l || r, '' ORDER BY part, w) AS proof, list({{'l': l, 'r': r}} ORDER BY part, w) AS way
+  FROM ways GROUP BY k, pos)
+SELECT p.doc_id, p.leaf, t.h AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded AS folded_root,
+       folded = root AS verified
+FROM placed p JOIN tops t ON t.k = p.k LEFT JOIN proofs f ON f.k = p.k AND f.pos = p.pos,
+     (SELECT h AS root FROM upper_tree WHERE w >= n) u,
+     LATERAL (SELECT list_reduce(coalesce(way, []), lambda x, y: {{'l': sha256(y.l || x.l || y.r), 'r': ''}},
+                                 {{'l': p.seen, 'r': ''}}).l AS folded) v"""
+
+_SQL_OP13 = rf"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_extract_all(t, '[^.,;:!?
+-]+')) AS p FROM texts),
+words AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS g
+  FROM words, range(1, 6) s(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, g, string_split(g, ' ') AS w, count(*) AS f FROM grams GROUP BY lang, m, g HAVING count(*) >= 100),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, n, k, x.f AS l, y.f AS r, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) c JOIN sizes USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.g = array_to_string(c.w[1 : k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.g = array_to_string(c.w[k + 1 : ], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS g, max(f) AS most
+  FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM f WHERE m > 2))
+  GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.g = b.g WHERE coalesce(most, 0) < a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n,
+       score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000"""
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
@@ -129,5 +220,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_chat": op9_chat,
     "op10_pieces": op10_pieces,
+    "op11_simhash": op11_simhash,
+    "op12_manifest": op12_manifest,
+    "op13_collocations": op13_collocations,
 }
-ORACLE = {"op2_minhash": _SQL_OP2, "op5_warc": _SQL_OP5, "op8_decontamination": _SQL_OP8}
+ORACLE = {"op2_minhash": _SQL_OP2, "op5_warc": _SQL_OP5, "op8_decontamination": _SQL_OP8, "op12_manifest": _SQL_OP12, "op13_collocations": _SQL_OP13}
