@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -240,25 +239,28 @@ _PACKED = "grp long, lang string, rows long, cell long, many long, words binary,
 _PACKED_NAMES = [part.split()[0] for part in _PACKED.split(", ")]
 
 
-def _unpack(row, index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    unzip, n = zstandard.ZstdDecompressor(), row.rows
-    words = unzip.decompress(row.words).split(b"\n")
+def _unpack(row: dict, index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    unzip, n, cell, many = zstandard.ZstdDecompressor(), row["rows"], row["cell"], row["many"]
+    words = unzip.decompress(row["words"]).split(b"\n")
     ids = np.array([0, *[index.setdefault(word, len(index) + 1) for word in words]], np.int32)
-    data = unzip.decompress(row.cells)
-    end = LONGEST * n * row.cell
-    cells = np.frombuffer(data[:end], f"<u{row.cell}").reshape(LONGEST, n)
-    weights = np.frombuffer(data[end : end + n * row.many], f"<u{row.many}").astype(np.int64)
-    return ids[cells], weights, np.frombuffer(data[end + n * row.many :], np.int8)
+    data = unzip.decompress(row["cells"])
+    end = LONGEST * n * cell
+    cells = np.frombuffer(data[:end], f"<u{cell}").reshape(LONGEST, n)
+    weights = np.frombuffer(data[end : end + n * many], f"<u{many}").astype(np.int64)
+    return ids[cells], weights, np.frombuffer(data[end + n * many :], np.int8)
 
 
 def _subtrees(least: int):
     """Counts of the nodes below a group's prefixes, and parts of the counts of nodes above them."""
 
-    def count(packed: pd.DataFrame) -> pd.DataFrame:
+    def count(packed: pa.Table) -> pa.Table:
         langs, phrases, sizes, counts = [], [], [], []
-        for lang, own in packed.groupby("lang", sort=False):
+        by_lang: dict[str, list[dict]] = {}
+        for row in packed.to_pylist():
+            by_lang.setdefault(row["lang"], []).append(row)
+        for lang, own in by_lang.items():
             index: dict[bytes, int] = {}
-            parts = [_unpack(row, index) for row in own.itertuples()]
+            parts = [_unpack(row, index) for row in own]
             rows = np.concatenate([p[0] for p in parts], axis=1)
             order = _order(rows)
             rows = rows[:, order]
@@ -279,8 +281,14 @@ def _subtrees(least: int):
                 phrases += [b" ".join(names[k] for k in ids) for ids in rows[: d + 1, kept].T.tolist()]
                 sizes += [d + 1] * len(kept)
                 counts += total.tolist()
-        found = [p.decode("utf-8", "surrogatepass") for p in phrases]
-        return pd.DataFrame({"lang": langs, "phrase": found, "size": sizes, "f": counts})
+        return pa.table(
+            {
+                "lang": pa.array(langs, pa.string()),
+                "phrase": pa.array(phrases, pa.binary()).cast(pa.string()),
+                "size": pa.array(sizes, pa.int32()),
+                "f": pa.array(counts, pa.int64()),
+            }
+        )
 
     return count
 
@@ -341,7 +349,7 @@ def count_phrases(documents: DataFrame, least: int = LEAST, budget: int = BUDGET
     often = words.where(F.col("f") >= least)
     partition = divide(often, texts, budget)
     packed = texts.mapInArrow(_send(partition), _PACKED)
-    nodes = packed.groupBy("grp").applyInPandas(_subtrees(least), "lang string, phrase string, size int, f long")
+    nodes = packed.groupBy("grp").applyInArrow(_subtrees(least), "lang string, phrase string, size int, f long")
     nodes = nodes.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     ones = often.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f")
     return stored(ones.unionByName(nodes), "collocation-phrases"), sizes

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuesheet.operators.scans import attach, chunk_of
@@ -117,24 +117,22 @@ def _levels(leaves: list[str], several: bool) -> list[list[str]]:
     return levels
 
 
-def _top(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("pos")
-    key, block, total = rows["key"].iloc[0], int(rows["block"].iloc[0]), int(rows["total"].iloc[0])
-    digest = _levels(list(rows["leaf"]), total > BLOCK)[-1][0]
-    return pd.DataFrame({"key": [key], "place": [block], "places": [-(-total // BLOCK)], "digest": [digest]})
+def _top(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("pos")
+    key, block, total = (rows.column(name)[0].as_py() for name in ("key", "block", "total"))
+    digest = _levels(rows.column("leaf").to_pylist(), total > BLOCK)[-1][0]
+    return pa.table({"key": [key], "place": [block], "places": [-(-total // BLOCK)], "digest": [digest]})
 
 
-def _proofs(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+def _proofs(rows: pa.Table, above: pa.Table) -> pa.Table:
     """Per leaf of a block: its proof, and the root folded from the leaf as it is now."""
-    if not len(rows):
-        return pd.DataFrame(columns=["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root"])
-    rows = rows.sort_values("pos")
-    levels = _levels(list(rows["leaf"]), int(rows["total"].iloc[0]) > BLOCK)
-    subroot, root = above["subroot"].iloc[0], above["root"].iloc[0]
-    upper = [(s["left"], s["right"]) for s in above["steps"].iloc[0]]
+    rows = rows.sort_by("pos")
+    levels = _levels(rows.column("leaf").to_pylist(), rows.column("total")[0].as_py() > BLOCK)
+    own = above.to_pylist()[0]
+    upper = [(s["left"], s["right"]) for s in own["steps"]]
     upper_proof = "".join(left + right for left, right in upper)
     proofs, folded = [], []
-    for k, now in enumerate(rows["now"]):
+    for k, now in enumerate(rows.column("now").to_pylist()):
         siblings = []
         for level in levels[:-1]:
             start = k - k % FANOUT
@@ -144,10 +142,11 @@ def _proofs(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         for left, right in siblings + upper:
             now = _hash(left + now + right)
         folded.append(now)
-    return pd.DataFrame(
+    count = len(folded)
+    return pa.table(
         {
-            "doc_id": rows["doc_id"].array, "leaf": rows["leaf"].array, "subroot": subroot, "root": root,
-            "proof_sha256": proofs, "folded_root": folded,
+            "doc_id": rows.column("doc_id"), "leaf": rows.column("leaf"), "subroot": [own["subroot"]] * count,
+            "root": [own["root"]] * count, "proof_sha256": proofs, "folded_root": folded,
         }
     )
 
@@ -174,7 +173,7 @@ def manifest(documents: DataFrame, now: Column | None = None) -> DataFrame:
     placed = stored(placed, "merkle-placed")
 
     tops = placed.select("key", "block", "pos", "total", "leaf").groupBy("key", "block")
-    blocks = stored(tops.applyInPandas(_top, "key string, place long, places long, digest string"), "merkle-blocks")
+    blocks = stored(tops.applyInArrow(_top, "key string, place long, places long, digest string"), "merkle-blocks")
     blocks = stored(butterfly(blocks, "key"), "merkle-sources")
 
     sources = blocks.where("place = 0").select("key", F.col("root").alias("digest"), F.lit(0).alias("all"))
@@ -191,5 +190,5 @@ def manifest(documents: DataFrame, now: Column | None = None) -> DataFrame:
     )
     above = above.select("key", F.col("place").alias("block"), "subroot", "root", F.concat("below", "over").alias("steps"))
     schema = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string"
-    proven = placed.groupBy("key", "block").cogroup(above.groupBy("key", "block")).applyInPandas(_proofs, schema)
+    proven = placed.groupBy("key", "block").cogroup(above.groupBy("key", "block")).applyInArrow(_proofs, schema)
     return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
