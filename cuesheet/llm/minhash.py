@@ -10,9 +10,10 @@ How it stays linear where thousands of documents look alike:
 * Documents with equal sets are one class, whose smallest id stands for it in all further steps.
 * In each band's bucket every class is compared with the bucket's smallest one only. Links that verify are contracted
   to components.
-* Only where a bucket then still holds several components are the pairs *between* components compared, so no link is
-  lost, while members of one component are never compared with each other. In large buckets that happens in cells of a
-  bounded number of rows, out of which only links come.
+* Only where a bucket then still holds several components are pairs *between* components compared, so no link is lost.
+  Buckets of up to ``SMALL`` classes give their pairs. The classes of larger ones meet where they share one of their rarest
+  shingles: linked sets have one in common among the rarest quarter of either. Bounds by length and by the place of the
+  shingle leave out pairs that cannot be similar enough, and the largest component at a shingle never meets itself.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cuesheet.llm.arrow import batch_rows, per_slice
+from cuesheet.llm.components import compact, contract
 from cuesheet.session import stored
 
 WORDS = 5
@@ -33,7 +34,6 @@ BANDS = 32
 ROWS = 4
 SIMILARITY = (3, 4)  # linked if 4 * intersection >= 3 * union
 SMALL = 8  # buckets of so many classes have their pairs as rows
-PART = 512  # classes in a part of a larger bucket
 SET_ROWS = 400  # rows of a batch of sets or pairs of sets
 _BLOCK = 1 << 15  # array cells of a signature step, small enough for a core's cache
 _KEEP = 400_000  # words whose hash a worker remembers
@@ -115,7 +115,7 @@ def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes = shingle_set(text)
         counts.append(len(codes))
         if len(codes):
-            prints.append(hashlib.blake2b(codes.tobytes(), digest_size=16).digest())
+            prints.append(_print(codes.tobytes()))
             bands.append(band_keys(signature(codes)))
         else:
             prints.append(None)
@@ -131,9 +131,16 @@ def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def _print(codes: bytes) -> bytes:
+    return hashlib.blake2b(codes, digest_size=16).digest()
+
+
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     codes = [shingle_set(text).tobytes() for text in batch.column(1).to_pylist()]
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["doc_id", "codes"])
+    prints = [_print(c) for c in codes]
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), pa.array(prints, pa.binary()), pa.array(codes, pa.binary())], ["doc_id", "print", "codes"]
+    )
 
 
 def linked(one: np.ndarray, other: np.ndarray, similarity=SIMILARITY) -> bool:
@@ -163,82 +170,70 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "codes_a", "codes_b").mapInArrow(per_slice(_verify), "a long, b long")
 
 
-def _few_files(df: DataFrame, label: str) -> DataFrame:
-    """``stored`` for tables of a row per class, link or bucket: at most four partitions for each core of the cluster.
+def _tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each code of each set."""
+    codes = [np.frombuffer(c, np.uint64).view(np.int64) for c in batch.column(3).to_pylist()]
+    counts = np.array([len(c) for c in codes], np.int64)
+    row = pa.array(np.repeat(np.arange(len(codes)), counts))
+    columns = [batch.column(k).take(row) for k in range(3)]
+    columns += [pa.array(np.repeat(counts, counts)), pa.array(np.concatenate([np.empty(0, np.int64), *codes]))]
+    return pa.RecordBatch.from_arrays(columns, ["rep", "print", "component", "n", "code"])
 
-    They are far smaller than the documents, and otherwise each would be as many files as a shuffle has partitions.
+
+def _prefixes(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rarest codes of each set of classes(rep, component), so many that linked sets have one of them in common.
+
+    (rep, component, n, code, at): ``at`` is the place of the code among the n of its set, the rarest first. Codes of one
+    set only come first and can have no partner, so they are counted but not returned.
     """
-    return stored(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), label)
+    part, whole = SIMILARITY
+    own = sets.withColumnRenamed("doc_id", "rep").join(classes, "rep").select("rep", "print", "component", "codes")
+    tokens = own.mapInArrow(per_slice(_tokens), "rep long, print binary, component long, n long, code long")
+    tokens = compact(tokens, "minhash-tokens")
+    often = compact(tokens.groupBy("code").agg(F.count("*").alias("sets")).where("sets > 1"), "minhash-often")
+    shared = tokens.join(often, "code")
+    mine = Window.partitionBy("rep", "print")
+    at = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("sets", "code"))
+    shared = shared.withColumn("at", at).where(f"at <= n - ceil({part} * n / {whole}) + 1")
+    return compact(shared.select("rep", "component", "n", "code", "at"), "minhash-prefixes")
 
 
-def contract(edges: DataFrame, label: str = "components") -> DataFrame:
-    """Connected components of (a, b): (node, component), the component being its smallest node.
+def _crossing(prefixes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share a prefix code and may be similar enough.
 
-    Every round points each node at its smallest neighbour and rewrites the edges with the pointers' ends, which at
-    least halves the nodes that still have edges. All steps are joins and grouped minima.
+    Of the components that share a code, the one with most classes meets only the others, never itself.
     """
-    edges = _few_files(edges.where("a <> b").select("a", "b").distinct(), f"{label}-edges")
-    found = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-        to = to.select("node", F.least("node", "low").alias("to"))
-        # One jump along the pointers: a chain gets half as long, and a smaller node stays a smaller node.
-        onward = to.select(F.col("node").alias("to"), F.col("to").alias("onward"))
-        to = _few_files(to.join(onward, "to").select("node", F.col("onward").alias("to")), f"{label}-pointers")
-        if found is None:
-            found = to.select("node", F.col("to").alias("component"))
-        else:
-            step = to.select(F.col("node").alias("component"), F.col("to").alias("next"))
-            found = found.join(step, "component", "left").select(
-                "node", F.coalesce("next", "component").alias("component")
-            )
-        ends_a = to.select(F.col("node").alias("a"), F.col("to").alias("to_a"))
-        ends_b = to.select(F.col("node").alias("b"), F.col("to").alias("to_b"))
-        edges = edges.join(ends_a, "a").join(ends_b, "b").where("to_a <> to_b")
-        edges = _few_files(
-            edges.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(),
-            f"{label}-edges",
-        )
-    # Every pointer table is stored, so the joined labels need not be.
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")) if found is None else found
-
-
-def _cell(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links between the components of one cell of a bucket, of pairs that meet in no earlier band than the bucket's."""
-    rows = rows.sort_values("rep").drop_duplicates("rep")
-    bucket, low, high = (int(rows[c].iloc[0]) for c in ("bucket", "low", "high"))
-    ids, parts, components = (rows[c].to_numpy(np.int64) for c in ("rep", "part", "component"))
-    bands = np.stack([np.asarray(b, np.int64) for b in rows["bands"]])
-    codes = [np.frombuffer(c, np.uint64) for c in rows["codes"]]
-    sizes = np.array([len(c) for c in codes])
     part, whole = SIMILARITY
-    links = []
-    for k in np.flatnonzero(parts == low):
-        # Each pair once: within a part by order, else one from either part.
-        other = np.flatnonzero((parts == high) & ((ids > ids[k]) if low == high else True) & (components != components[k]))
-        near = whole * np.minimum(sizes[other], sizes[k]) >= part * np.maximum(sizes[other], sizes[k])
-        other = other[near]
-        if len(other):
-            same = bands[other] == bands[k]
-            other = other[bands[k][same.argmax(axis=1)] == bucket]
-            links += [sorted((ids[k], ids[m])) for m in other if linked(codes[k], codes[m])]
-    return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
-
-
-def _between(members: DataFrame, found: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFrame:
+    counts = prefixes.groupBy("code", "component").agg(F.count("*").alias("rows"))
+    largest = F.max(F.struct("rows", "component"))["component"].alias("main")
+    codes = counts.groupBy("code").agg(largest, F.count("*").alias("components")).where("components > 1")
+    rows = compact(prefixes.join(compact(codes.select("code", "main"), "minhash-codes"), "code"), "minhash-crossing")
+    one, other = (
+        df.select("code", "main", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "n", "at")])
+        for side, df in (("a", rows.where("component <> main")), ("b", rows))
+    )
+    # No more codes can be common than those from this one on, if it is the first common one.
+    common = "(1 + least(n_a - at_a, n_b - at_b))"
+    pairs = one.join(other.drop("main"), "code").where(
+        "component_a <> component_b AND (component_b = main OR rep_a < rep_b) "
+        f"AND {whole} * least(n_a, n_b) >= {part} * greatest(n_a, n_b) "
+        f"AND {part + whole} * {common} >= {part} * (n_a + n_b)"
+    )
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+
+def _between(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between different components that share a bucket.
 
-    The few pairs of a small bucket are rows. A larger bucket is dealt to parts, and every two of its parts to a cell,
-    in which the pairs are compared without being rows; only links leave it. A cell holds about two parts.
+    The few pairs of a small bucket are rows. Classes of larger buckets are joined on their rarest codes.
     """
     placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = _few_files(placed.withColumn("component", F.coalesce("component", "rep")), "minhash-placed")
+    placed = compact(placed.withColumn("component", F.coalesce("component", "rep")), "minhash-placed")
     open_buckets = placed.groupBy("bucket").agg(
         F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("rows")
     )
-    open_buckets = _few_files(open_buckets.where("first <> last").select("bucket", "rows"), "minhash-open")
-    placed = _few_files(placed.join(open_buckets, "bucket"), "minhash-split")
+    open_buckets = compact(open_buckets.where("first <> last").select("bucket", "rows"), "minhash-open")
+    placed = compact(placed.join(open_buckets, "bucket"), "minhash-split")
 
     small = placed.where(F.col("rows") <= SMALL)
     one, other = (
@@ -250,19 +245,11 @@ def _between(members: DataFrame, found: DataFrame, bands: DataFrame, sets: DataF
         "rep_a < rep_b AND component_a <> component_b "
         f"AND {whole} * least(n_shingles_a, n_shingles_b) >= {part} * greatest(n_shingles_a, n_shingles_b)"
     )
-    pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
-    parts = F.ceil(F.col("rows") / PART).cast("long")
-    large = placed.where(F.col("rows") > SMALL).select(
-        "bucket", "rep", "component", F.pmod(F.xxhash64("rep"), parts).alias("part"), parts.alias("parts")
-    )
-    cells = large.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("with"))
-    cells = cells.select(
-        "bucket", "rep", "component", "part", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high")
-    )
-    codes = sets.select(F.col("doc_id").alias("rep"), "codes")
-    cells = cells.join(bands, "rep").join(codes, "rep").groupBy("bucket", "low", "high")
-    return verified(pairs, sets).unionByName(cells.applyInPandas(_cell, "a long, b long"))
+    large = placed.where(F.col("rows") > SMALL).select("rep", "component").distinct()
+    pairs = pairs.unionByName(_crossing(_prefixes(large, sets))).distinct()
+    return verified(compact(pairs, "minhash-candidates"), sets)
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -279,15 +266,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
     usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     # Stored before they are joined back, so that a group that is far larger than others can be split in the join.
-    classes = _few_files(usable.groupBy("print").agg(F.min("doc_id").alias("rep")), "minhash-classes")
+    classes = compact(usable.groupBy("print").agg(F.min("doc_id").alias("rep")), "minhash-classes")
     # A class stands in the buckets once, by its smallest document.
     reps = usable.join(classes.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"], "left_semi")
     members = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last")
-    shared = _few_files(shared.select("bucket", "hub"), "minhash-hubs")
-    members = _few_files(members.join(shared, "bucket"), "minhash-buckets")
+    shared = compact(shared.select("bucket", "hub"), "minhash-hubs")
+    members = compact(members.join(shared, "bucket"), "minhash-buckets")
     nodes = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = texts.join(nodes, "doc_id", "left_semi").mapInArrow(per_slice(_sets), "doc_id long, codes binary")
+    sets = texts.join(nodes, "doc_id", "left_semi").mapInArrow(per_slice(_sets), "doc_id long, print binary, codes binary")
     sets = stored(sets, "minhash-sets")
 
     rows = usable.join(classes, "print").select("doc_id", "rep")
@@ -299,9 +286,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         links = stored(verified(star, sets).unionByName(same_id), "minhash-links")
     found = contract(links, "minhash")
 
-    bands = reps.select(F.col("doc_id").alias("rep"), "bands")
     with batch_rows(documents.sparkSession, SET_ROWS):
-        more = stored(_between(members, found, bands, sets), "minhash-more")
+        more = compact(_between(members, found, sets), "minhash-more")
     if not more.isEmpty():
         found = contract(links.unionByName(more), "minhash")
 

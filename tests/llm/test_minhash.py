@@ -107,13 +107,6 @@ def test_signature_is_a_similarity():
         assert abs(np.mean(errors)) < 0.03
 
 
-def test_components_of_a_long_path(spark):
-    pairs = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 102)]
-    edges = spark.createDataFrame(pairs, "a long, b long")
-    got = {r["node"]: r["component"] for r in minhash.contract(edges).collect()}
-    assert got == {k: 0 for k in range(41)} | {k: 100 for k in (100, 101, 102)}
-
-
 def test_one_large_bucket_group(spark):
     """Many different texts that are all alike: verified against one, never all with all."""
     base = [f"b{k}" for k in range(300)]
@@ -131,7 +124,6 @@ def test_hot_group_by_query(spark, sf_dir):
 
 def test_large_open_bucket(spark, monkeypatch):
     """A family that drifts apart: far members meet the others in cells, and no link is lost."""
-    monkeypatch.setattr(minhash, "PART", 8)
     monkeypatch.setattr(minhash, "SMALL", 3)
     rng = random.Random(9)
     base = [f"b{k}" for k in range(150)]
@@ -147,3 +139,56 @@ def test_large_open_bucket(spark, monkeypatch):
     expected = brute(rows)
     assert 1 < len({r[2] for r in expected}) < 80
     assert found(spark, rows) == expected
+
+
+def drifting(count, step, rng):
+    """Revisions of one page: each differs from the one before by a few words, ids ascend."""
+    text, rows = [f"b{k}" for k in range(120)], []
+    for k in range(count):
+        text = list(text)
+        for _ in range(step):
+            text[rng.randrange(len(text))] = f"n{k}x{rng.randrange(99)}"
+        rows.append((k, " ".join(text), "s"))
+    return rows
+
+
+def test_ascending_revisions(spark):
+    rows = drifting(120, 1, random.Random(4))
+    assert found(spark, rows) == brute(rows)
+
+
+def test_several_texts_of_one_id_in_a_large_open_bucket(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    rng = random.Random(6)
+    rows = [(i // 2, t, s) for i, t, s in drifting(60, 4, rng)] + [(i // 2 + 40, t, s) for i, t, s in drifting(60, 3, rng)]
+    rng.shuffle(rows)
+    # Both texts of an id make one node.
+    sets = {}
+    for i, t, _ in rows:
+        sets.setdefault(i, []).append(set(zip(*[minhash.words(t)[k:] for k in range(5)])))
+    low = {i: i for i in sets}
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if any(4 * len(x & y) >= 3 * len(x | y) for x in sets[a] for y in sets[b]):
+            one, other = sorted((root(a), root(b)))
+            low[other] = one
+    assert {(r[0], r[2]) for r in found(spark, rows)} == {(i, root(i)) for i in sets}
+
+
+def test_rows_of_an_open_bucket_grow_in_proportion(spark):
+    """A large component and a few classes beside it: twice the classes make twice the pairs, none inside it."""
+
+    def candidates(size):
+        prefixes = []
+        for k in range(size):
+            component = k + 1 if k < 5 else 9
+            prefixes += [(k, component, 100, code, 1 + code) for code in range(4)]
+        df = spark.createDataFrame(prefixes, "rep long, component long, n long, code long, at long")
+        return minhash._crossing(df).count()
+
+    assert candidates(400) == 5 * 395 + 10 and candidates(800) == 5 * 795 + 10
