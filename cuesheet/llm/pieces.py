@@ -240,7 +240,7 @@ class Lattices(dict):
         chance = np.empty(len(back))
         chance[edges] = upto
         back = np.where(back < 0, -1, back + self.nodes)
-        self._append((self.nodes + end[by_node] + chance), back, piece, first + self.edges)
+        self._append(chance, back, piece, first + self.edges)
 
 
 def _room(array: np.ndarray, used: int, wanted: int) -> np.ndarray:
@@ -286,7 +286,8 @@ def sample(texts: list[str | None], keys: np.ndarray, lattices: Lattices) -> lis
     drawn, steps = [], np.zeros(len(nodes), np.int64)
     step = 0
     while len(at):
-        edge, drawn_at = first_edge[at], at + uniform(key[word], number[word], step)
+        # A node's last edge has 1, above every number drawn, so the search stays within the node.
+        edge, drawn_at = first_edge[at], uniform(key[word], number[word], step)
         past = np.flatnonzero(upto[edge] <= drawn_at)
         while len(past):
             edge[past] += 1

@@ -398,16 +398,21 @@ def preset_problems(blocks: DataFrame, column: str = "preset") -> DataFrame:
     return blocks.select("clip_id", message.alias("message")).where("message is not null").distinct()
 
 
-def by_preset(blocks: DataFrame, rate: int, block_frames: int, column: str = "preset") -> DataFrame:
+def by_preset(
+    blocks: DataFrame, rate: int, block_frames: int, column: str = "preset", used: Sequence[str] = tuple(PRESETS)
+) -> DataFrame:
     """Blocks that name their clip's preset, in any spelling the catalog knows: one plan per preset.
 
+    ``used`` says which presets occur, if that is known: the others need no plan.
+
     Clips without a preset, by null or by its name for none, pass. ``preset_problems`` lists what is left out: names
     that are no preset, and clips too short for their preset's filters.
     """
     plain = ["clip_id", "block_no", "start_frame", "total", "l", "r"]
     named = blocks.withColumn("_preset", F.when(~no_preset(F.col(column)), canonical(F.col(column))))
     done = named.where("_preset is null").select(*plain)
-    for name, stages in PRESETS.items():
+    for name in used:
+        stages = PRESETS[name]
         mine = named.where(F.col("_preset") == name)
         if any(s in ("highpass", "lowpass", "tilt") for s, _ in stages):
             mine = mine.where(F.col("total") > PAD)
@@ -451,56 +456,70 @@ def resample_blocks(blocks: DataFrame, input_rate: int, output_rate: int, block_
     )
 
 
-def fill_silence(mixed: DataFrame, lengths: DataFrame, keys: list[str], block_frames: int) -> DataFrame:
+def fill_silence(
+    mixed: DataFrame,
+    lengths: DataFrame,
+    keys: list[str],
+    block_frames: int,
+    channels: Sequence[str] = ("samples",),
+    keep: Sequence[str] = (),
+) -> DataFrame:
     """All blocks of every timeline of ``lengths`` (keys, frames), those in which nothing sounds as zeros.
 
-    Without them a writer behind the mix would move what follows a pause. Equal keys spread by block.
+    Without them a writer behind the mix would move what follows a pause. Equal keys spread by block. ``keep`` names
+    columns of ``lengths`` that stay.
     """
     count = F.ceil(F.col("frames") / block_frames).cast("bigint")
     every = lengths.where("frames > 0").select(
-        *keys, F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("block_no")
+        *keys, *keep, F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("block_no")
     )
     silent = F.array_repeat(F.lit(0.0), block_frames)
-    return every.join(mixed, [*keys, "block_no"], "left").withColumn("samples", F.coalesce("samples", silent))
+    joined = every.join(mixed, [*keys, "block_no"], "left")
+    return joined.withColumns({name: F.coalesce(name, silent) for name in channels})
 
 
-def mix_blocks(placed: DataFrame, keys: list[str], block_frames: int, salts: int = 16) -> DataFrame:
-    """Mix placed mono pieces into timeline blocks: (keys, block_no, samples array<double>).
+def mix_blocks(
+    placed: DataFrame, keys: list[str], block_frames: int, salts: int = 16, channels: Sequence[str] = ("samples",)
+) -> DataFrame:
+    """Mix placed pieces into timeline blocks: (keys, block_no, an array<double> for each channel).
 
-    Input: keys, ``start_frame``, ``samples``. Pieces are cut at block edges and summed in three
+    Input: keys, ``start_frame``, and the channels' arrays, equally long in a row. Pieces are cut at block edges and summed in three
     rounds: within each task's batches, per salted block, and per block, so that a moment at which a
     third of all pieces sound does not meet in one task.
     """
-    last = F.floor((F.col("start_frame") + F.size("samples") - 1) / block_frames)
+    size = F.size(channels[0])
+    last = F.floor((F.col("start_frame") + size - 1) / block_frames)
     first = F.floor(F.col("start_frame") / block_frames)
-    cut = placed.where(F.size("samples") > 0).select(
-        *keys, "start_frame", "samples", F.explode(F.sequence(first, last)).alias("block_no")
+    cut = placed.where(size > 0).select(
+        *keys, "start_frame", *channels, F.explode(F.sequence(first, last)).alias("block_no")
     )
     edge = F.col("block_no") * block_frames
     begin = F.greatest(F.col("start_frame"), edge)
-    end = F.least(F.col("start_frame") + F.size("samples"), edge + block_frames)
+    end = F.least(F.col("start_frame") + size, edge + block_frames)
+    cell = lambda name: F.slice(name, (begin - F.col("start_frame") + 1).cast("int"), (end - begin).cast("int"))
     pieces = cut.select(
         *keys,
         "block_no",
         (begin - edge).cast("int").alias("at"),
-        F.slice("samples", (begin - F.col("start_frame") + 1).cast("int"), (end - begin).cast("int")).alias("samples"),
+        *[cell(name).alias(name) for name in channels],
         # Dealt in turn: pieces that start together, or that are equal, get different salts too.
         (F.monotonically_increasing_id() % salts).cast("int").alias("salt"),
     )
     types = {f.name: f.dataType.simpleString() for f in placed.schema}
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
     names = [*keys, "block_no", "salt"]
-    partial = f"{key_schema}, block_no bigint, salt int, at int, samples array<double>"
+    partial = f"{key_schema}, block_no bigint, salt int, at int, " + ", ".join(f"{c} array<double>" for c in channels)
 
     def add_up(batch: pd.DataFrame, by: list[str], sums: dict[tuple, np.ndarray]) -> None:
-        for row in batch[[*by, "at", "samples"]].itertuples(index=False, name=None):
-            *key, at, samples = row
-            total = sums.setdefault(tuple(key), np.zeros(block_frames))
-            total[at : at + len(samples)] += samples
+        for row in batch[[*by, "at", *channels]].itertuples(index=False, name=None):
+            key, at, arrays = row[: len(by)], row[len(by)], row[len(by) + 1 :]
+            total = sums.setdefault(key, np.zeros((len(channels), block_frames)))
+            for channel, samples in zip(total, arrays):
+                channel[at : at + len(samples)] += samples
 
     def shown(sums: dict[tuple, np.ndarray], by: list[str]) -> pd.DataFrame:
-        frame = pd.DataFrame([(*key, 0, total) for key, total in sums.items()], columns=[*by, "at", "samples"])
-        return frame if "salt" in by else frame.assign(salt=0)[[*names, "at", "samples"]]
+        frame = pd.DataFrame([(*key, 0, *total) for key, total in sums.items()], columns=[*by, "at", *channels])
+        return frame if "salt" in by else frame.assign(salt=0)[[*names, "at", *channels]]
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -531,4 +550,4 @@ def mix_blocks(placed: DataFrame, keys: list[str], block_frames: int, salts: int
         return rows.repartition(*by).sortWithinPartitions(*by).mapInPandas(merge(by), partial)
 
     combined = pieces.mapInPandas(per_batch, partial)
-    return summed(summed(combined, names), names[:-1]).select(*keys, "block_no", "samples")
+    return summed(summed(combined, names), names[:-1]).select(*keys, "block_no", *channels)

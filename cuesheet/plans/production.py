@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cuesheet.operators import alignment as A
 from cuesheet.operators import assets as X
+from cuesheet.operators import blocks as B
 from cuesheet.operators import dialogue as D
 from cuesheet.operators import marks as M
+from cuesheet.operators import mixdown as MX
 from cuesheet.operators import presets as P
 from cuesheet.operators import requests as R
 from cuesheet.operators import timeline as L
@@ -271,12 +273,16 @@ def plan_tree(plan_nodes: DataFrame, clip_frames: DataFrame, markers: DataFrame)
             "pre_gap", "post_gap",
             # A preset wraps its script and states no length of its own.
             F.when(F.col("preset").isNull(), F.col("length")).alias("length"),
+            F.when(~P.no_preset(F.col("preset")), P.canonical(F.col("preset"))).alias("preset"),
+            F.col("node_id").alias("source"), F.lit(0).cast("bigint").alias("first"),
         )
     )
     spans = F.transform(
         F.sequence(F.lit(0), F.size("markers") - 2),
         lambda k: F.struct(
-            k.alias("k"), F.greatest(F.get("markers", k + 1) - F.get("markers", k), F.lit(0)).alias("frames")
+            k.alias("k"),
+            F.get("markers", k).cast("bigint").alias("first"),
+            F.greatest(F.get("markers", k + 1) - F.get("markers", k), F.lit(0)).alias("frames"),
         ),
     )
     slices = (
@@ -291,6 +297,7 @@ def plan_tree(plan_nodes: DataFrame, clip_frames: DataFrame, markers: DataFrame)
             F.lit(False).alias("is_container"),
             F.col("s.frames").cast("bigint").alias("frames"),
             F.lit(0.0).alias("pre_gap"), F.lit(0.0).alias("post_gap"), F.lit(None).cast("double").alias("length"),
+            F.lit(None).cast("string").alias("preset"), F.col("node_id").alias("source"), F.col("s.first").alias("first"),
         )
     )
     return own.unionByName(slices)
@@ -309,6 +316,14 @@ def timeline(
     the mark before which all is dropped. Returns (placements, trimmed productions). Only the depth of
     the deepest document comes to the driver.
     """
+    placements, summaries, _ = _composed(plan_, clip_frames, rate, asr, cut_before)
+    return placements, L.trim_to_boundary(summaries.where("depth = 0"), rate)
+
+
+def _composed(
+    plan_: Plan, clip_frames: DataFrame, rate: int, asr: DataFrame | None, cut_before: DataFrame | None
+) -> tuple[DataFrame, DataFrame, int]:
+    """(placements, summaries, depth of the deepest document)."""
     missing = stored(missing_clips(plan_, clip_frames), "missing").select("doc_id").distinct()
     whole = plan_.plan_nodes.join(missing, "doc_id", "left_anti")
     markers = script_markers(plan_.contents.join(missing, "doc_id", "left_anti"), clip_frames, rate, asr)
@@ -317,7 +332,41 @@ def timeline(
     if cut_before is not None:
         tree = stored(_cut(tree, _marks(plan_.plan_nodes), cut_before, deepest), "cut")
     placements, summaries = L.compose_tree(tree, rate, deepest)
-    return placements, L.trim_to_boundary(summaries.where("depth = 0"), rate)
+    return placements, summaries, deepest
+
+
+def audio(
+    plan_: Plan,
+    clips: DataFrame,
+    rate: int,
+    block_frames: int,
+    asr: DataFrame | None = None,
+    cut_before: DataFrame | None = None,
+    master: str | None = None,
+) -> DataFrame:
+    """The finished audio of every production as stereo blocks: (clip_id, block_no, start_frame, total, l, r).
+
+    ``clips``: rendered scripts and sounds as blocks of ``block_frames`` at ``rate`` (doc_id, node_id, block_no, start_frame,
+    total, l, r). A script's preset is run on the script's whole mix, inline items included, while its place and gaps
+    stay as they are; ``master`` is a preset for the whole. Productions that lack a clip are left out, and named by
+    ``missing_clips``; presets leave out clips too short for their filters (``blocks.preset_problems``). ``clip_id`` is
+    the document, so ``wav.write_wavs`` takes the blocks as they are, with the path added.
+    """
+    clip_frames = clips.groupBy("doc_id", "node_id").agg(F.max("total").cast("bigint").alias("frames"))
+    placements, summaries, deepest = _composed(plan_, stored(clip_frames, "clip-frames"), rate, asr, cut_before)
+    of = lambda doc, node: F.to_json(F.struct(F.col(doc).alias("doc"), F.col(node).cast("string").alias("node")))
+    sources = clips.select(of("doc_id", "node_id").alias("clip_id"), "block_no", "start_frame", "total", "l", "r")
+    placed = placements.withColumn("clip_id", of("production", "source"))
+    used = [row[0] for row in placed.where("preset is not null").select("preset").distinct().collect()]  # a catalog name
+    done = MX.mix_tree(
+        placed,
+        stored(L.trim_to_boundary(summaries.where("depth = 0"), rate), "trimmed"),
+        sources,
+        lambda named: B.by_preset(named, rate, block_frames, used=used),
+        deepest,
+        block_frames,
+    )
+    return done if master is None else B.apply_preset(stored(done, "mixed"), master, rate, block_frames)
 
 
 def preset_of(plan_nodes: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from cuesheet.functions.timing import clean_zero
 from cuesheet.operators import blocks as B
 from cuesheet.operators import frames as FR
+from cuesheet.operators import mixdown as MX
+from cuesheet.operators import timeline as L
 from cuesheet.operators.presets import PRESETS, canonical, no_preset, preset_error
 from cuesheet.registry.common import table
-from cuesheet.registry.timeline import _MIX, _overlapping, clips
+from cuesheet.registry.timeline import _MIX, _TREE, _overlapping, clips, hierarchy
 from cuesheet.sources import wav
 
 RATE = 1000
@@ -92,6 +94,48 @@ def block_mid_side(spark, sf_dir):
     return _shown(B.block_frames_table(B.mid_side_stage(_blocks(spark, sf_dir), 1.18, 0.62)))
 
 
+# Own presets of the tree's queries, which SQL can follow: a projection, a gain and echoes.
+CHAINS = {
+    "wide": B.mid_side(1.18, 0.62),
+    "loud": B.Local(lambda x, _, __: x * 0.75),
+    "echo": B.echoes([(3, 0.3, 0.2), (11, 0.1, 0.15)], 0.9),
+}
+
+
+def _placed_tree(spark, sf_dir):
+    """The region hierarchy: three of four nations and every seventh customer have a preset, customers play embeddings."""
+    placements, summaries = L.compose_tree(hierarchy(spark, sf_dir), 4, 2)
+    number = F.substring("node_id", 2, 20).cast("bigint")
+    nation = F.when(number % 4 == 0, "wide").when(number % 4 == 1, "loud").when(number % 4 == 2, "echo")
+    placed = placements.withColumns(
+        {
+            "preset": F.when(F.col("is_container"), nation).otherwise(F.when(number % 7 == 0, "loud")),
+            "clip_id": number % 500,
+            "first": number % 5,
+        }
+    )
+    return placed, L.trim_to_boundary(summaries.where("depth = 0"), 4)
+
+
+def plan_audio(spark, sf_dir):
+    """Whole productions from a placed tree, frame by frame: gaps, overlaps, presets inside presets, boundary trim."""
+    placed, productions = _placed_tree(spark, sf_dir)
+    done = MX.mix_tree(placed, productions, _blocks(spark, sf_dir), MX.by_chain(CHAINS, BLOCK), 2, BLOCK)
+    return _shown(B.block_frames_table(done)).withColumnRenamed("clip_id", "production")
+
+
+def block_slices(spark, sf_dir):
+    """Three overlapping parts of every clip, moved to one new clip with a pause, over block edges."""
+    moves = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("clip_id"), (F.col("vec_id") % 97).alias("target"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")
+    ).select(
+        "clip_id", "target", (F.col("k") * 7 + F.col("clip_id") % 4).alias("first"),
+        (F.col("k") * 7 + F.col("clip_id") % 4 + 13).alias("last"), (F.col("clip_id") * 5 + F.col("k") * 9 + 2).alias("at"),
+    )
+    lengths = moves.groupBy(F.col("target").alias("clip_id")).agg(F.max(F.col("at") + 15).alias("frames"))
+    return _shown(B.block_frames_table(MX.move(_blocks(spark, sf_dir), moves, lengths, BLOCK)))
+
+
 def clip_rms(spark, sf_dir):
     return FR.rms(_stereo(spark, sf_dir)).select("clip_id", clean_zero(F.col("rms"), 6).alias("rms"))
 
@@ -231,6 +275,8 @@ def wav_float(spark, sf_dir):
 
 
 QUERIES = {
+    "plan_audio": plan_audio,
+    "block_slices": block_slices,
     "channels_down": channels_down,
     "channels_up": channels_up,
     "mid_side": mid_side,
@@ -387,7 +433,59 @@ k AS (
 o AS (SELECT n.clip_id, frame, (l + nl * k)::FLOAT AS l, (r + nr * k)::FLOAT AS r FROM n JOIN k ON k.clip_id = n.clip_id)
 {_sql_shown()}"""
 
+_TREE_AUDIO = f"""{_STEREO},{_TREE},
+mid_abs AS (
+  SELECT m.production, m.node_id, m.idx, m.frames, cursor + pre - s.min_start AS abs_start, m.min_start
+  FROM mid_cur m JOIN mid_sum s ON m.parent_id = s.node_id),
+leaf_abs AS (
+  SELECT l.production, l.parent_id AS bus, l.idx, l.frames, cursor + pre - a.min_start AS place
+  FROM leaf_cur l JOIN mid_abs a ON l.parent_id = a.node_id),
+heard AS (
+  SELECT bus, place + frame - idx % 5 AS frame, CASE WHEN idx % 7 = 0 THEN (l::DOUBLE * 0.75)::FLOAT ELSE l END AS l,
+         CASE WHEN idx % 7 = 0 THEN (r::DOUBLE * 0.75)::FLOAT ELSE r END AS r
+  FROM leaf_abs JOIN st ON clip_id = idx % 500 AND frame >= idx % 5 AND frame < idx % 5 + frames),
+inside AS (SELECT bus, frame, sum(l::DOUBLE) AS l, sum(r::DOUBLE) AS r FROM heard GROUP BY bus, frame),
+bus AS (
+  SELECT a.*, i.frame, CASE WHEN idx % 4 < 3 THEN i.l::FLOAT::DOUBLE ELSE i.l END AS l,
+         CASE WHEN idx % 4 < 3 THEN i.r::FLOAT::DOUBLE ELSE i.r END AS r
+  FROM mid_abs a JOIN inside i ON i.bus = a.node_id),
+echoed AS (
+  SELECT production, abs_start, frames, node_id, frame + d AS frame, CASE WHEN d = 0 THEN l * dry ELSE (l + r) / 2 * gl END AS l,
+         CASE WHEN d = 0 THEN r * dry ELSE (l + r) / 2 * gr END AS r
+  FROM bus, (VALUES (0, 0.9::DOUBLE, 0::DOUBLE, 0::DOUBLE), (3, 0, 0.3, 0.2), (11, 0, 0.1, 0.15)) AS t(d, dry, gl, gr)
+  WHERE idx % 4 = 2 AND frame + d < frames),
+treated AS (
+  SELECT production, abs_start + frame AS frame, (0.5::DOUBLE * (l + r) * 1.18::DOUBLE + 0.5::DOUBLE * (l - r) * 0.62::DOUBLE)::FLOAT::DOUBLE AS l,
+         (0.5::DOUBLE * (l + r) * 1.18::DOUBLE - 0.5::DOUBLE * (l - r) * 0.62::DOUBLE)::FLOAT::DOUBLE AS r FROM bus WHERE idx % 4 = 0
+  UNION ALL SELECT production, abs_start + frame, (l * 0.75)::FLOAT, (r * 0.75)::FLOAT FROM bus WHERE idx % 4 = 1
+  UNION ALL SELECT production, abs_start + frame, sum(l)::FLOAT, sum(r)::FLOAT FROM echoed GROUP BY production, node_id, abs_start, frame
+  UNION ALL SELECT production, abs_start + frame, l, r FROM bus WHERE idx % 4 = 3),
+sums AS (SELECT production, frame, sum(l) AS l, sum(r) AS r FROM treated GROUP BY production, frame),
+edges AS (
+  SELECT production, max_end - min_start AS frames, greatest(0, -min_start) AS trim_start,
+         greatest(0, max_end - cursor_end) AS cut, greatest(0, cursor_end - max_end) AS tail FROM mid_sum),
+grid AS (
+  SELECT *, unnest(range(greatest(0, frames - cut - trim_start) + tail)) AS frame FROM edges),
+o AS (
+  SELECT g.production, g.frame, coalesce(s.l, 0)::FLOAT AS l, coalesce(s.r, 0)::FLOAT AS r
+  FROM grid g LEFT JOIN sums s ON s.production = g.production AND s.frame = g.frame + g.trim_start
+       AND g.frame + g.trim_start < g.frames - g.cut)"""
+
+_SLICED = f"""{_STEREO},
+moves AS (
+  SELECT vec_id AS clip_id, vec_id % 97 AS target, k * 7 + vec_id % 4 AS first, vec_id * 5 + k * 9 + 2 AS place
+  FROM embeddings, (VALUES (0), (1), (2)) AS v(k)),
+sums AS (
+  SELECT target, place + frame - first AS frame, sum(l::DOUBLE) AS l, sum(r::DOUBLE) AS r
+  FROM moves JOIN st ON st.clip_id = moves.clip_id AND frame >= first AND frame < first + 13 GROUP BY ALL),
+grid AS (SELECT target, unnest(range(max(place) + 15)) AS frame FROM moves GROUP BY target),
+o AS (
+  SELECT g.target AS clip_id, g.frame, coalesce(s.l, 0)::FLOAT AS l, coalesce(s.r, 0)::FLOAT AS r
+  FROM grid g LEFT JOIN sums s ON s.target = g.target AND s.frame = g.frame)"""
+
 ORACLE = {
+    "plan_audio": f"WITH {_TREE_AUDIO} SELECT production, frame, {_round('l')} AS l, {_round('r')} AS r FROM o",
+    "block_slices": f"WITH {_SLICED} {_sql_shown()}",
     "channels_down": f"""WITH {_STEREO}
 SELECT clip_id, frame, 0 AS ch, {_round('((l::DOUBLE + r::DOUBLE) / 2)::FLOAT')} AS value FROM st""",
     "channels_up": f"""WITH {_STEREO}
