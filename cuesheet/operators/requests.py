@@ -124,24 +124,8 @@ def batches(requests: DataFrame, major: str, minor: Sequence[str], size: int = B
 
 
 def ranked_batches(requests: DataFrame, order: Sequence[str], size: int = BATCH_SIZE) -> DataFrame:
-    """Batch number and place in the batch in the order of any columns, over all requests.
-
-    The rows are sorted over all tasks and stored; only the number of rows of each task is summed up in one place.
-    """
-    names = requests.columns
-    ordered = requests.repartitionByRange(*order).sortWithinPartitions(*order)
-    # The id counts rows inside a partition below bit 33.
-    placed = stored(ordered.withColumn("_id", F.monotonically_increasing_id()), "ranked")
-    part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
-    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_part", before.alias("_before"))
-    position = F.col("_before") + row
-    return (
-        placed.withColumn("_part", part)
-        .join(starts, "_part")
-        .select(*names, F.floor(position / size).cast("bigint").alias("batch_no"), (position % size).alias("pos"))
-    )
+    """``batches`` in the order of any columns."""
+    return batches(requests, order[0], order[1:], size)
 
 
 def first_batch(requests: DataFrame, major: str, minor: Sequence[str], size: int = BATCH_SIZE) -> DataFrame:

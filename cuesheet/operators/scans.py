@@ -18,6 +18,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cuesheet.session import stored
+
 CHUNK = "_chunk"
 CHUNK_ROWS = 65_536
 
@@ -145,34 +147,19 @@ def attach(
     return rows.join(spread, [*keys, CHUNK], how).drop(CHUNK)
 
 
-def global_position(
-    df: DataFrame,
-    major: str,
-    minor: Sequence[str],
-    name: str = "position",
-    rows: int = CHUNK_ROWS,
-) -> DataFrame:
-    """Zero-based position over (major, minor...) without a global sort.
+def global_position(df: DataFrame, major: str, minor: Sequence[str], name: str = "position") -> DataFrame:
+    """Zero-based position over (major, minor...), whatever values these have.
 
-    Counts roll up twice: to (major, chunk of minor), then to blocks of ``major``. Only the last
-    table, smaller by ``rows``, meets a window without a key.
+    Rows are dealt to tasks by sampled ranges, so ids may be dense or spread out, and sorted and stored there. Only how many
+    rows each task has is summed up in one place: the window has as many rows as there are tasks.
     """
-    columns = df.columns
-    parts = df.withColumn(CHUNK, chunk_of(minor[0], rows))
-    counts = parts.groupBy(major, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    majors = counts.groupBy(major).agg(F.sum("_n").alias("_m"))
-    offsets = running(
-        majors, [], [major], [Running("_major_start", "sum", F.col("_m"))], chunk_of(major, rows)
-    ).drop("_m")
-    before = (
-        Window.partitionBy(major).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = counts.join(offsets, major).select(
-        major,
-        CHUNK,
-        (F.col("_major_start") + F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_start"),
-    )
-    inside = Window.partitionBy(major, CHUNK).orderBy(*minor)
-    return parts.join(starts, [major, CHUNK]).select(
-        *columns, (F.col("_start") + F.row_number().over(inside) - 1).cast("bigint").alias(name)
-    )
+    columns, order = df.columns, [major, *minor]
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id counts rows inside a partition below bit 33.
+    placed = stored(ordered.withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    numbered = placed.withColumn("_part", part).join(starts, "_part")
+    return numbered.select(*columns, (F.col("_before") + row).cast("bigint").alias(name))

@@ -13,6 +13,7 @@ from cuesheet.session import work_path
 from cuesheet.streaming import intake
 
 RATE = 1000
+FILES = 8  # of a wave of requests, read by one micro-batch
 
 
 def _plan(spark, sf_dir):
@@ -79,8 +80,8 @@ def intake_late(spark, sf_dir):
         # A third of what came before comes again.
         again = turns.where((F.col("wave") > wave) & (F.col("request_id") % 3 == 0))
         rows = turns.where(F.col("wave") == wave).unionByName(again).drop("wave")
-        rows.coalesce(1).write.mode("append").parquet(f"{target}/in")
-    source = intake.read_requests(spark, f"{target}/in", "key string, request_id bigint, empty boolean")
+        rows.repartition(FILES).write.mode("append").parquet(f"{target}/in")
+    source = intake.read_requests(spark, f"{target}/in", "key string, request_id bigint, empty boolean", FILES)
     intake.intake(source, f"{target}/rows", f"{target}/state").awaitTermination()
     taken = intake.accepted(spark, f"{target}/rows")
     return taken.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("batch_no").isNull()).alias("settled"))

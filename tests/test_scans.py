@@ -60,8 +60,18 @@ def test_attach_and_position(spark):
     kept = attach(rows, facts, ["k"], chunk_of("idx", 16), "left")
     assert kept.count() == rows.count() and kept.where("w is null").count() == 95
     ints = rows.withColumn("g", F.when(F.col("k") == "hot", 5).otherwise(F.crc32("k") % 1000).cast("bigint"))
-    flat = global_position(ints.select("g", "idx", "k"), "g", ["idx", "k"], rows=16)
+    flat = global_position(ints.select("g", "idx", "k"), "g", ["idx", "k"])
     want = sorted((r.g, r.idx, r.k) for r in ints.collect())
     got = [(r.g, r.idx, r.k) for r in sorted(flat.collect(), key=lambda r: r.position)]
     assert got == want
     assert [r.position for r in sorted(flat.collect(), key=lambda r: r.position)] == list(range(len(want)))
+
+
+def test_positions_of_spread_out_ids(spark):
+    """Hashed ids of 62 bits: no window over more rows than tasks, and positions as a global sort gives them."""
+    rng = random.Random(3)
+    ids = [rng.getrandbits(62) - (1 << 61) for _ in range(3000)] + [7] * 20
+    df = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "id bigint, k bigint").repartition(6)
+    got = sorted((r.position, r.id, r.k) for r in global_position(df, "id", ["k"]).collect())
+    assert got == [(n, i, k) for n, (i, k) in enumerate(sorted((i, k) for k, i in enumerate(ids)))]
+    assert global_position(df.limit(0), "id", ["k"]).count() == 0

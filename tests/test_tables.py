@@ -164,6 +164,32 @@ def test_stream_drops_repeats(spark):
     assert set(got) == {"a", "b", "c"} and got["c"] is None and got["a"] == 0
 
 
+def test_intake_costs_the_same_each_epoch(spark):
+    """Many epochs with repeats: each key once, the first of its micro-batch, and no epoch reads what others wrote."""
+    folder = tempfile.mkdtemp(prefix="cuesheet-epochs-")
+    schema = "key string, request_id bigint, empty boolean"
+    epochs = 12
+    for k in range(epochs):
+        own = [(f"n{k}-{i}", (1 << 61) - 1000 * k - i, i == 3) for i in range(5)]
+        again = [(f"n{j}-1", 5, False) for j in range(k)] + [(f"n{k}-0", (1 << 61) - 5000 * k - 77_777, False)]
+        spark.createDataFrame(own + again, schema).coalesce(1).write.mode("append").parquet(folder + "/in")
+    source = intake.read_requests(spark, folder + "/in", schema)
+    query = intake.intake(source, folder + "/out", folder + "/state")
+    query.awaitTermination()
+    rows = intake.accepted(spark, folder + "/out").collect()
+    assert sorted(r.key for r in rows) == sorted(f"n{k}-{i}" for k in range(epochs) for i in range(5))
+    assert {r.epoch for r in rows} == set(range(epochs))
+    assert all(r.request_id == (1 << 61) - 5000 * int(r.key[1:-2]) - 77_777 for r in rows if r.key.endswith("-0"))
+    assert all((r.batch_no is None) == r.key.endswith("-3") for r in rows)
+    # A micro-batch reads its own rows; the state grows by its new keys.
+    progress = query.recentProgress
+    assert [p.numInputRows for p in progress if p.numInputRows] == [6 + k for k in range(epochs)]
+    assert [p.stateOperators[0].numRowsTotal for p in progress][-1] == 5 * epochs
+    again = intake.intake(source, folder + "/out", folder + "/state")
+    again.awaitTermination()
+    assert intake.accepted(spark, folder + "/out").count() == len(rows)
+
+
 def test_listing_in_any_form_of_a_folder(spark):
     folder = tempfile.mkdtemp(prefix="cuesheet-listing-")
     os.makedirs(folder + "/sub")
