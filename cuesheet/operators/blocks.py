@@ -328,9 +328,30 @@ def noise_stage(blocks: DataFrame, relative_db: float, seed: int = FR.NOISE_SEED
     return joined.select("clip_id", "block_no", "start_frame", "total", mixed("l", "nl").alias("l"), mixed("r", "nr").alias("r"))
 
 
+def hop_energies(blocks: DataFrame, hop: int) -> DataFrame:
+    """Energy of every hop of every clip: (clip_id, hop, s, n).
+
+    Each block sums up its own parts of hops in its row, so what is shuffled is a number for each hop, and a hop that
+    lies across blocks is added up from its parts.
+    """
+    start, size = F.col("start_frame"), F.size("l")
+    first, last = chunk_of("start_frame", hop), chunk_of(start + size - 1, hop)
+
+    def part(number: Column) -> Column:
+        low = F.greatest(number * hop, start) - start
+        high = F.least((number + 1) * hop, start + size) - start
+        square = lambda acc, x: acc + x.cast("double") * x.cast("double")
+        energy = lambda name: F.aggregate(F.slice(name, (low + 1).cast("int"), (high - low).cast("int")), F.lit(0.0), square)
+        return F.struct(number.alias("hop"), (energy("l") + energy("r")).alias("s"), (high - low).alias("n"))
+
+    parts = blocks.where(size > 0).select("clip_id", F.explode(F.transform(F.sequence(first, last), part)).alias("p"))
+    return parts.groupBy("clip_id", F.col("p.hop").alias("hop")).agg(F.sum("p.s").alias("s"), F.sum("p.n").alias("n"))
+
+
 def loudness_stage(blocks: DataFrame, rate: int, target: float = -24.0) -> DataFrame:
-    """Master step: one linear gain per clip from its gated loudness."""
-    gains = FR.loudness_gain(block_frames_table(blocks), rate, target).select("clip_id", "gain")
+    """Master step: one linear gain per clip from its gated loudness, measured on hops."""
+    hop = FR.hop_frames(rate)
+    gains = FR.gain_of_hops(hop_energies(blocks, hop), hop, target).select("clip_id", "gain")
     joined = attach(blocks, gains, ["clip_id"], chunk_of("block_no", 64))
     louder = lambda name: F.transform(name, lambda v: (v * F.col("gain")).cast("float"))
     return joined.select("clip_id", "block_no", "start_frame", "total", louder("l").alias("l"), louder("r").alias("r"))
@@ -421,7 +442,7 @@ def by_preset(
 
 
 def resample_blocks(blocks: DataFrame, input_rate: int, output_rate: int, block_frames: int) -> DataFrame:
-    """Rational resample of blocks: each yields the output frames whose centre lies in it."""
+    """Rational resample of blocks: each yields the output frames whose centre lies in it. ``r`` may be null (mono)."""
     if input_rate == output_rate:
         return blocks
     up, down = FR.resample_ratio(input_rate, output_rate)
@@ -446,7 +467,10 @@ def resample_blocks(blocks: DataFrame, input_rate: int, output_rate: int, block_
                 valid = (tap >= 0) & (tap <= 2 * half) & (at >= 0) & (at < len(k))
                 weight = np.where(valid, taps[np.clip(tap, 0, 2 * half)], 0.0)
                 at = np.clip(at, 0, max(len(k) - 1, 0))
-                made = [(np.asarray(x, dtype=np.float64)[at] * weight).sum(axis=1).astype(np.float32) for x in (row.l, row.r)]
+                made = [
+                    None if x is None else (np.asarray(x, dtype=np.float64)[at] * weight).sum(axis=1).astype(np.float32)
+                    for x in (row.l, row.r)
+                ]
                 rows.append((row.clip_id, row.block_no, first, -(-row.total * up // down), *made))
             yield pd.DataFrame(rows, columns=["clip_id", "block_no", "start_frame", "total", "l", "r"])
 
@@ -456,6 +480,25 @@ def resample_blocks(blocks: DataFrame, input_rate: int, output_rate: int, block_
     )
 
 
+def convert_blocks(blocks: DataFrame, input_rate: int, output_rate: int, mono: bool, block_frames: int) -> DataFrame:
+    """Channels and rate in one go: the mean of both channels is a projection, the resampling one shuffle of halos.
+
+    Mono blocks have their samples in ``l``, and a null ``r``.
+    """
+    if mono:
+        mean = lambda s: ((s["l"].cast("double") + s["r"].cast("double")) / 2).cast("float")
+        blocks = blocks.withColumns(
+            {"l": F.transform(F.arrays_zip("l", "r"), mean), "r": F.lit(None).cast("array<float>")}
+        )
+    return resample_blocks(blocks, input_rate, output_rate, block_frames)
+
+
+def asr_blocks(blocks: DataFrame, rate: int, block_frames: int) -> DataFrame:
+    """What a recogniser is given: (clip_id, block_no, start_frame, total, samples), mono at its rate."""
+    mono = convert_blocks(blocks, rate, FR.ASR_RATE, True, block_frames)
+    return mono.select("clip_id", "block_no", "start_frame", "total", F.col("l").alias("samples"))
+
+
 def fill_silence(
     mixed: DataFrame,
     lengths: DataFrame,

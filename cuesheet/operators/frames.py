@@ -17,6 +17,7 @@ from cuesheet.functions.timing import db_gain
 from cuesheet.operators.scans import attach, chunk_of
 
 NOISE_SEED = 7
+ASR_RATE = 16_000  # of the audio that a recogniser is given
 FRAME_CHUNK = 65_536
 
 
@@ -153,11 +154,21 @@ def loudness_gain(stereo: DataFrame, rate: int, target: float = -24.0) -> DataFr
     Mean square over 400 ms windows every 100 ms; windows below -70 dB, then those more than 10 dB
     below the mean of the rest, do not count. A linear two-pass step, not a dynamic one.
     """
-    hop = max(1, rate // 10)
+    hop = hop_frames(rate)
     square = F.pow(F.col("l").cast("double"), 2) + F.pow(F.col("r").cast("double"), 2)
     hops = stereo.groupBy("clip_id", chunk_of("frame", hop).alias("hop")).agg(
         F.sum(square).alias("s"), F.count(F.lit(1)).alias("n")
     )
+    return gain_of_hops(hops, hop, target)
+
+
+def hop_frames(rate: int) -> int:
+    """Frames of 100 ms, the step of the loudness windows."""
+    return max(1, rate // 10)
+
+
+def gain_of_hops(hops: DataFrame, hop: int, target: float) -> DataFrame:
+    """``loudness_gain`` from the energy of every hop: (clip_id, hop, s: sum of squares, n: frames)."""
     # Window w covers hops w .. w+3; a clip shorter than a window has one, starting at 0.
     windows = (
         hops.select("clip_id", "s", "n", F.explode(F.sequence(F.greatest(F.col("hop") - 3, F.lit(0)), F.col("hop"))).alias("w"))
@@ -228,6 +239,6 @@ def convert_format(
     return convert_channels(resample(frames, lengths, input_rate, output_rate), inputs, outputs)
 
 
-def asr_view(frames: DataFrame, lengths: DataFrame, inputs: int, rate: int, asr_rate: int = 16_000) -> DataFrame:
+def asr_view(frames: DataFrame, lengths: DataFrame, inputs: int, rate: int, asr_rate: int = ASR_RATE) -> DataFrame:
     """Mono view at the recogniser's rate."""
     return resample(convert_channels(frames, inputs, 1).withColumn("ch", F.lit(0)), lengths, rate, asr_rate)

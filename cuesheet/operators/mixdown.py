@@ -16,8 +16,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cuesheet.functions.timing import truncated_frame
 from cuesheet.operators import blocks as B
-from cuesheet.operators.scans import attach, chunk_of, salt
+from cuesheet.operators.scans import Running, attach, chunk_of, running, salt
+from cuesheet.operators.timeline import slice_bounds
 from cuesheet.session import stored
 
 
@@ -65,6 +67,82 @@ def move(blocks: DataFrame, moves: DataFrame, lengths: DataFrame, block_frames:
     return join_pieces(found, lengths, block_frames)
 
 
+def lengths_of(blocks: DataFrame) -> DataFrame:
+    """(clip_id, frames) of blocks."""
+    return blocks.groupBy("clip_id").agg(F.max("total").cast("bigint").alias("frames"))
+
+
+def slice_moves(slices: DataFrame, blocks: DataFrame, rate: int) -> DataFrame:
+    """Moves for time slices (clip_id, target, start, end; end null: to the clip's end): (clip_id, target, first, last, at).
+
+    Both times are rounded to frames, but a slice without an end begins at its time cut off to a frame. Reversed slices
+    are errors and are left out (``slice_problems``). What lies past the clip's end is not there.
+    """
+    open_, from_ = F.col("end").isNull(), truncated_frame(F.col("start"), rate)
+    first, last = slice_bounds(F.col("start"), F.col("end"), rate)
+    known = attach(slices.where("end is null OR end >= start"), lengths_of(blocks), ["clip_id"], salt("target", "start"))
+    inside = lambda frame: F.least(frame, F.col("frames"))
+    return known.select(
+        "clip_id", "target",
+        inside(F.when(open_, from_).otherwise(first)).cast("bigint").alias("first"),
+        inside(F.when(open_, F.col("frames")).otherwise(last)).cast("bigint").alias("last"),
+        F.lit(0).cast("bigint").alias("at"),
+    )
+
+
+def slice_problems(slices: DataFrame) -> DataFrame:
+    """Reversed time slices: (clip_id, target, message)."""
+    message = F.lit("end_time must be greater than or equal to start_time")
+    return slices.where("end < start").select("clip_id", "target", message.alias("message"))
+
+
+def slice_blocks(blocks: DataFrame, slices: DataFrame, rate: int, block_frames: int) -> DataFrame:
+    """Time slices as clips of their own, cut from blocks; ``slices`` as for ``slice_moves``."""
+    moves = slice_moves(slices, blocks, rate)
+    lengths = moves.select(F.col("target").alias("clip_id"), (F.col("last") - F.col("first")).alias("frames"))
+    return move(blocks, moves, lengths, block_frames)
+
+
+def marker_parts(markers: DataFrame) -> DataFrame:
+    """Parts between markers (clip_id, target, frames array), for ``chain``: part k has idx 2 k, which leaves room between."""
+    spans = F.transform(
+        F.sequence(F.lit(0), F.size("frames") - 2),
+        lambda k: F.struct(
+            (k * 2).cast("bigint").alias("idx"),
+            F.get("frames", k).cast("bigint").alias("first"),
+            F.greatest(F.get("frames", k), F.get("frames", k + 1)).cast("bigint").alias("last"),
+        ),
+    )
+    return markers.where(F.size("frames") > 1).select("clip_id", "target", F.explode(spans).alias("s")).select(
+        "clip_id", "target", "s.*"
+    )
+
+
+def chain(blocks: DataFrame, parts: DataFrame, block_frames: int) -> DataFrame:
+    """Clips that are parts of others one after the other: spliced scripts, or the lines of a script.
+
+    ``parts``: clip_id, target, idx (unique in the target), first, last. Offsets are running sums, so a target may have
+    any number of parts.
+    """
+    sized = parts.where("last > first").withColumn("_size", F.col("last") - F.col("first"))
+    placed = running(
+        sized, ["target"], ["idx"], [Running("at", "sum", F.col("_size"))]
+    )
+    lengths = sized.groupBy(F.col("target").alias("clip_id")).agg(F.sum("_size").alias("frames"))
+    moves = placed.select("clip_id", "target", "first", "last", F.col("at").cast("bigint").alias("at"))
+    return move(blocks, moves, lengths, block_frames)
+
+
+def join_lines(blocks: DataFrame, lines: DataFrame, block_frames: int) -> DataFrame:
+    """Script clips from their lines' clips. ``lines``: clip_id (of the line's clip), target (the script), line_no."""
+    whole = attach(lines, lengths_of(blocks), ["clip_id"], salt("target", "line_no"))
+    parts = whole.select(
+        "clip_id", "target", F.col("line_no").cast("bigint").alias("idx"),
+        F.lit(0).cast("bigint").alias("first"), F.col("frames").alias("last"),
+    )
+    return chain(blocks, parts, block_frames)
+
+
 def trimmed(moves: DataFrame) -> DataFrame:
     """Moves into productions, cut at their boundary: trim_start, trim_end and lead_frames are on the rows."""
     cut = F.greatest(F.lit(0), F.col("trim_start") - F.col("at"))

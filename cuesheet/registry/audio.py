@@ -136,6 +136,49 @@ def block_slices(spark, sf_dir):
     return _shown(B.block_frames_table(MX.move(_blocks(spark, sf_dir), moves, lengths, BLOCK)))
 
 
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clip_id"), F.col("label").cast("bigint").alias("label"))
+
+
+def block_slice_times(spark, sf_dir):
+    """Time slices of blocks, every fifth open at its end, every thirteenth reversed and so left out."""
+    start = (F.col("clip_id") % 25).cast("double") / 100 + 0.006
+    end = F.when(F.col("clip_id") % 5 != 0, F.when(F.col("clip_id") % 13 == 0, start - 0.05).otherwise(start + 0.105))
+    slices = _vectors(spark, sf_dir).select("clip_id", (F.col("clip_id") * 10 + 1).alias("target"), start.alias("start"), end.alias("end"))
+    return _shown(B.block_frames_table(MX.slice_blocks(_blocks(spark, sf_dir), slices, 100, BLOCK)))
+
+
+def block_splice(spark, sf_dir):
+    """Each clip cut at three markers, with ten frames of its neighbour between the parts."""
+    blocks, ids = _blocks(spark, sf_dir), _vectors(spark, sf_dir)
+    middle = (F.col("clip_id") * 7 % 40).cast("bigint")
+    full = F.lit(32).cast("bigint")
+    marks = F.array(F.lit(0).cast("bigint"), F.least(middle, full), F.greatest(F.least(middle, full), F.lit(20).cast("bigint")), full)
+    parts = MX.marker_parts(ids.select("clip_id", F.col("clip_id").alias("target"), marks.alias("frames")))
+    inline = ids.select(
+        F.col("clip_id"), F.greatest(F.col("clip_id") - 1, F.lit(0)).alias("target"),
+        F.explode(F.array(F.lit(1), F.lit(3)).cast("array<bigint>")).alias("idx"),
+        F.lit(4).cast("bigint").alias("first"), F.lit(14).cast("bigint").alias("last"),
+    ).where("clip_id > 0")
+    return _shown(B.block_frames_table(MX.chain(blocks, parts.unionByName(inline), BLOCK)))
+
+
+def block_line_clips(spark, sf_dir):
+    """The clips of a label as the lines of one script: joined to one clip, in order."""
+    lines = _vectors(spark, sf_dir).select("clip_id", F.col("label").alias("target"), F.col("clip_id").alias("line_no"))
+    return _shown(B.block_frames_table(MX.join_lines(_blocks(spark, sf_dir), lines, BLOCK)))
+
+
+def block_loudness(spark, sf_dir):
+    return _shown(B.block_frames_table(B.loudness_stage(_blocks(spark, sf_dir), 40)))
+
+
+def block_asr_view(spark, sf_dir):
+    """What a recogniser is given, from blocks: mono, at its rate."""
+    found = B.asr_blocks(_blocks(spark, sf_dir), 24_000, BLOCK).select("clip_id", "start_frame", F.posexplode("samples").alias("pos", "value"))
+    return _valued(found.select("clip_id", (F.col("start_frame") + F.col("pos")).alias("frame"), F.lit(0).alias("ch"), "value"))
+
+
 def clip_rms(spark, sf_dir):
     return FR.rms(_stereo(spark, sf_dir)).select("clip_id", clean_zero(F.col("rms"), 6).alias("rms"))
 
@@ -277,6 +320,11 @@ def wav_float(spark, sf_dir):
 QUERIES = {
     "plan_audio": plan_audio,
     "block_slices": block_slices,
+    "block_slice_times": block_slice_times,
+    "block_splice": block_splice,
+    "block_line_clips": block_line_clips,
+    "block_loudness": block_loudness,
+    "block_asr_view": block_asr_view,
     "channels_down": channels_down,
     "channels_up": channels_up,
     "mid_side": mid_side,
@@ -483,7 +531,40 @@ o AS (
   SELECT g.target AS clip_id, g.frame, coalesce(s.l, 0)::FLOAT AS l, coalesce(s.r, 0)::FLOAT AS r
   FROM grid g LEFT JOIN sums s ON s.target = g.target AND s.frame = g.frame)"""
 
+_TIMED = f"""{_STEREO},
+b AS (
+  SELECT vec_id AS id, (vec_id % 25) / 100.0::DOUBLE + 0.006::DOUBLE AS s,
+         CASE WHEN vec_id % 13 = 0 THEN (vec_id % 25) / 100.0::DOUBLE + 0.006::DOUBLE - 0.05::DOUBLE
+              ELSE (vec_id % 25) / 100.0::DOUBLE + 0.006::DOUBLE + 0.105::DOUBLE END AS t FROM embeddings),
+f AS (
+  SELECT id, trunc(s * 100)::BIGINT AS a, 32::BIGINT AS z FROM b WHERE id % 5 = 0
+  UNION ALL SELECT id, greatest(0, round_even(s * 100, 0)::BIGINT), round_even(t * 100, 0)::BIGINT FROM b WHERE id % 5 <> 0 AND t >= s),
+o AS (
+  SELECT id * 10 + 1 AS clip_id, frame - a AS frame, l, r FROM f JOIN st ON st.clip_id = id AND frame >= a AND frame < z)"""
+
+_SPLICED = f"""{_STEREO},
+mk AS (
+  SELECT vec_id AS id, [0::BIGINT, least(vec_id * 7 % 40, 32), greatest(least(vec_id * 7 % 40, 32), 20), 32::BIGINT] AS f FROM embeddings),
+parts AS (
+  SELECT id AS clip_id, id AS target, k * 2 AS idx, f[k + 1] AS a, greatest(f[k + 1], f[k + 2]) AS z
+  FROM mk, (VALUES (0), (1), (2)) AS v(k)
+  UNION ALL SELECT vec_id, vec_id - 1, k, 4, 14 FROM embeddings, (VALUES (1), (3)) AS v(k) WHERE vec_id > 0),
+placed AS (
+  SELECT *, coalesce(sum(z - a) OVER (PARTITION BY target ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
+            AS place FROM parts),
+o AS (
+  SELECT target AS clip_id, place + frame - a AS frame, l, r
+  FROM placed JOIN st ON st.clip_id = placed.clip_id AND frame >= a AND frame < z)"""
+
+_LINED = f"""{_STEREO},
+placed AS (
+  SELECT vec_id, label::BIGINT AS label, 32 * (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) AS place FROM embeddings),
+o AS (SELECT label AS clip_id, place + frame AS frame, l, r FROM placed JOIN st ON st.clip_id = vec_id)"""
+
 ORACLE = {
+    "block_slice_times": f"WITH {_TIMED} {_sql_shown()}",
+    "block_splice": f"WITH {_SPLICED} {_sql_shown()}",
+    "block_line_clips": f"WITH {_LINED} {_sql_shown()}",
     "plan_audio": f"WITH {_TREE_AUDIO} SELECT production, frame, {_round('l')} AS l, {_round('r')} AS r FROM o",
     "block_slices": f"WITH {_SLICED} {_sql_shown()}",
     "channels_down": f"""WITH {_STEREO}
@@ -577,3 +658,5 @@ SELECT vec_id AS idx, 300::BIGINT AS n_bytes,
        '524946462401000057415645666d7420100000000300' || '0100' || 'c05d0000' || '00770100' || '0400' || '2000' || '64617461' || '00010000' AS header
 FROM embeddings""",
 }
+ORACLE["block_loudness"] = ORACLE["loudness_applied"]
+ORACLE["block_asr_view"] = ORACLE["resample_asr"]

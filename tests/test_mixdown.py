@@ -144,3 +144,34 @@ def test_audio_with_cut_and_master(spark):
     assert gain != 1.0 and np.allclose(loud, got * gain, atol=1e-5)
     # A script without its clip: the production is left out.
     assert production.audio(planned, blocks.where(F.col("node_id") == ids[0]), RATE, BLOCK).count() == 0
+
+
+def test_slices_chains_and_lines(spark):
+    """Long clips in many blocks: no part depends on where the blocks are cut."""
+    sounds = {("a",): noise(1, 5000), ("b",): noise(2, 1300)}
+    blocks = clips(spark, sounds)
+    a, b = sounds[("a",)], sounds[("b",)]
+    slices = [("a", "s1", 0.1, 0.35), ("a", "s2", 0.6, None), ("b", "s3", 0.1, 9.0), ("b", "s4", 0.2, 0.1), ("b", "s5", 5.0, None)]
+    df = spark.createDataFrame(slices, "clip_id string, target string, start double, end double")
+    got = whole(MX.slice_blocks(blocks, df, RATE, BLOCK))
+    want = {"s1": a[:, 800:2800], "s2": a[:, 4800:], "s3": b[:, 800:]}
+    assert set(got) == set(want) and all(np.array_equal(got[k], want[k]) for k in want)
+    assert [r.target for r in MX.slice_problems(df).collect()] == ["s4"]
+    marks = spark.createDataFrame([("a", "x", [0, 1701, 1701, 5000])], "clip_id string, target string, frames array<bigint>")
+    inline = spark.createDataFrame([("b", "x", 1, 0, 1300), ("b", "x", 3, 5, 6)], "clip_id string, target string, idx bigint, first bigint, last bigint")
+    got = whole(MX.chain(blocks, MX.marker_parts(marks).unionByName(inline), BLOCK))
+    assert np.array_equal(got["x"], np.concatenate([a[:, :1701], b, b[:, 5:6], a[:, 1701:]], axis=1))
+    lines = spark.createDataFrame([("a", "p", 7), ("b", "p", 3), ("b", "p", 9)], "clip_id string, target string, line_no int")
+    assert np.array_equal(whole(MX.join_lines(blocks, lines, BLOCK))["p"], np.concatenate([b, a, b], axis=1))
+
+
+def test_loudness_moves_hops_only(spark):
+    """The energies of hops equal those of frames, and what is shuffled is a row for each hop of each block."""
+    blocks = clips(spark, {("a",): noise(3, 9000), ("b",): noise(4, 130)})
+    hops = {(r.clip_id, r.hop): (r.s, r.n) for r in B.hop_energies(blocks, 800).collect()}
+    for clip, x in (("a", noise(3, 9000)), ("b", noise(4, 130))):
+        for k in range(-(-x.shape[1] // 800)):
+            part = x[:, k * 800 : k * 800 + 800].astype(np.float64)
+            s, n = hops.pop((clip, k))
+            assert n == part.shape[1] and abs(s - (part**2).sum()) < 1e-9
+    assert not hops
