@@ -153,6 +153,15 @@ def errors(nodes: DataFrame) -> DataFrame:
     return exploded.select("doc_id", "node_id", "phase", "rule_no", "rule", "message", formatted.alias("formatted"))
 
 
+def located(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Errors (doc_id, node_id, message) with the place and tag of their node in the message, as ``errors`` has them."""
+    places = nodes.where("kind = 'element'").select("doc_id", "node_id", "source", "line", "col", "tag")
+    joined = found.join(places, ["doc_id", "node_id"], "left")
+    label = F.coalesce(F.concat(F.lit(" <"), F.col("tag"), F.lit(">")), F.lit(""))
+    place = location(F.col("source"), F.col("line"), F.col("col"))
+    return joined.select("doc_id", "node_id", F.concat(place, F.lit(": "), "message", label).alias("message"))
+
+
 def first_errors(found: DataFrame) -> DataFrame:
     """The error a stop-at-first run would report for each document."""
     order = F.struct("phase", "node_id", "rule_no")

@@ -92,15 +92,10 @@ def plan(
     if sound_files is not None:
         sounds = stored(find_sounds(all_nodes, sound_files, sounds_root), "sounds")
         silent = sounds.where("error is not null").select("doc_id", "node_id", F.col("error").alias("message"))
-    errors = stored(
-        V.errors(nodes)
-        .select("doc_id", "node_id", F.col("formatted").alias("message"))
-        .unionByName(silent)
-        .unionByName(S.speaker_errors(entries).select("doc_id", "node_id", "message"))
-        .unionByName(unvoiced)
-        .unionByName(stray),
-        "errors",
-    )
+    speaking = S.speaker_errors(entries).select("doc_id", "node_id", "message")
+    later = stored(silent.unionByName(speaking).unionByName(unvoiced).unionByName(stray), "late-errors")
+    rules = V.errors(nodes).select("doc_id", "node_id", F.col("formatted").alias("message"))
+    errors = stored(rules.unionByName(V.located(later, nodes)), "errors")
     # A document with any error yields nothing further; that is settled before anything costly.
     broken = errors.select("doc_id").distinct()
     plan_nodes = all_nodes.join(broken, "doc_id", "left_anti")

@@ -13,6 +13,7 @@ from cuesheet.operators import timeline as L
 from cuesheet.operators.presets import PRESETS, canonical, no_preset, preset_error
 from cuesheet.registry.common import table
 from cuesheet.registry.timeline import _MIX, _TREE, _overlapping, clips, hierarchy
+from cuesheet.session import work_path
 from cuesheet.sources import wav
 
 RATE = 1000
@@ -179,6 +180,18 @@ def block_asr_view(spark, sf_dir):
     return _valued(found.select("clip_id", (F.col("start_frame") + F.col("pos")).alias("frame"), F.lit(0).alias("ch"), "value"))
 
 
+def wav_files(spark, sf_dir):
+    """All clips as stereo files, written in parts and read back; odd ids as floats, even ones as 16-bit numbers."""
+    folder = work_path(spark, "wavs")
+    blocks = _blocks(spark, sf_dir)
+    for odd in (0, 1):
+        named = blocks.where(F.col("clip_id") % 2 == odd).withColumn("path", F.format_string("%d/c%d.wav", F.lit(odd), "clip_id"))
+        wav.write_wavs(named, folder, 24_000, bool(odd))
+    found = wav.read_wavs(spark, f"{folder}/*/*.wav", 11)
+    number = F.regexp_extract("clip_id", "c([0-9]+)[.]wav$", 1).cast("bigint")
+    return _shown(B.block_frames_table(found.withColumn("clip_id", number)))
+
+
 def clip_rms(spark, sf_dir):
     return FR.rms(_stereo(spark, sf_dir)).select("clip_id", clean_zero(F.col("rms"), 6).alias("rms"))
 
@@ -320,6 +333,7 @@ def wav_float(spark, sf_dir):
 QUERIES = {
     "plan_audio": plan_audio,
     "block_slices": block_slices,
+    "wav_files": wav_files,
     "block_slice_times": block_slice_times,
     "block_splice": block_splice,
     "block_line_clips": block_line_clips,
@@ -561,7 +575,13 @@ placed AS (
   SELECT vec_id, label::BIGINT AS label, 32 * (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) AS place FROM embeddings),
 o AS (SELECT label AS clip_id, place + frame AS frame, l, r FROM placed JOIN st ON st.clip_id = vec_id)"""
 
+_FILED = f"""{_STEREO},
+o AS (
+  SELECT clip_id, frame, CASE WHEN clip_id % 2 = 1 THEN l ELSE (round_even(least(greatest(l::DOUBLE, -1), 1) * 32767, 0) / 32767)::FLOAT END AS l,
+         CASE WHEN clip_id % 2 = 1 THEN r ELSE (round_even(least(greatest(r::DOUBLE, -1), 1) * 32767, 0) / 32767)::FLOAT END AS r FROM st)"""
+
 ORACLE = {
+    "wav_files": f"WITH {_FILED} {_sql_shown()}",
     "block_slice_times": f"WITH {_TIMED} {_sql_shown()}",
     "block_splice": f"WITH {_SPLICED} {_sql_shown()}",
     "block_line_clips": f"WITH {_LINED} {_sql_shown()}",

@@ -1,27 +1,63 @@
-"""WAV output: bytes of single clips, and one file per production written block by block."""
+"""WAV files: bytes of single clips, files written block by block in parts, and blocks read back."""
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType
 
-HEADER_BYTES = 44
+from cuesheet.sources.parts import SCHEMA, write_parts
 
+SMALL = (1 << 32) - 1  # what a size field of the plain format holds
 
-def _header(channels: int, rate: int, frames: int, floats: bool) -> bytes:
+
+def header(channels: int, rate: int, frames: int, floats: bool, small: int = SMALL) -> bytes:
+    """Header of a file with so many frames; files beyond ``small`` bytes get the form with 64-bit sizes."""
     width = 4 if floats else 2
     size = frames * channels * width
-    return struct.pack(
-        "<4sI4s4sIHHIIHH4sI",
-        b"RIFF", 36 + size, b"WAVE", b"fmt ", 16, 3 if floats else 1, channels, rate,
-        rate * channels * width, channels * width, 8 * width, b"data", size,
-    )
+    form = struct.pack("<4sIHHIIHH", b"fmt ", 16, 3 if floats else 1, channels, rate, rate * channels * width, channels * width, 8 * width)
+    if 36 + size <= small:
+        return struct.pack("<4sI4s", b"RIFF", 36 + size, b"WAVE") + form + struct.pack("<4sI", b"data", size)
+    sizes = struct.pack("<4sIQQQI", b"ds64", 28, 72 + size, size, frames, 0)
+    return struct.pack("<4sI4s", b"RF64", SMALL, b"WAVE") + sizes + form + struct.pack("<4sI", b"data", SMALL)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """What a header tells: where the samples begin, and what they are."""
+
+    start: int
+    frames: int
+    channels: int
+    rate: int
+    floats: bool
+
+
+def parse_header(content: bytes) -> Layout:
+    """The layout of a WAV file of 16-bit or float samples; other chunks are skipped."""
+    kind, _, wave = struct.unpack_from("<4sI4s", content, 0)
+    if kind not in (b"RIFF", b"RF64") or wave != b"WAVE":
+        raise ValueError("not a WAV file")
+    at, form, large = 12, None, None
+    while at + 8 <= len(content):
+        name, size = struct.unpack_from("<4sI", content, at)
+        at += 8
+        if name == b"ds64":
+            large = struct.unpack_from("<Q", content, at + 8)[0]
+        elif name == b"fmt ":
+            form = struct.unpack_from("<HHIIHH", content, at)
+        elif name == b"data":
+            if form is None or (form[0], form[5]) not in ((1, 16), (3, 32)):
+                raise ValueError("a WAV file of another sample format")
+            size = large if size == SMALL and large is not None else size
+            return Layout(at, size // form[4], form[1], form[2], form[0] == 3)
+        at += size + size % 2
+    raise ValueError("a WAV file without samples")
 
 
 def _payload(samples: np.ndarray, floats: bool) -> bytes:
@@ -38,7 +74,7 @@ def wav_bytes(samples: Column, rate: int, floats: bool) -> Column:
         made = []
         for clip in clips:
             data = np.asarray(clip, dtype=np.float32).astype(np.float64)
-            made.append(_header(1, rate, len(data), floats) + _payload(data, floats))
+            made.append(header(1, rate, len(data), floats) + _payload(data, floats))
         return pd.Series(made, index=clips.index)
 
     return encode(samples)
@@ -49,33 +85,55 @@ def output_path(document_path: Column) -> Column:
     return F.concat(F.regexp_replace(document_path, "(?<=[^/])\\.[^./]+$", ""), F.lit(".wav"))
 
 
+def wav_parts(blocks: DataFrame, rate: int, floats: bool = False, small: int = SMALL) -> DataFrame:
+    """The bytes of stereo files, a part for each block: blocks (path, start_frame, total, l, r) of whole clips.
+
+    A projection: every block knows its place in the file, whatever task has it. The first one brings the header.
+    """
+    width = 2 * (4 if floats else 2)
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, start, total, left, right in batch.itertuples(index=False, name=None):
+                top = header(2, rate, total, floats, small)
+                samples = np.stack([left, right], axis=1).astype(np.float64)
+                content = _payload(samples.ravel(), floats)
+                size = len(top) + total * width
+                rows.append((path, 0, top + content, size) if start == 0 else (path, len(top) + start * width, content, size))
+            yield pd.DataFrame(rows, columns=["path", "at", "content", "size"])
+
+    return blocks.select("path", "start_frame", "total", "l", "r").mapInPandas(parts, SCHEMA)
+
+
 def write_wavs(blocks: DataFrame, folder: str, rate: int, floats: bool = False) -> None:
-    """One stereo file per clip: blocks (clip_id, block_no, total, l, r, path) in order.
+    """One stereo file per path, written in parts by all tasks that have some: no shuffle, and no limit of 4 GiB.
+
+    Blocks: (path, start_frame, total, l, r), all blocks of each clip. ``folder``: see ``parts.write_parts``.
+    """
+    write_parts(wav_parts(blocks, rate, floats), folder)
+
+
+def read_wavs(spark: SparkSession, pattern: str, block_frames: int) -> DataFrame:
+    """Stereo blocks of WAV files: (clip_id, block_no, start_frame, total, l, r, rate); the clip is the path.
 
-    A file grows block by block, so a writer holds one block only, and the format itself ends at
-    4 GiB. Files are written aside and renamed: a task that runs again leaves the same result.
-    ``folder`` must be reachable by all executors.
+    A file is a cell of Spark's ``binaryFile``, so it may have 2 GB; blocks leave it one by one. Mono files have equal
+    channels, and of more than two channels the first two are read.
     """
 
-    def save(rows: Iterator) -> None:
-        handle, current, aside = None, None, None
-
-        def close() -> None:
-            if handle is not None:
-                handle.close()
-                os.replace(aside, current)
-
-        for row in rows:
-            target = os.path.join(folder, row["path"].lstrip("/"))
-            if target != current:
-                close()
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                current, aside = target, f"{target}.{os.getpid()}.part"
-                handle = open(aside, "wb")
-                handle.write(_header(2, rate, row["total"], floats))
-            samples = np.stack([row["l"], row["r"]], axis=1).astype(np.float64)
-            handle.write(_payload(samples.ravel(), floats))
-        close()
-
-    ordered = blocks.select("path", "block_no", "total", "l", "r").repartition("path").sortWithinPartitions("path", "block_no")
-    ordered.foreachPartition(save)
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                layout = parse_header(content)
+                kind, width = ("<f4", 4) if layout.floats else ("<i2", 2)
+                for number, start in enumerate(range(0, layout.frames, block_frames)):
+                    count = min(block_frames, layout.frames - start) * layout.channels
+                    cells = np.frombuffer(content, kind, count, layout.start + start * layout.channels * width)
+                    both = cells.reshape(-1, layout.channels).astype(np.float64) / (1.0 if layout.floats else 32767.0)
+                    left, right = both[:, 0].astype(np.float32), both[:, min(1, layout.channels - 1)].astype(np.float32)
+                    row = (path, number, start, layout.frames, left, right, layout.rate)
+                    yield pd.DataFrame([row], columns=["clip_id", "block_no", "start_frame", "total", "l", "r", "rate"])
+
+    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    schema = "clip_id string, block_no bigint, start_frame bigint, total bigint, l array<float>, r array<float>, rate int"
+    return files.mapInPandas(cut, schema)
