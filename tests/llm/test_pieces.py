@@ -107,3 +107,18 @@ def test_seed_and_temperature(spark):
     assert sum(one[k] != other[k] for k in one) > 50 and len({tuple(i) for i in one.values()}) > 5
     cold = pieces.encode(df, temperature=0.01).select("ids").distinct().count()
     assert cold == 1
+
+
+def test_draws_close_to_one_stay_in_their_word(vocabulary, monkeypatch):
+    """The largest number that can be drawn takes a word's last edges, however many nodes a worker remembers."""
+    texts = [f"word{k} and others {k * 7919}" for k in range(40)]
+    lattices = pieces.Lattices(vocabulary, 0.5)
+    keys = np.arange(len(texts), dtype=np.uint64)
+    monkeypatch.setattr(pieces, "uniform", lambda key, word, step: np.full(len(key), 1 - 2.0**-53))
+    fresh = [g.tolist() for g in pieces.sample(texts, keys, lattices)]
+    pieces.sample([" ".join(f"filler{k}" for k in range(s, s + 5000)) for s in range(0, 60_000, 5000)], np.arange(12, dtype=np.uint64), lattices)
+    assert lattices.nodes > 500_000
+    later = texts[::-1] + ["unseen words too"]
+    got = pieces.sample(later, np.arange(len(later), dtype=np.uint64), lattices)
+    assert [vocabulary.decode(g.tolist()) for g in got] == later
+    assert [g.tolist() for g in got[:-1]] == fresh[::-1]

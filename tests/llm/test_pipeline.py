@@ -101,6 +101,21 @@ def test_stages_by_hand(spark, folder):
     assert whole == rows_of(encoded, ["doc_id", "n_pieces"])
 
 
+def test_near_duplicates_decide_rows(spark, folder):
+    """Texts that share an id are documents of their own; rows that repeat both are one."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [
+        (1, text(1)), (1, text(2)), (2, text(1) + " end"), (3, text(2) + " end"), (4, text(4)), (4, text(4)), (4, None), (4, None),
+        (None, text(1)), (5, text(5)), (6, ""), (6, ""), (-7, text(5)),
+    ]
+    table = [(i, t, "en", "s", n, 1, "w") for n, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(table, SCHEMA)
+    left = P.near_duplicates(spark, docs, folder)
+    assert left.columns == docs.columns
+    want = [table[k] for k in (0, 1, 4, 6, 7, 8, 10, 12)]
+    assert rows_of(left, docs.columns) == sorted(want, key=str)
+
+
 def test_decontamination_decides_rows(spark, folder):
     """Rows without an id and rows that share one go or stay by their own text."""
     item = spark.read.parquet(f"{folder}/benchmark.parquet").where("text IS NOT NULL").first()["text"]
