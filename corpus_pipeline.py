@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cuesheet.llm import decontaminate, langid, minhash, pieces, pii
+from cuesheet.operators.scans import global_position
 from cuesheet.session import stored
 
 
@@ -21,19 +22,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    Rows without a doc_id or without words stay. Rows that repeat a doc_id are one document, and one of them stays.
+    Rows without a doc_id or without words stay. Rows that repeat a doc_id with another text are documents of their own,
+    each decided by its own text, the smaller text digest first; rows that repeat both are one document, and one stays.
     """
-    found = stored(minhash.near_duplicates(docs), "near-duplicates")
-    several = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept"))
-    several = stored(several.where("n > 1"), "repeated-ids")
-    gone = found.where("NOT kept").select("doc_id").unionByName(several.select("doc_id")).distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    digest = F.sha2("text", 256)
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", digest.alias("digest"))
+    several = stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
     if several.isEmpty():
-        return left
-    # Of rows with one id the one with the smallest text stays.
-    again = docs.join(several.where("kept").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id")
-    one = again.agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct("text")).alias("row"))
-    return left.unionByName(one.select("row.*"))
+        gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # Documents are numbered by id and text, so the smallest number of a group is of its smallest id.
+    nodes = stored(global_position(rows.distinct(), "doc_id", ["digest"], "node"), "documents")
+    mine = [docs["doc_id"] == nodes["doc_id"], digest == nodes["digest"]]
+    texts = docs.join(nodes, mine).select(nodes["node"].alias("doc_id"), "text")
+    found = stored(minhash.near_duplicates(texts), "near-duplicates")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("node")).distinct()
+    lost = stored(nodes.join(gone, "node", "left_semi").select("doc_id", "digest"), "lost-documents")
+    left = docs.join(lost, [docs["doc_id"] == lost["doc_id"], digest == lost["digest"]], "left_anti").select(docs.columns)
+    # Of rows that repeat both, the one with the smallest other columns stays.
+    plain = left.join(several, "doc_id", "left_anti").unionByName(left.join(several, "doc_id", "left_semi").where("text IS NULL"))
+    again = left.where("text IS NOT NULL").join(several, "doc_id", "left_semi").groupBy("doc_id", digest.alias("_digest"))
+    one = again.agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_row"))
+    return plain.select(docs.columns).unionByName(one.select("_row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +56,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in ``text`` masked and ``n_chars`` the new length."""
+    """All documents, with personal data in ``text`` masked and ``n_chars`` the new length.
+
+    Null and empty texts stay as they are, repeated rows are masked alike, and texts may be of any length.
+    """
     return pii.redact(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_pieces, lossless: a sampled segmentation of every document."""
+    """doc_id, ids, n_pieces, lossless: a sampled segmentation of every document.
+
+    A null text has null ids, an empty one the empty list. Rows that repeat doc_id and text get the same ids.
+    """
     return pieces.encode(docs)
 
 
