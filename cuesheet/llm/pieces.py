@@ -134,8 +134,8 @@ class Prefixes:
 class Lattices(dict):
     """Filtered lattices of words: text -> number of the last node; all nodes of a worker lie in shared arrays.
 
-    Every character of a word is a node: the place behind it. Node n has the edges whose entry in ``upto`` lies in
-    (n, n + 1]: n plus the summed probability of the edges so far. ``back`` is the node that the edge comes from (-1: the
+    Every character of a word is a node: the place behind it. A node's edges lie side by side; ``upto`` is the summed
+    probability of the node's edges so far, 1 at its last one. ``back`` is the node that the edge comes from (-1: the
     word's start), ``piece`` its id, or -1 - c for a character c that is written in bytes.
     """
 
