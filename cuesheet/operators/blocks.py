@@ -6,7 +6,8 @@ neighbours, brought by one shuffle on (clip_id, block_no), a key no clip can ove
 the samples are numpy arrays.
 
 Recursive stages start inside the halo, far enough away that what is unknown there has decayed below
-float32: the filters by ``DECAY`` of their slowest pole, the compressor by its release time.
+float32: the filters by ``DECAY`` of their slowest pole, the compressor by its release time. So they fuse
+with their neighbours behind one shuffle; ``recursion`` runs them exactly, one at a time, without a halo.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -177,12 +179,8 @@ def filter_halo(kind: str, cutoff_hz: float, rate: int) -> int:
     return math.ceil(DECAY / -math.log(min(max(radius, 1e-6), 1 - 1e-9)))
 
 
-def _one_pass(x: np.ndarray, b: np.ndarray, a: np.ndarray, span: int = 128) -> np.ndarray:
-    """Filter along the last axis from the steady state of the first sample, ``span`` frames at a time.
-
-    Within a span the output is linear in its inputs and the two state values: matrix products.
-    """
-    n = x.shape[-1]
+@lru_cache(16)
+def _span_matrices(b: tuple, a: tuple, span: int) -> tuple[np.ndarray, ...]:
     step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
     drive = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
     powers = [np.eye(2)]
@@ -193,16 +191,36 @@ def _one_pass(x: np.ndarray, b: np.ndarray, a: np.ndarray, span: int = 128) -> n
     rows, cols = np.indices((span, span))
     inside = np.where(rows >= cols, impulse[np.abs(rows - cols)], 0.0)
     reach = np.array([powers[span - 1 - i] @ drive for i in range(span)])
-    level = b.sum() / a.sum()
-    state = x[..., :1] * np.array([level - b[0], b[2] - a[2] * level])
-    out = np.empty_like(x)
+    return inside, observe, reach, np.array(powers)
+
+
+def filter_span(
+    x: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray, span: int = 128
+) -> tuple[np.ndarray, np.ndarray]:
+    """Filter along the last axis from two state values a row, ``span`` frames at a time; also the state after it.
+
+    Within a span the output is linear in its inputs and the two state values: matrix products.
+    """
+    n = x.shape[-1]
+    inside, observe, reach, powers = _span_matrices(tuple(b), tuple(a), span)
+    out = np.empty(x.shape)
     for at in range(0, n, span):
         part = x[..., at : at + span]
         w = part.shape[-1]
         out[..., at : at + w] = part @ inside[:w, :w].T + state @ observe[:w].T
-        if w == span:
-            state = state @ powers[span].T + part @ reach
-    return out
+        state = state @ powers[w].T + part @ reach[span - w :]
+    return out, state
+
+
+def steady(first: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The state in which an input that never changes leaves the filter; ``first`` has one frame."""
+    level = b.sum() / a.sum()
+    return first * np.array([level - b[0], b[2] - a[2] * level])
+
+
+def _one_pass(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Filter along the last axis from the steady state of the first sample."""
+    return filter_span(x, b, a, steady(x[..., :1], b, a))[0]
 
 
 def zero_phase(x: np.ndarray, b: np.ndarray, a: np.ndarray, at_start: bool, at_end: bool) -> np.ndarray:
@@ -225,43 +243,98 @@ def band_filter(kind: str, cutoff_hz: float, rate: int) -> Local:
     return Local(lambda x, at_start, at_end: zero_phase(x, b, a, at_start, at_end), halo, halo)
 
 
+TILT_BANDS = (("lowpass", 220.0), ("highpass", 3200.0))
+
+
+def tilted(x: np.ndarray, lows: np.ndarray, highs: np.ndarray, low_band_db: float, high_band_db: float) -> np.ndarray:
+    """The bands, rounded to samples, at their gains, and the rest as it is."""
+    lows, highs = lows.astype(np.float32).astype(np.float64), highs.astype(np.float32).astype(np.float64)
+    return lows * 10.0 ** (low_band_db / 20.0) + (x - lows - highs) + highs * 10.0 ** (high_band_db / 20.0)
+
+
 def tilt(low_band_db: float, high_band_db: float, rate: int) -> Local:
     """Gains on what is below 220 Hz and above 3200 Hz; the rest stays."""
-    low, high = biquad("lowpass", 220.0, rate), biquad("highpass", 3200.0, rate)
-    low_gain, high_gain = 10.0 ** (low_band_db / 20.0), 10.0 ** (high_band_db / 20.0)
+    low, high = (biquad(*band, rate) for band in TILT_BANDS)
 
     def kernel(x: np.ndarray, at_start: bool, at_end: bool) -> np.ndarray:
-        lows = zero_phase(x, *low, at_start, at_end).astype(np.float32).astype(np.float64)
-        highs = zero_phase(x, *high, at_start, at_end).astype(np.float32).astype(np.float64)
-        return lows * low_gain + (x - lows - highs) + highs * high_gain
+        bands = [zero_phase(x, *band, at_start, at_end) for band in (low, high)]
+        return tilted(x, *bands, low_band_db, high_band_db)
 
-    halo = max(filter_halo("lowpass", 220.0, rate), filter_halo("highpass", 3200.0, rate))
+    halo = max(filter_halo(*band, rate) for band in TILT_BANDS)
     return Local(kernel, halo, halo)
 
 
+def follow(peaks: np.ndarray, start: np.ndarray, attack: float, release: float) -> tuple[np.ndarray, np.ndarray]:
+    """Levels over ``peaks`` (rows, frames) from the ``start`` of each row, and how much the last level moves with it.
+
+    The frames are cut into as many spans as a span has frames, and all spans take a frame at once, from levels that
+    are guesses but for the first span's. A level's map is piecewise linear, and each span gives its slope here, so
+    guesses are mended along the slopes until they stand still; the spans that are right grow by one a time at least.
+    """
+    rows, n = peaks.shape
+    span = max(1, math.isqrt(n))
+    count = n // span
+    levels = np.empty((rows, n))
+
+    def walk(parts: np.ndarray, level: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slope = np.ones_like(level)
+        for i, peak in enumerate(parts):
+            keep = np.where(peak > level, attack, release)
+            level = keep * level + (1.0 - keep) * peak
+            slope *= keep
+            out[i] = level
+        return level, slope
+
+    parts = np.ascontiguousarray(peaks[:, : count * span].reshape(rows, count, span).transpose(2, 0, 1))
+    out = np.empty_like(parts)
+    guess = np.tile(np.asarray(start, np.float64).reshape(rows, 1), (1, count))
+    for _ in range(count):
+        level, slope = walk(parts, guess, out)
+        better = guess.copy()
+        for k in range(1, count):
+            better[:, k] = level[:, k - 1] + slope[:, k - 1] * (better[:, k - 1] - guess[:, k - 1])
+        better = np.maximum(better, 0.0)
+        done = np.abs(better - guess).max(initial=0.0) <= 1e-15 * max(1.0, np.abs(guess).max(initial=0.0))
+        guess = better
+        if done:
+            break
+    levels[:, : count * span] = out.transpose(1, 2, 0).reshape(rows, -1)
+    last, slopes = (level[:, -1], slope.prod(axis=1)) if count else (np.asarray(start, np.float64), np.ones(rows))
+    rest = np.empty((n - count * span, rows))
+    _, more = walk(peaks[:, count * span :].T, last, rest)
+    levels[:, count * span :] = rest.T
+    return levels, slopes * more
+
+
+def follower_rates(attack_ms: float, release_ms: float, rate: int) -> tuple[float, float]:
+    """What a frame keeps of the level when it rises and when it falls."""
+    return tuple(math.exp(-1.0 / max(rate * ms / 1000.0, 1.0)) for ms in (attack_ms, release_ms))
+
+
+def gain_curve(threshold_db: float, ratio: float, makeup_db: float) -> Callable[[np.ndarray], np.ndarray]:
+    if ratio <= 0:
+        raise ValueError("ratio must be positive")
+
+    def gain(levels: np.ndarray) -> np.ndarray:
+        loud = 20.0 * np.log10(np.maximum(levels, 1e-6))
+        change = np.where(loud > threshold_db, (threshold_db - loud) * (1.0 - 1.0 / ratio), 0.0)
+        return 10.0 ** ((change + makeup_db) / 20.0)
+
+    return gain
+
+
 def compressor(
     threshold_db: float, ratio: float, attack_ms: float, release_ms: float, makeup_db: float, rate: int
 ) -> Local:
     """Level follower over the louder channel, then a gain curve. The follower looks back only."""
-    if ratio <= 0:
-        raise ValueError("ratio must be positive")
-    rise, fall = max(rate * attack_ms / 1000.0, 1.0), max(rate * release_ms / 1000.0, 1.0)
-    attack, release = math.exp(-1.0 / rise), math.exp(-1.0 / fall)
+    attack, release = follower_rates(attack_ms, release_ms, rate)
+    gain = gain_curve(threshold_db, ratio, makeup_db)
 
     def kernel(x: np.ndarray, _: bool, __: bool) -> np.ndarray:
-        peaks = np.abs(x).max(axis=1)
-        levels = np.empty_like(peaks)
-        level = np.zeros(len(peaks))
-        for i in range(peaks.shape[1]):
-            peak = peaks[:, i]
-            keep = np.where(peak > level, attack, release)
-            level = keep * level + (1.0 - keep) * peak
-            levels[:, i] = level
-        loud = 20.0 * np.log10(np.maximum(levels, 1e-6))
-        change = np.where(loud > threshold_db, (threshold_db - loud) * (1.0 - 1.0 / ratio), 0.0)
-        return x * (10.0 ** ((change + makeup_db) / 20.0))[:, None, :]
+        levels, _ = follow(np.abs(x).max(axis=1), np.zeros(len(x)), attack, release)
+        return x * gain(levels)[:, None, :]
 
-    return Local(kernel, math.ceil(DECAY * max(rise, fall)))
+    return Local(kernel, math.ceil(DECAY * max(rate * attack_ms / 1000.0, rate * release_ms / 1000.0, 1.0)))
 
 
 def echoes(taps: Sequence[tuple[int, float, float]], dry: float) -> Local:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions.timing import clean_zero
 from cuesheet.operators import blocks as B
 from cuesheet.operators import frames as FR
+from cuesheet.operators import recursion as R
 from cuesheet.operators import mixdown as MX
 from cuesheet.operators import timeline as L
 from cuesheet.operators.presets import PRESETS, canonical, no_preset, preset_error
@@ -213,17 +214,16 @@ def loudness_applied(spark, sf_dir):
 
 def compressor(spark, sf_dir):
     params = PRESETS["narrator"][1][1]
-    return _shown(B.block_frames_table(B.run_stage(_blocks(spark, sf_dir), B.compressor(**params, rate=RATE), BLOCK)))
+    return _shown(B.block_frames_table(R.compressor(_blocks(spark, sf_dir), **params, rate=RATE)))
 
 
 def highpass(spark, sf_dir):
-    return _shown(B.block_frames_table(B.run_stage(_blocks(spark, sf_dir), B.band_filter("highpass", 85.0, RATE), BLOCK)))
+    return _shown(B.block_frames_table(R.band_filter(_blocks(spark, sf_dir), "highpass", 85.0, RATE, BLOCK)))
 
 
 def tilt(spark, sf_dir):
     # At this rate both band edges lie inside the band.
-    done = B.run_stage(_blocks(spark, sf_dir), B.tilt(-1.4, 1.6, 16_000), BLOCK)
-    return _shown(B.block_frames_table(done))
+    return _shown(B.block_frames_table(R.tilt(_blocks(spark, sf_dir), -1.4, 1.6, 16_000, BLOCK)))
 
 
 def resample_up(spark, sf_dir):
@@ -417,19 +417,21 @@ _SHOW_VALUE = f"SELECT clip_id, frame, ch::INTEGER AS ch, {_round('value')} AS v
 
 
 def _sql_filter(name, source, kind, cutoff, rate, n=32, pad=B.PAD):
-    """Zero-phase filter as two recursive walks; one walk step moves every (clip, channel) on."""
-    b, a = B.biquad(kind, cutoff, rate)
-    g = b.sum() / a.sum()
-    z1, z2 = float(g - b[0]), float(b[2] - a[2] * g)
-    b, a = [repr(float(x)) + "::DOUBLE" for x in b], [repr(float(x)) + "::DOUBLE" for x in a]
+    """Zero-phase filter as two recursive walks; one walk step moves every (clip, channel) on. The coefficients are SQL."""
+    k = f"tan(pi() * {cutoff}::DOUBLE / {rate})"
+    scale = f"(1 / (1 + sqrt(2::DOUBLE) * {k} + {k} * {k}))"
+    b = [f"({factor} * {scale})" for factor in ((f"{k} * {k}", f"2 * {k} * {k}", f"{k} * {k}") if kind == "lowpass" else (1, -2, 1))]
+    a = [1, f"(2 * ({k} * {k} - 1) * {scale})", f"((1 - sqrt(2::DOUBLE) * {k} + {k} * {k}) * {scale})"]
+    level = f"(({b[0]} + {b[1]} + {b[2]}) / (1 + {a[1]} + {a[2]}))"
+    z1, z2 = f"({level} - {b[0]})", f"({b[2]} - {a[2]} * {level})"
     total = n + 2 * pad
 
     def walk(out, feed):
         return f"""
 {out} AS (
-  SELECT clip_id, ch, 0::BIGINT AS i, x * {b[0]} + x * {z1!r}::DOUBLE AS y,
-         x * {b[1]} - (x * {b[0]} + x * {z1!r}::DOUBLE) * {a[1]} + x * {z2!r}::DOUBLE AS s1,
-         x * {b[2]} - (x * {b[0]} + x * {z1!r}::DOUBLE) * {a[2]} AS s2
+  SELECT clip_id, ch, 0::BIGINT AS i, x * {b[0]} + x * {z1} AS y,
+         x * {b[1]} - (x * {b[0]} + x * {z1}) * {a[1]} + x * {z2} AS s1,
+         x * {b[2]} - (x * {b[0]} + x * {z1}) * {a[2]} AS s2
   FROM {feed} WHERE i = 0
   UNION ALL
   SELECT w.clip_id, w.ch, f.i, f.x * {b[0]} + w.s1, f.x * {b[1]} - (f.x * {b[0]} + w.s1) * {a[1]} + w.s2,
