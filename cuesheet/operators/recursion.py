@@ -154,6 +154,7 @@ def filtered(
     id_type = blocks.schema["clip_id"].dataType.simpleString()
     blocks = blocks.where(F.col("total") > pad)
     last = chunk_of(F.col("total") - 1, block_frames)
+    ends_of = ["head_l", "head_r", "tail_l", "tail_r"]
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -170,11 +171,18 @@ def filtered(
                 for cells, into in ((steps, there), (backs, back)):
                     for place, cell in zip(places, np.stack(cells, axis=1).reshape(len(places), -1)):
                         into[place] = cell
-            yield batch[["clip_id", "block_no", "total"]].assign(there=there, back=back)
+            yield batch[["clip_id", "block_no", "total", *ends_of]].assign(there=there, back=back)
 
+    # A block also hands on what it holds of the clip's first and last ten frames.
+    start, size = F.col("start_frame"), F.size("l")
+    head = F.greatest(F.lit(0), F.least(size, F.lit(pad + 1) - start)).cast("int")
+    skip = F.least(size, F.greatest(F.lit(0), F.col("total") - (pad + 1) - start)).cast("int")
+    cells = [F.slice(name, F.lit(1), head).alias(f"head_{name}") for name in ("l", "r")]
+    cells += [F.slice(name, skip + 1, size - skip).alias(f"tail_{name}") for name in ("l", "r")]
+    schema = ", ".join(f"{name} array<float>" for name in ends_of)
     found = stored(
-        blocks.select("clip_id", "block_no", "total", "l", "r").mapInPandas(
-            summarise, f"clip_id {id_type}, block_no bigint, total bigint, there array<double>, back array<double>"
+        blocks.select("clip_id", "block_no", "total", "l", "r", *cells).mapInPandas(
+            summarise, f"clip_id {id_type}, block_no bigint, total bigint, {schema}, there array<double>, back array<double>"
         ),
         "recursion-blocks",
     )
@@ -182,18 +190,9 @@ def filtered(
     if most is None:
         return blocks.select("clip_id", "block_no", "start_frame", "total", "l", "r")
 
-    # The ends of every clip, ten frames each, out of as many blocks as hold them.
-    start, size = F.col("start_frame"), F.size("l")
-    head = F.greatest(F.lit(0), F.least(size, F.lit(pad + 1) - start)).cast("int")
-    skip = F.least(size, F.greatest(F.lit(0), F.col("total") - (pad + 1) - start)).cast("int")
-    cells = {}
-    for name in ("l", "r"):
-        cells[f"head_{name}"] = F.slice(name, F.lit(1), head)
-        cells[f"tail_{name}"] = F.slice(name, skip + 1, size - skip)
-    near = blocks.where((start <= pad) | (start + size >= F.col("total") - pad))
-    pieces = near.select("clip_id", "total", F.struct(start.alias("at"), *[c.alias(n) for n, c in cells.items()]).alias("p"))
+    pieces = found.where(F.size("head_l") + F.size("tail_l") > 0).select("clip_id", "total", F.struct("block_no", *ends_of).alias("p"))
     joined = pieces.groupBy("clip_id").agg(F.max("total").alias("total"), F.array_sort(F.collect_list("p")).alias("p"))
-    ends = stored(joined.select("clip_id", "total", *[F.flatten(F.col(f"p.{name}")).alias(name) for name in cells]), "recursion-ends")
+    ends = joined.select("clip_id", "total", *[F.flatten(F.col(f"p.{name}")).alias(name) for name in ends_of])
 
     def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The state at the first frame: over the reflected head, from its steady state."""
