@@ -23,6 +23,8 @@ from cuesheet.session import stored
 ARCHIVE_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
 DICTIONARY_PAGES = 400  # the dictionary is trained on at most so many pages
+DICTIONARY_CHARS = 20_000
+HOT_SHARE = 1_000  # a payload is hot if more than one row in so many has it
 LEVEL = 3
 # Fixed values of the formats.
 SKIPPABLE_DICTIONARY = 0x184D2A5D
@@ -175,10 +177,16 @@ def records(content: bytes) -> Iterator[dict]:
         yield {"record": number, "error": str(problem)}
 
 
-def train(pages: DataFrame, html: str = "html") -> bytes:
-    """A dictionary from at most DICTIONARY_PAGES pages; none if there is too little to train on."""
-    rows = pages.where(F.length(html) > 0).select(F.substring(html, 1, 20_000).alias("h")).limit(DICTIONARY_PAGES)
-    samples = [r["h"].encode() for r in rows.collect()]
+def train(pages: DataFrame, html: str = "html", key: str = "page_id") -> bytes:
+    """A dictionary from at most DICTIONARY_PAGES pages, those with the smallest hashes; none if there is too little to
+    train on. Of a page its first DICTIONARY_CHARS characters: what a dictionary holds does not change any record read back.
+    """
+    order = F.xxhash64(key, html)
+    share = min(1.0, 4.0 * DICTIONARY_PAGES / max(1, pages.count()))
+    # About four times as many rows as are wanted are sorted, however many pages there are.
+    some = pages.where((F.length(html) > 0) & (F.pmod(order, F.lit(1 << 30)) / F.lit(float(1 << 30)) < share))
+    rows = some.select(F.substring(html, 1, DICTIONARY_CHARS).alias("h"), order.alias("o")).orderBy("o", "h")
+    samples = [r["h"].encode("utf-8", "surrogatepass") for r in rows.limit(DICTIONARY_PAGES).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -255,13 +263,19 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` as records: of equal payloads the smallest page_id is the response.
 
     A null html is the empty payload. Rows that repeat a page_id with the same payload are all responses if that id is
-    the smallest. A null page_id comes after all others; if a payload has no other, its rows are all responses.
+    the smallest. A null page_id comes after all others; if a payload has no other, its rows are all responses. A payload
+    that many pages share is not moved: its rows stay in the tasks that read them.
     """
     rows = pages.select(
         "page_id", F.coalesce("url", F.lit("")).alias("uri"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")
     ).withColumn("key", F.sha1("payload"))
-    first = rows.groupBy("key").agg(F.min("page_id").alias("first"))
-    joined = rows.join(first, "key")
+    counted = stored(rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "warc-payloads")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") > total / HOT_SHARE
+    # Fewer than HOT_SHARE payloads are hot, so they are broadcast; no other one makes a large group.
+    hot = F.broadcast(counted.where(is_hot).select("key", "first"))
+    rest = rows.join(hot.select("key"), "key", "left_anti").join(counted.where(~is_hot).select("key", "first"), "key")
+    joined = rows.join(hot, "key").unionByName(rest)
     name = F.concat(F.lit(PAGE), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
     is_first = F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(

@@ -7,6 +7,7 @@ import struct
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from cuesheet.llm import warc
 
@@ -118,3 +119,20 @@ def test_binary_files(spark, tmp_path):
         (tmp_path / f"a{k}.warc.zst").write_bytes(warc.archive([page(k, b"x%d" % k)], dictionary()))
     files = spark.read.format("binaryFile").load(str(tmp_path))
     assert sorted(bytes(r["payload"]) for r in warc.read(files).collect()) == [b"x0", b"x1", b"x2"]
+
+
+def test_hot_payloads(spark):
+    """A third of all pages equal, and one row repeated: the same rows as by hand, and not in one task."""
+    rows = [(k, "u", "blocked" if k % 3 == 0 else f"page {k}") for k in range(9_000, 0, -1)] + [(7, "u", "page 7")] * 50
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    want = [(k, "revisit", 3) if k % 3 == 0 and k > 3 else (k, "response", None) for k, _, _ in rows]
+    assert got == sorted(want, key=lambda r: (r[0], r[1]))
+    moved = warc.with_revisits(pages).groupBy(F.spark_partition_id().alias("p")).agg(F.sum((F.col("payload") == F.lit(b"blocked")).cast("int")).alias("n"))
+    assert max(r.n for r in moved.collect()) < 1_000
+
+
+def test_dictionary_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(k, f"<html><body>page {k % 97} of {k}</body></html>" * 5) for k in range(3_000)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert warc.train(pages.repartition(7)) == warc.train(pages.orderBy("html").coalesce(1)) != b""
