@@ -6,14 +6,16 @@ every row has an equal say. In each round both are fitted, calibrated on rows
 kept apart, and each labels the unlabelled rows that it is most sure of, for the *other* view's next fit. At the end
 both views are calibrated again, a small logistic model combines them, and every document is scored from its whole text.
 
-The fit reads a bounded sample: at most about ``LABELLED`` rows with a label and ``POOL`` rows without, chosen by a hash
-of their ids. Which rows are labelled is looked up from that many ids, so no text is moved. All documents are scored.
+Only the labelled rows are a bounded sample: at most ``LABELLED``, those with the smallest hashes of their ids, one row
+an id. Every other row of the corpus takes part in every round: a view labels all rows that it is sure of (``SURE``),
+and what reaches the driver are sums by place. In round t the rows so labelled weigh at most t / ROUNDS of the labelled
+ones, in the proportion of the classes, so the fit behaves alike at every size. All documents are scored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +26,9 @@ from cuesheet.llm.arrow import slices
 from cuesheet.session import stored
 
 LABELLED = 8_000
-POOL = 8_000
 ROUNDS = 4
-PICKED = 400  # most rows that a view labels for the other in a round, in the proportion of the classes
-SURE = 0.9  # and it must be so sure of them
+SURE = 0.9  # a view labels a row for the other if the wrong class has lost so much of its share among labelled rows
+UNIT = float(1 << 24)  # sums are added up as integers of this fraction, so that their order does not matter
 HOLD = 4  # one labelled row in so many is kept for calibration
 KEEP = 0.5
 PLACES = 1 << 16
@@ -130,6 +131,13 @@ class Model:
     content: np.ndarray
     meta: np.ndarray
     combined: np.ndarray
+    prior: float = 0.5  # share of good rows among those with a label
+
+    def sure(self, chance: float) -> int | None:
+        """The label that a view gives to the other one, if any."""
+        if 1 - chance <= (1 - SURE) * (1 - self.prior):
+            return 1
+        return 0 if chance <= (1 - SURE) * self.prior else None
 
     def logits(self, scores: np.ndarray) -> np.ndarray:
         """Calibrated logits by (content, metadata) of the tables' scores."""
@@ -154,57 +162,102 @@ def _places(part: pa.RecordBatch, text: int, meta: int) -> Iterator[tuple[np.nda
         yield trigrams(content), shape(content), np.array(places or [], np.int64)
 
 
-def _sums(sample: DataFrame, labels: list[dict[int, int]]) -> list[np.ndarray]:
-    """For each table (good, bad): the summed shares of the places over the rows that its view's ``labels`` name."""
-    names = [f"t{k}" for k in range(len(_TABLES))]
+def _gathered(rows: DataFrame, labels_of: Callable[[pa.RecordBatch, list], list]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each table (bad, good): the summed shares of the places over the rows that its view has labels for.
+
+    ``labels_of(part, places)`` gives a label or null for each view and row. Also how many rows each (view, label) has.
+    Tasks send what they have summed up, by place, so the result has a fixed size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros((2, n)) for n in _TABLES]
+        counts = np.zeros((2, 2), np.int64)
         for part in slices(batches):
-            for key, tables in zip(part.column(0).to_pylist(), _places(part, 1, 2)):
-                for places, view, total in zip(tables, _VIEW, sums):
-                    label = labels[view].get(key)
+            places_of = list(_places(part, 0, 1))
+            for labels, row in zip(labels_of(part, places_of), places_of):
+                for view, label in enumerate(labels):
+                    if label is not None:
+                        counts[view, label] += 1
+                for places, view, total in zip(row, _VIEW, sums):
+                    label = labels[view]
                     if label is not None and len(places):
-                        total[1 - label] += np.bincount(places, minlength=total.shape[1]) / len(places)
-        yield pa.RecordBatch.from_arrays([pa.array([s.ravel()]) for s in sums], names)
+                        total[label] += np.bincount(places, minlength=total.shape[1]) / len(places)
+        cells = [(table, *np.nonzero(total), total[np.nonzero(total)] * UNIT) for table, total in enumerate(sums)]
+        cells.append((len(_TABLES), *(x.ravel() for x in np.indices((2, 2))), counts.ravel()))
+        for table, label, place, value in cells:
+            columns = [np.full(len(label), table), label, place, np.rint(value)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["t", "label", "place", "v"])
+
+    found = rows.mapInArrow(run, "t long, label long, place long, v long")
+    sums, counts = [np.zeros((2, n)) for n in _TABLES], np.zeros((2, 2))
+    for r in found.groupBy("t", "label", "place").agg(F.sum("v").alias("v")).collect():  # at most 2 * sum(_TABLES) + 4
+        if r["t"] == len(_TABLES):
+            counts[r["label"], r["place"]] = r["v"]  # by (view, label)
+        else:
+            sums[r["t"]][r["label"], r["place"]] = r["v"] / UNIT
+    return sums, counts
+
+
+def given_sums(taught: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of rows (text, meta, label): their labels are for both views."""
+    return _gathered(taught.select("text", "meta", "label"), lambda part, _: [(x, x) for x in part.column(2).to_pylist()])
+
+
+def pseudo_sums(pool: DataFrame, model: Model) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of all rows (text, meta): each view learns from those that the *other* one is sure of."""
+    shared = pool.sparkSession.sparkContext.broadcast(model)
 
-    total = [np.zeros(2 * n) for n in _TABLES]
-    found = sample.select("key", "text", "meta").mapInArrow(run, ", ".join(f"{n} array<double>" for n in names))
-    for row in found.toLocalIterator():
-        for k, name in enumerate(names):
-            total[k] += row[name]
-    return [t.reshape(2, -1) for t in total]
+    def labels_of(_: pa.RecordBatch, places_of: list) -> list:
+        scores = np.array([[t.score(p) for t, p in zip(shared.value.tables, places)] for places in places_of])
+        content, meta, _ = shared.value.chances(scores.reshape(-1, len(_TABLES)))
+        return [(shared.value.sure(m), shared.value.sure(c)) for c, m in zip(content, meta)]
 
+    return _gathered(pool.select("text", "meta"), labels_of)
 
-def _scores(sample: DataFrame, tables: list[Bayes]) -> dict[int, list[float]]:
-    """The tables' scores of a bounded sample by key."""
+
+def mixed_sums(given: tuple, pseudo: tuple | None, turn: int) -> list[np.ndarray]:
+    """Sums of labelled rows and of rows labelled by the other view, which weigh turn / ROUNDS of them class by class,
+    and none of them more than a labelled one."""
+    sums, counts = given
+    if pseudo is None:
+        return sums
+    made = []
+    for own, other, view in zip(sums, pseudo[0], _VIEW):
+        weight = np.minimum(1.0, counts[view] * turn / ROUNDS / np.maximum(pseudo[1][view], 1))
+        made.append(own + other * weight[:, None])
+    return made
+
+
+def _scores(rows: DataFrame, tables: list[Bayes]) -> list[tuple[int, np.ndarray]]:
+    """(label, scores of the tables) of the bounded rows that are kept for calibration, in the order of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = [[t.score(p) for t, p in zip(tables, places)] for places in _places(part, 1, 2)]
+            found = [[t.score(p) for t, p in zip(tables, places)] for places in _places(part, 2, 3)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(found, pa.list_(pa.float64()))], ["key", "scores"]
+                [part.column(0), part.column(1), pa.array(found, pa.list_(pa.float64()))], ["key", "label", "scores"]
             )
 
-    rows = sample.select("key", "text", "meta").mapInArrow(run, "key long, scores array<double>").collect()
-    return {r["key"]: r["scores"] for r in rows}
+    kept = rows.select("key", "label", "text", "meta").mapInArrow(run, "key long, label int, scores array<double>")
+    return [(r["label"], np.array(r["scores"])) for r in sorted(kept.collect(), key=lambda r: r["key"])]
 
 
-def sample_of(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """A bounded sample, stored: key, text, meta, label (null: without one). Ids without a label of 0 or 1 have none."""
-    marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    known, rows = marks.count(), documents.count()
-    order = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = stored(marks.where(order < min(1.0, LABELLED / max(1, known))), "cotrain-labels")
-    meta = metadata(documents.columns)
-    texts = documents.where("doc_id IS NOT NULL").select("doc_id", "text", meta.alias("meta"))
-    # About LABELLED rows: a bound that the share above sets.
-    with_label = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "meta", "label")
-    share = min(1.0, POOL / max(1, rows - known))
-    without = texts.where(order < share).join(marks, "doc_id", "left_anti")
-    without = without.select("doc_id", "text", "meta", F.lit(None).cast("int").alias("label"))
-    both = with_label.unionByName(without).withColumnRenamed("doc_id", "key")
-    return stored(both.select("key", "text", "meta", F.col("label").cast("int").alias("label")), "cotrain-sample")
+def labelled_sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """At most LABELLED rows, stored: key, label, held, text, meta. Ids without a label of 0 or 1 are not labelled.
+
+    Of labels that disagree the greater one counts, of rows with the same id the one with the smallest text. The order
+    of the ids' hashes picks the rows, and of these one in HOLD is held back for calibration.
+    """
+    marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    marks = stored(marks.withColumn("order", F.xxhash64("doc_id")), "cotrain-labels")
+    share = min(1.0, 2.0 * LABELLED / max(1, marks.count()))
+    some = marks.where(F.pmod("order", F.lit(1 << 30)) / F.lit(float(1 << 30)) <= share).orderBy("order", "doc_id").limit(LABELLED)
+    rank = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("held")), F.lit(HOLD))
+    chosen = some.select("doc_id", "label", (rank == 0).alias("held"))
+    texts = documents.where("doc_id IS NOT NULL").select("doc_id", F.struct("text", metadata(documents.columns).alias("meta")).alias("row"))
+    # LABELLED rows at most are broadcast; only their texts are moved.
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "held").agg(F.min("row").alias("row"))
+    return stored(found.select(F.col("doc_id").alias("key"), "label", "held", "row.text", "row.meta"), "cotrain-sample")
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
@@ -212,32 +265,24 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
 
     Without labels of both kinds, also among the rows kept for calibration, nothing can be learned: UNKNOWN.
     """
-    sample = sample_of(documents, labels)
-    given = {r["key"]: r["label"] for r in sample.select("key", "label").where("label IS NOT NULL").collect()}
-    keys = sorted(given, key=lambda k: (k * 0x9E3779B97F4A7C15) % (1 << 64))
-    held, taught = keys[::HOLD], [k for n, k in enumerate(keys) if n % HOLD]
-    if any(len({given[k] for k in some}) < 2 for some in (held, taught)):
+    sample = labelled_sample(documents, labels)
+    kinds = {(r["held"], r["label"]): r["n"] for r in sample.groupBy("held", "label").agg(F.count("*").alias("n")).collect()}
+    if len(kinds) < 4:
         return UNKNOWN
-    truth = np.array([given[k] for k in held])
-    prior = float(np.mean([given[k] for k in taught]))
-    teach = [{k: given[k] for k in taught} for _ in range(2)]
+    held, given = sample.where("held"), given_sums(sample.where("NOT held"))
+    # All rows but those of the sample, also rows without an id.
+    rows = documents.select("doc_id", "text", metadata(documents.columns).alias("meta"))
+    pool = rows.join(F.broadcast(sample.select(F.col("key").alias("doc_id"))), "doc_id", "left_anti")
+    prior, pseudo = given[1][0, 1] / given[1][0].sum(), None
     for turn in range(ROUNDS + 1):
-        tables = [Bayes.fit(*sums) for sums in _sums(sample, teach)]
-        scores = _scores(sample, tables)
-        on_held = np.array([scores[k] for k in held])
-        views = [logistic(on_held[:, columns], truth) for columns in (_CONTENT, _METADATA)]
-        model = Model(tables, *views, np.zeros(3))
-        pool = sorted(k for k in scores if k not in given)
-        if turn == ROUNDS or not pool:
-            break
-        logits = model.logits(np.array([scores[k] for k in pool]))
-        for view in (0, 1):
-            chance, other = _chance(logits[:, view]), teach[1 - view]
-            for label, sure, share in ((1, chance, prior), (0, 1 - chance, 1 - prior)):
-                most = max(1, int(PICKED * share))
-                best = [k for k in np.argsort(-sure, kind="stable") if sure[k] >= SURE and pool[k] not in other]
-                other.update((pool[k], label) for k in best[:most])
-    model.combined = logistic(model.logits(on_held), truth)
+        tables = [Bayes.fit(good, bad) for bad, good in mixed_sums(given, pseudo, turn)]
+        found = _scores(held, tables)
+        truth, scores = np.array([label for label, _ in found]), np.array([s for _, s in found])
+        views = [logistic(scores[:, columns], truth) for columns in (_CONTENT, _METADATA)]
+        model = Model(tables, *views, np.zeros(3), prior)
+        if turn < ROUNDS:
+            pseudo = pseudo_sums(pool, model)
+    model.combined = logistic(model.logits(scores), truth)
     return model
 
 
