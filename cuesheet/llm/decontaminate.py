@@ -9,7 +9,8 @@ window's words are compared one by one.
 
 The documents are read twice, once for the counts and once for the join; both times their shingles meet a table of
 benchmark shingles inside the scan's own stage, so that only counts and candidates are shuffled. That table is
-broadcast if it has at most ``MOST_BROADCAST`` rows; beyond that it is joined by shuffling.
+broadcast if it has at most ``MOST_BROADCAST`` rows; beyond that it is joined by shuffling the documents' codes and
+places, and only documents with a candidate get their words, once each.
 """
 
 from __future__ import annotations
@@ -55,9 +56,13 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return found.select("item_id", F.array_join(window, " ").alias("window"), F.size(window).alias("n")).distinct()
 
 
+def _is_small(table: DataFrame) -> bool:
+    """Whether the stored table may be broadcast; its rows are counted, not estimated."""
+    return table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
 def _sized(table: DataFrame) -> DataFrame:
-    """The stored table, to be broadcast if it is small; its rows are counted, not estimated."""
-    return F.broadcast(table) if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else table
+    return F.broadcast(table) if _is_small(table) else table
 
 
 def prefixes(texts: DataFrame, distinct: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -97,6 +102,10 @@ def occurrences(documents: DataFrame, distinct: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w")
     )
     lookup, widths = prefixes(texts, distinct)
+    small = _is_small(lookup)
+    if not small:
+        # Read more than once under its row numbers.
+        texts = stored(texts, "benchmark-texts")
     # Every document also has one marker entry, which the lookup table holds as well: one pass gives both kinds of rows.
     marker = F.array(F.lit(0).cast("bigint"))
     entries = F.concat(marker, *[shingle_codes(F.col("w"), k) for k in widths])
@@ -122,7 +131,9 @@ def occurrences(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     inside = (start >= 0) & (start + F.col("n") <= F.size("w"))
     same = F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")), " ") == F.col("window")
     hit = ~F.col("marked") & F.col("window").isNotNull() & inside & same
-    found = each.join(_sized(lookup), "code").where((F.col("marked") & F.col("window").isNull()) | hit)
+    if not small:
+        return _shuffled(texts, each, lookup, hit)
+    found = each.join(F.broadcast(lookup), "code").where((F.col("marked") & F.col("window").isNull()) | hit)
     return found.select(
         "row",
         "doc_id",
@@ -133,6 +144,20 @@ def occurrences(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     )
 
 
+def _shuffled(texts: DataFrame, each: DataFrame, lookup: DataFrame, hit: Column) -> DataFrame:
+    """``occurrences`` for a lookup table of any size: no words beside the codes, and words once for each document."""
+    rows = texts.select("row", "doc_id", F.size("w").cast("bigint").alias("n_words"))
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("start", "int"), ("n", "int"), ("window", "string"))]
+    windows_of = lookup.where("window IS NOT NULL")
+    near = each.where("NOT marked").select("row", "code", "at").join(windows_of, "code")
+    near = near.where("at >= offset").withColumn("marked", F.lit(False))
+    found = texts.join(near, "row").where(hit)
+    start = (F.col("at") - F.col("offset")).alias("start")
+    return rows.select("*", *nothing).unionByName(
+        found.select("row", "doc_id", F.size("w").cast("bigint").alias("n_words"), start, "n", "window")
+    )
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per row of ``documents(doc_id, text)``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 

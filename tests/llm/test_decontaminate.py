@@ -73,3 +73,16 @@ def test_words_beyond_ascii(spark):
 def test_empty_tables(spark):
     assert found(spark, [], [(1, "a b c")]) == []
     assert found(spark, [(1, "a b c")], []) == brute([(1, "a b c")], [])
+
+
+def test_lookup_tables_of_any_size(spark, monkeypatch):
+    """Beyond the size that is broadcast, words do not travel with every shingle, and the rows are the same."""
+    item = " ".join(f"k{n}" for n in range(14))
+    documents = [(1, item), (2, item + " " + item), (2, "x"), (3, item.replace("k13", "")), (5, "x " + item + " y"), (6, None), (None, item)]
+    documents += [(8, " ".join(["k0"] * 20_000) + " " + item), (9, "k12 k13"), (10, "k2")]
+    benchmark = [(1, item), (2, item), (None, item), (3, None), (50, "K2 k3"), (51, "k13"), (52, "k0 k0 k0 k1 k2")]
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(decontaminate, "_sized", lambda table: table)
+    assert found(spark, documents, benchmark) == brute(documents, benchmark)
+    assert found(spark, documents, []) == brute(documents, [])
+    assert found(spark, [], benchmark) == []
