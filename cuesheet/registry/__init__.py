@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["dialogue", "timeline", "alignment", "marks", "assets", "documents", "requests", "audio", "jobs"]
+_MODULES = ["dialogue", "timeline", "alignment", "scripts", "marks", "assets", "documents", "requests", "audio", "jobs"]
 
 
 def _modules():
