@@ -8,6 +8,7 @@ from cuesheet.functions import text as T
 from cuesheet.functions.timing import clean_zero
 from cuesheet.operators import alignment as A
 from cuesheet.operators import script_rows as R
+from cuesheet.operators import script_search as S
 from cuesheet.registry import alignment as whole
 from cuesheet.registry.common import RATE, documents
 from cuesheet.session import stored
@@ -76,13 +77,17 @@ def decision_rows(spark, sf_dir):
     return R.decide(marked, of(lines, "line_no"), of(coarse, "idx"), of(fine, "idx"), KEYS)
 
 
+def greedy_align_rows(spark, sf_dir):
+    _, lines, _, _, words = _scripts(spark, sf_dir)
+    hits = S.greedy_hits(lines, R.word_tokens(words, KEYS), KEYS)
+    return hits.select("doc_id", "line_no", F.col("first").alias("first_token"), F.col("last").alias("last_token"))
+
+
 def _spans(spark, sf_dir):
     scripts, lines, coarse, fine, words = _scripts(spark, sf_dir)
     marked = scripts.select("doc_id", F.lit(True).alias("has_coarse"))
-    joined = F.concat(F.lit(" "), F.array_join(F.transform("words", lambda w: w["text"]), " "), F.lit(" "))
-    hits = A.unfold(scripts, KEYS, A.greedy_hits(A.line_tokens(F.col("lines")), joined), "line_no", "_h")
-    hits = hits.select("doc_id", "line_no", F.col("_h.first").alias("first"), F.col("_h.last").alias("last"))
-    tokens = R.word_tokens(words, KEYS)
+    tokens = stored(R.word_tokens(words, KEYS), "tokens")
+    hits = S.greedy_hits(lines, tokens, KEYS)
     spans = stored(R.line_spans(marked, lines, coarse, fine, tokens, hits, KEYS), "spans")
     return scripts, spans, R.fill_gaps(spans, KEYS)
 
@@ -128,6 +133,7 @@ QUERIES = {
     "word_token_rows": word_token_rows,
     "exact_clause_rows": exact_clause_rows,
     "decision_rows": decision_rows,
+    "greedy_align_rows": greedy_align_rows,
     "line_span_rows": line_span_rows,
     "inline_position_rows": inline_position_rows,
     "marker_frame_rows": marker_frame_rows,
@@ -139,6 +145,7 @@ _SAME = {
     "word_token_rows": "word_tokens",
     "exact_clause_rows": "exact_clauses",
     "decision_rows": "alignment_decision",
+    "greedy_align_rows": "greedy_align",
     "line_span_rows": "line_spans",
     "inline_position_rows": "inline_positions",
     "marker_frame_rows": "marker_frames",
