@@ -29,7 +29,7 @@ from cuesheet.operators import alignment as A
 from cuesheet.operators.scans import chunk_of
 from cuesheet.session import stored
 
-BLOCK = 65_536
+BLOCK = 262_144
 ARRAY = 8_192
 SALTS = 8
 HIT, FRONTIER = 0, 1
