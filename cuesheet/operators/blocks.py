@@ -480,6 +480,31 @@ def apply_custom(
     return run_stage(blocks, Local(kernel, before, after), block_frames)
 
 
+def apply_stateful(blocks: DataFrame, factory: Callable[[], Callable[[np.ndarray, object], tuple[np.ndarray, object]]]) -> DataFrame:
+    """A user's own stage that remembers what it heard: ``(x, state) -> (y, state)`` with ``x`` (channels, frames) of a block.
+
+    The factory runs once per task. Blocks pass in order, with state None at the start of every clip, so the result is
+    that of the whole clip. As nothing is known of the state, a clip is one task's walk, a batch of blocks at a time;
+    a stage whose steps can be composed is spread further by ``recursion.scan``. ``block_no`` must be unique in a clip.
+    """
+    plain = ["clip_id", "block_no", "start_frame", "total", "l", "r"]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stage, clip, state = factory(), None, None
+        for batch in batches:
+            left, right = [], []
+            for own, l, r in zip(batch["clip_id"], batch["l"], batch["r"]):
+                if own != clip:
+                    clip, state = own, None
+                made, state = stage(np.stack([l, r]).astype(np.float64), state)
+                left.append(made[0].astype(np.float32))
+                right.append(made[1].astype(np.float32))
+            yield batch.assign(l=left, r=right)
+
+    ordered = blocks.select(*plain).repartition("clip_id").sortWithinPartitions("clip_id", "block_no")
+    return ordered.mapInPandas(walk, ordered.schema)
+
+
 def preset_problems(blocks: DataFrame, column: str = "preset") -> DataFrame:
     """Clips that ``by_preset`` leaves out, with the reason: (clip_id, message)."""
     filtered = [name for name, stages in PRESETS.items() if any(s in ("highpass", "lowpass", "tilt") for s, _ in stages)]

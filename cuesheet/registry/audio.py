@@ -295,6 +295,19 @@ def custom_stage(spark, sf_dir):
     return _shown(B.block_frames_table(B.apply_custom(_blocks(spark, sf_dir), factory, 3, 0, BLOCK)))
 
 
+def stateful_stage(spark, sf_dir):
+    """A user's own stage with a memory: samples are divided by the loudest one of either channel so far."""
+
+    def factory():
+        def hold(x, peak):
+            peaks = np.maximum.accumulate(np.append(peak or 0.0, np.abs(x).max(axis=0)))[1:]
+            return np.divide(x, peaks, out=np.zeros_like(x), where=peaks > 0), float(peaks[-1])
+
+        return hold
+
+    return _shown(B.block_frames_table(B.apply_stateful(_blocks(spark, sf_dir), factory)))
+
+
 def silent_blocks(spark, sf_dir):
     """Pieces far apart: every block of the timeline is there, with silence where nothing sounds."""
     placed = table(spark, sf_dir, "embeddings").select(
@@ -365,6 +378,7 @@ QUERIES = {
     "mix_blocks": mix_blocks,
     "silent_blocks": silent_blocks,
     "custom_stage": custom_stage,
+    "stateful_stage": stateful_stage,
     "preset_route": preset_route,
     "wav_pcm": wav_pcm,
     "wav_float": wav_float,
@@ -651,6 +665,13 @@ o AS (
   SELECT clip_id, frame, (l * 0.5::DOUBLE + coalesce(lag(l, 3) OVER w, 0) * 0.25::DOUBLE)::FLOAT AS l,
          (r * 0.5::DOUBLE + coalesce(lag(r, 3) OVER w, 0) * 0.25::DOUBLE)::FLOAT AS r
   FROM st WINDOW w AS (PARTITION BY clip_id ORDER BY frame)) {_sql_shown()}""",
+    "stateful_stage": f"""WITH {_STEREO},
+p AS (
+  SELECT *, max(greatest(abs(l::DOUBLE), abs(r::DOUBLE))) OVER (PARTITION BY clip_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS m
+  FROM st),
+o AS (
+  SELECT clip_id, frame, (CASE WHEN m > 0 THEN l::DOUBLE / m ELSE 0 END)::FLOAT AS l,
+         (CASE WHEN m > 0 THEN r::DOUBLE / m ELSE 0 END)::FLOAT AS r FROM p) {_sql_shown()}""",
     "noise_bed": _NOISY,
     "block_noise": _NOISY,
     "silent_blocks": """

@@ -153,6 +153,23 @@ def test_custom_stage(clips):
     assert np.allclose(_whole(made)[2], -np.stack(_signal(2)))
 
 
+@pytest.mark.parametrize("size", [130, 700, N])
+def test_stage_with_a_memory_equals_its_whole_clip(clips, size):
+    def factory():
+        def leaky(x, state):
+            state, made = np.zeros(2) if state is None else state, np.empty_like(x)
+            for i in range(x.shape[1]):
+                made[:, i] = state = 0.9 * state + x[:, i]
+            return made, state
+
+        return leaky
+
+    done = _whole(B.apply_stateful(_blocks(clips, size), factory))
+    for clip in range(3):
+        want, _ = factory()(np.stack(_signal(clip)).astype(np.float64), None)
+        assert np.array_equal(done[clip], want.astype(np.float32))
+
+
 def test_presets_lose_no_clip(spark):
     """Aliases and spellings are known, none passes, the rest is named: every clip is in one of the two tables."""
     names = ["narrator1", " NARRATOR ", None, "none", "", "moon", "indoor1"]
