@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
-from cuesheet.operators.scans import attach, global_position, salt
+from cuesheet.operators.scans import attach, chunk_of, global_position, salt
 from cuesheet.session import stored
 
 BATCH_SIZE = 10
 LANES = 4
+GRID = 65_536
+VERSION = 1
 
 
 def digest(rows: DataFrame, keys: Sequence[str], *content: Column, name: str = "digest") -> DataFrame:
@@ -37,14 +41,59 @@ def digest(rows: DataFrame, keys: Sequence[str], *content: Column, name: str = "
     return sums.select(*keys, "n_rows", F.sha2(joined, 256).alias(name))
 
 
+def audio_digests(blocks: DataFrame, grid: int = GRID) -> DataFrame:
+    """Digest of each clip's samples, whatever blocks it comes in: (clip_id, frames, channels, audio).
+
+    Blocks are cut at a fixed grid of frames, a cell's samples are hashed as float32 in the order of frames, and the
+    cells' hashes are added up by ``digest``. A task holds a cell, so a clip may have any length. ``r`` is null for mono.
+    Clips without frames have no blocks and are left out. Not a number and both zeros count by their bits.
+    """
+    begin, end = F.col("start_frame"), F.col("start_frame") + F.size("l")
+    cut = blocks.where(F.size("l") > 0).withColumn(
+        "_cell", F.explode(F.sequence(chunk_of(begin, grid), chunk_of(end - 1, grid)))
+    )
+    low, high = F.greatest(begin, F.col("_cell") * grid), F.least(end, (F.col("_cell") + 1) * grid)
+    part = lambda name: F.slice(name, (low - begin + 1).cast("int"), (high - low).cast("int")).alias(name)
+    cells = cut.select("clip_id", "_cell", "total", low.alias("_low"), part("l"), part("r")).groupBy("clip_id", "_cell").agg(
+        F.max("total").cast("bigint").alias("frames"), F.array_sort(F.collect_list(F.struct("_low", "l", "r"))).alias("_parts")
+    )
+    whole = cells.select(
+        "clip_id", "_cell", "frames",
+        F.flatten(F.transform("_parts", lambda p: p["l"])).alias("l"), F.flatten(F.transform("_parts", lambda p: p["r"])).alias("r"),
+    )
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shas, channels = [], []
+            for l, r in zip(batch["l"], batch["r"]):
+                both = [l] if r is None else [l, r]
+                channels.append(len(both))
+                shas.append(hashlib.sha256(np.stack(both, axis=1).astype("<f4").tobytes()).hexdigest())
+            yield batch[["clip_id", "_cell", "frames"]].assign(channels=channels, _sha=shas)
+
+    id_type = blocks.schema["clip_id"].dataType.simpleString()
+    rows = whole.mapInPandas(hashed, f"clip_id {id_type}, _cell bigint, frames bigint, channels int, _sha string")
+    keys = ["clip_id", "frames", "channels"]
+    return digest(rows, keys, F.col("_cell"), F.col("_sha"), name="audio").select(*keys, "audio")
+
+
+def alignment_keys(contents: DataFrame, audio: DataFrame, rate: int, version: int = VERSION) -> DataFrame:
+    """Key of what an alignment depends on: (clip_id, key).
+
+    ``contents``: clip_id and the ``digest`` of the script's contents. ``audio``: from ``audio_digests``. The key changes with any
+    content, sample, frame count, channel count, rate and format version.
+    """
+    parts = [F.col(c).cast("string") for c in ("digest", "audio", "frames", "channels")]
+    key = F.sha2(F.concat_ws(":", *parts, F.lit(str(rate)), F.lit(str(version))), 256)
+    return contents.select("clip_id", "digest").join(audio, "clip_id").select("clip_id", key.alias("key"))
+
+
 @F.pandas_udf(StringType())
 def canonical_key(script: pd.Series, voices: pd.Series) -> pd.Series:
     """Render key of a request held in one row, equal to keys already on disk as file names.
 
     Those hash sorted, ASCII-escaped JSON, which has no built-in equivalent.
     """
-    import hashlib
-
     def key(text: str, samples) -> str:
         payload = json.dumps(
             {"normalized_script": text, "voice_samples": list(samples)}, sort_keys=True, ensure_ascii=True

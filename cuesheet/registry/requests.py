@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions import text as T
 
 from cuesheet.operators import alignment as A
+from cuesheet.operators import blocks as B
 from cuesheet.operators import dialogue as D
 from cuesheet.operators import presets as P
 from cuesheet.operators import requests as R
@@ -19,6 +20,9 @@ from cuesheet.sources import caches
 from cuesheet.sources import debug as G
 from cuesheet import settings as C
 
+AUDIO_GRID = 12
+
+
 def request_keys(spark, sf_dir):
     lines = D.normalized_lines(_contents(spark, sf_dir), KEYS)
     return R.digest(lines, KEYS, F.col("line_no"), F.col("line"), F.col("speaker_key"))
@@ -30,6 +34,14 @@ def align_keys(spark, sf_dir):
         F.lit(RATE), F.lit(2),
     )
 
+def audio_keys(spark, sf_dir):
+    """Keys over audio: stereo clips in blocks of 8 frames, hashed on a grid of 12."""
+    half = lambda rest: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.get("embedding", i * 2 + rest))
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "clip_id")
+    blocks = B.cut_blocks(vectors.select("clip_id", half(0).alias("l"), half(1).alias("r")), F.col("l"), F.col("r"), 8)
+    contents = vectors.select("clip_id", F.sha2(F.col("label").cast("string"), 256).alias("digest"))
+    return R.alignment_keys(contents, R.audio_digests(blocks, AUDIO_GRID), RATE)
+
 def request_cells(spark, sf_dir):
     """Keys of requests that are one row each, equal to the file names of an existing cache."""
     documents = table(spark, sf_dir, "documents")
@@ -249,6 +261,7 @@ QUERIES = {
     "renderer_batches": renderer_batches,
     "request_keys": request_keys,
     "align_keys": align_keys,
+    "audio_keys": audio_keys,
     "request_cells": request_cells,
     "cache_split": cache_split,
     "cache_miss": cache_miss,
@@ -279,6 +292,25 @@ h AS (SELECT {key}, sha256({text}) AS h FROM {source}),
 s AS (SELECT {key}, count(*) AS n_rows, {lanes} FROM h GROUP BY {key})
 SELECT {key}, n_rows, sha256(n_rows || ':' || {joined}) AS digest FROM s"""
 
+def _sql_audio_keys():
+    hashed, _, chosen = _sql_digest("cells", "clip_id", "cell", "sha").rpartition("SELECT ")
+    exponent = "floor(log2(abs(x)))"
+    return f"""
+WITH e AS (
+  SELECT vec_id AS clip_id, generate_subscripts(embedding, 1)::BIGINT - 1 AS i, unnest(embedding)::FLOAT::DOUBLE AS x FROM embeddings),
+b AS (
+  SELECT clip_id, i, CASE WHEN x = 0 THEN 0 ELSE (CASE WHEN x < 0 THEN 2147483648 ELSE 0 END) + ({exponent}::BIGINT + 127) * 8388608
+         + ((abs(x) / pow(2.0::DOUBLE, {exponent}) - 1) * 8388608)::BIGINT END AS v FROM e),
+cells AS (
+  SELECT clip_id, i // 2 // {AUDIO_GRID} AS cell, sha256(unhex(string_agg(lpad(to_hex(v % 256), 2, '0') || lpad(to_hex(v // 256 % 256), 2, '0')
+         || lpad(to_hex(v // 65536 % 256), 2, '0') || lpad(to_hex(v // 16777216), 2, '0'), '' ORDER BY i))) AS sha
+  FROM b GROUP BY clip_id, i // 2 // {AUDIO_GRID}),
+{hashed.strip()},
+d AS (SELECT {chosen})
+SELECT clip_id, sha256(sha256(label::VARCHAR) || ':' || digest || ':32:2:{RATE}:{R.VERSION}') AS key
+FROM d JOIN embeddings ON vec_id = clip_id"""
+
+
 _KEYED = """
 k AS (SELECT doc_id, sha256(text) AS key, n_chars FROM documents),
 cache AS (SELECT key, max(n_chars) AS frame_count FROM k WHERE key < '8' GROUP BY key)"""
@@ -325,6 +357,7 @@ SELECT n // 10 AS batch_no, n % 10 AS pos, request_id, length(text) * 3 AS frame
     "request_keys": f"WITH {sql_contents(True)}, {_NORMALIZED}, " + _sql_digest("nlines", "conv_id", "line_no", "line", "speaker_key"),
     "align_keys": f"WITH {sql_contents(True)}, "
     + _sql_digest("contents", "conv_id", "content_idx", "kind", "speaker_key", "spoken_text", "label", str(RATE), "2"),
+    "audio_keys": _sql_audio_keys(),
     "cache_split": f"""WITH {_KEYED}
 SELECT doc_id, k.key, CASE WHEN c.key IS NULL THEN 'compute' ELSE 'hit' END AS state, frame_count FROM k LEFT JOIN cache c ON c.key = k.key""",
     "cache_miss": f"WITH {_KEYED} SELECT doc_id, key FROM k WHERE key NOT IN (SELECT key FROM cache)",
