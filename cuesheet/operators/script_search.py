@@ -26,12 +26,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from cuesheet.functions import text as T
 from cuesheet.operators import alignment as A
-from cuesheet.operators.scans import chunk_of
+from cuesheet.operators.scans import attach, chunk_of
 from cuesheet.session import stored
 
 BLOCK = 262_144
 ARRAY = 8_192
 SALTS = 8
+FEW = 256
 HIT, FRONTIER = 0, 1
 LINE, RUN, PLACE = 0, 1, 2
 
@@ -52,18 +53,32 @@ def runs_of(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     return listed.select(*keys, F.col("line_no").cast("bigint").alias("line_no"), *_print(F.col("_tokens")), width.alias("_w"), head)
 
 
-def _arrays(tokens: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
-    """Word tokens in arrays of ``size``, each followed by the tokens of the next array."""
+def _needs(heads: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per script: its longest run, the widths of its heads (at most ``SHINGLE``), and the heads where they are few.
+
+    Few heads are looked up in the row, so that other shingles need not travel; many are left to the join.
+    """
+    facts = heads.groupBy(*keys).agg(
+        F.max("n").alias("_longest"), F.array_sort(F.collect_set("_w")).alias("_widths"), F.count(F.lit(1)).alias("_many")
+    )
+    few = heads.join(facts.where(F.col("_many") <= FEW).select(*keys), list(keys), "left_semi")
+    return facts.drop("_many").join(few.groupBy(*keys).agg(F.collect_set("_head").alias("_heads")), list(keys), "left")
+
+
+def _arrays(tokens: DataFrame, needs: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """Word tokens in arrays of ``size``, each followed by as many of the next array as the script's longest run can reach."""
     parts = (
         tokens.groupBy(*keys, chunk_of("pos", size).alias("_array"))
         .agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), "token"))).alias("_t"))
         .select(*keys, "_array", F.transform("_t", lambda t: t["token"]).alias("_own"))
     )
-    parts = stored(parts, "token_arrays")
-    after = parts.select(*keys, (F.col("_array") - 1).alias("_array"), F.col("_own").alias("_after"))
+    # Scripts without runs need no arrays.
+    parts = stored(attach(parts, needs, keys, F.col("_array")), "token_arrays")
+    reach = F.slice("_own", 1, (F.col("_longest") - 1).cast("int"))
+    after = parts.where("_array > 0 AND _longest > 1").select(*keys, (F.col("_array") - 1).alias("_array"), reach.alias("_after"))
     none = F.array().cast("array<string>")
     return parts.join(after, [*keys, "_array"], "left").select(
-        *keys, "_array", F.size("_own").alias("_n"), F.concat("_own", F.coalesce("_after", none)).alias("_all")
+        *keys, "_array", "_widths", "_heads", F.size("_own").alias("_n"), F.concat("_own", F.coalesce("_after", none)).alias("_all")
     )
 
 
@@ -73,24 +88,22 @@ def places(runs: DataFrame, tokens: DataFrame, keys: Sequence[str]) -> DataFrame
     ``runs`` come from ``runs_of``; ``tokens`` have ``pos`` from 0 without holes and ``token``. Some places of texts
     that only begin like a run may be among them; they have a print that no run has.
     """
-    heads = runs.where("n > 0").select(*keys, "_w", "_head", "n").distinct()
-    # At most SHINGLE numbers, and one.
-    widths = [row["_w"] for row in heads.select("_w").distinct().collect()]
+    heads = stored(runs.where("n > 0").select(*keys, "_w", "_head", "n").distinct(), "heads")
     longest = heads.agg(F.max("n")).first()[0] or 1
     size = max(ARRAY, longest)
-    arrays = stored(_arrays(tokens, keys, size), "token_arrays")
+    arrays = _arrays(tokens, _needs(heads, keys), keys, size)
 
-    def shingles(all_: Column, own: Column) -> Column:
+    def shingles(all_: Column, own: Column, widths: Column, known: Column) -> Column:
         def of_width(w: Column) -> Column:
             last = F.least(own, F.size(all_) - w + 1)
             at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-            return F.transform(
-                at, lambda i: F.struct(w.alias("_w"), i.alias("_i"), F.xxhash64(F.slice(all_, i, w)).alias("_head"))
-            )
+            each = F.transform(at, lambda i: F.struct(w.alias("_w"), i.alias("_i"), F.xxhash64(F.slice(all_, i, w)).alias("_head")))
+            return F.filter(each, lambda s: known.isNull() | F.array_contains(known, s["_head"]))
 
-        return F.flatten(F.transform(F.array(*[F.lit(w) for w in widths]).cast("array<int>"), of_width))
+        return F.flatten(F.transform(widths, of_width))
 
-    listed = arrays.select(*keys, "_array", A.let(shingles, all_=F.col("_all"), own=F.col("_n")).alias("_s"))
+    in_row = A.let(shingles, all_=F.col("_all"), own=F.col("_n"), widths=F.col("_widths"), known=F.col("_heads"))
+    listed = arrays.select(*keys, "_array", in_row.alias("_s"))
     # One run may be in a large share of the places.
     found = (
         listed.select(*keys, "_array", F.explode_outer("_s").alias("_s"))

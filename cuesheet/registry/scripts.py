@@ -78,8 +78,9 @@ def decision_rows(spark, sf_dir):
 
 
 def greedy_align_rows(spark, sf_dir):
-    _, lines, _, _, words = _scripts(spark, sf_dir)
-    hits = S.greedy_hits(lines, R.word_tokens(words, KEYS), KEYS)
+    found = whole.scripts(spark, sf_dir)
+    words = stored(A.unfold(found, KEYS, F.transform("words", lambda w: w["text"]), "pos", "token"), "words")
+    hits = S.greedy_hits(_lines(spark, sf_dir), words, KEYS)
     return hits.select("doc_id", "line_no", F.col("first").alias("first_token"), F.col("last").alias("last_token"))
 
 
