@@ -12,10 +12,10 @@ from cuesheet.operators import dialogue as D
 from cuesheet.operators import presets as P
 from cuesheet.operators import requests as R
 
-from cuesheet.registry.common import LB, RATE, sql_contents, sql_ntok, sql_strip, table
+from cuesheet.registry.common import LB, RATE, documents, sql_contents, sql_ntok, sql_strip, table
 from cuesheet.registry.dialogue import KEYS, _NORMALIZED, _contents
 
-from cuesheet.session import work_path
+from cuesheet.session import stored, work_path
 from cuesheet.sources import caches
 from cuesheet.sources import debug as G
 from cuesheet import settings as C
@@ -44,8 +44,7 @@ def audio_keys(spark, sf_dir):
 
 def request_cells(spark, sf_dir):
     """Keys of requests that are one row each, equal to the file names of an existing cache."""
-    documents = table(spark, sf_dir, "documents")
-    return documents.select(
+    return documents(spark, sf_dir).select(
         "doc_id", R.canonical_key(F.col("text"), F.array(F.concat(F.lit("voices/"), "lang", F.lit(".wav")))).alias("key")
     )
 
@@ -65,13 +64,16 @@ def cache_miss(spark, sf_dir):
     return R.cache_misses(_keyed(spark, sf_dir), _render_cache(spark, sf_dir)).select("doc_id", "key")
 
 def _position_cache(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", T.stripped_lines(F.col("text")).alias("lines"))
+    texts = documents(spark, sf_dir).select("doc_id", T.stripped_lines(F.col("text")).alias("lines"))
+    # Stored: scripts are read several times, and an inlined array would be split anew for each position.
+    lines = stored(texts, "position_lines")
     kept = F.when(F.col("doc_id") % 9 == 0, F.size("lines") - 1).otherwise(F.size("lines"))
-    positions = F.transform(
-        F.filter(F.sequence(F.lit(0), F.greatest(F.size("lines"), F.lit(0))), lambda i: i < kept), lambda i: i * F.lit(0.25)
+    positions = A.let(
+        lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: i < n), lambda i: i * F.lit(0.25)),
+        n=kept,
     )
     cached = lines.where("doc_id % 4 <> 1").select("doc_id", positions.alias("start_positions"))
-    contents = lines.select("doc_id", F.posexplode("lines").alias("idx", "line")).withColumn("idx", F.col("idx").cast("bigint"))
+    contents = A.unfold(lines, ["doc_id"], F.col("lines"), "idx", "line")
     return contents, cached
 
 def cached_positions(spark, sf_dir):
