@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions import text as T
 from cuesheet.functions.timing import clean_zero
 from cuesheet.operators import validation as V
-from cuesheet.registry.common import LB, sql_strip, table
+from cuesheet.registry.common import LB, spread, sql_strip, table
 from cuesheet.session import stored
 from cuesheet.sources import asr, documents as S
 
@@ -96,7 +96,7 @@ def _entries(spark, sf_dir):
         .when(kind == 6, F.lit(""))
         .otherwise(F.concat(F.lit("- "), name))
     )
-    maps = table(spark, sf_dir, "customer").select(
+    maps = spread(table(spark, sf_dir, "customer")).select(
         F.col("c_custkey").alias("doc_id"),
         F.lit(1).alias("node_id"),
         F.lit("element").alias("kind"),

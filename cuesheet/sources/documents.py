@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cuesheet.functions import text as T
+from cuesheet.session import stored
 
 NODE_SCHEMA = (
     "node_id int, parent_id int, ordinal int, depth int, kind string, tag string, parent_tag string, "
@@ -209,6 +210,8 @@ def speakers(entries: DataFrame) -> DataFrame:
 
 def speaker_errors(entries: DataFrame) -> DataFrame:
     """Broken speaker maps and entries: (doc_id, node_id, rule, message)."""
+    # Two kinds of errors are read from them, and maps are parsed in Python.
+    entries = stored(entries, "speaker_entries")
     # Messages.
     message = (
         F.when(F.col("problem") == "empty", "The <speaker-map> did not define any speakers")
