@@ -13,6 +13,8 @@ from pyspark.sql.types import BinaryType
 
 from cuesheet.sources.parts import SCHEMA, write_parts
 
+FRAME_SAMPLES, FRAME_ROWS = 1 << 18, 4_096  # what a frame of blocks may hold
+BLOCK_COLUMNS = ["clip_id", "block_no", "start_frame", "total", "l", "r", "rate"]
 SMALL = (1 << 32) - 1  # what a size field of the plain format holds
 
 
@@ -114,26 +116,34 @@ def write_wavs(blocks: DataFrame, folder: str, rate: int, floats: bool = False)
     write_parts(wav_parts(blocks, rate, floats), folder)
 
 
+def _file_blocks(batches: Iterator[pd.DataFrame], block_frames: int) -> Iterator[pd.DataFrame]:
+    """Blocks of files; many small ones share a frame, which costs more than a block of a few samples."""
+    rows, held = [], 0
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            layout = parse_header(content)
+            kind, width = ("<f4", 4) if layout.floats else ("<i2", 2)
+            for number, start in enumerate(range(0, layout.frames, block_frames)):
+                frames = min(block_frames, layout.frames - start)
+                cells = np.frombuffer(content, kind, frames * layout.channels, layout.start + start * layout.channels * width)
+                both = cells.reshape(-1, layout.channels).astype(np.float64) / (1.0 if layout.floats else 32767.0)
+                left, right = both[:, 0].astype(np.float32), both[:, min(1, layout.channels - 1)].astype(np.float32)
+                rows.append((path, number, start, layout.frames, left, right, layout.rate))
+                held += frames
+                if held >= FRAME_SAMPLES or len(rows) >= FRAME_ROWS:
+                    yield pd.DataFrame(rows, columns=BLOCK_COLUMNS)
+                    rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=BLOCK_COLUMNS)
+
+
 def read_wavs(spark: SparkSession, pattern: str, block_frames: int) -> DataFrame:
     """Stereo blocks of WAV files: (clip_id, block_no, start_frame, total, l, r, rate); the clip is the path.
 
-    A file is a cell of Spark's ``binaryFile``, so it may have 2 GB; blocks leave it one by one. Mono files have equal
+    A file is a cell of Spark's ``binaryFile``, so it may have 2 GB; blocks leave it a few at a time. Mono files have equal
     channels, and of more than two channels the first two are read.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                layout = parse_header(content)
-                kind, width = ("<f4", 4) if layout.floats else ("<i2", 2)
-                for number, start in enumerate(range(0, layout.frames, block_frames)):
-                    count = min(block_frames, layout.frames - start) * layout.channels
-                    cells = np.frombuffer(content, kind, count, layout.start + start * layout.channels * width)
-                    both = cells.reshape(-1, layout.channels).astype(np.float64) / (1.0 if layout.floats else 32767.0)
-                    left, right = both[:, 0].astype(np.float32), both[:, min(1, layout.channels - 1)].astype(np.float32)
-                    row = (path, number, start, layout.frames, left, right, layout.rate)
-                    yield pd.DataFrame([row], columns=["clip_id", "block_no", "start_frame", "total", "l", "r", "rate"])
-
     files = spark.read.format("binaryFile").load(pattern).select("path", "content")
     schema = "clip_id string, block_no bigint, start_frame bigint, total bigint, l array<float>, r array<float>, rate int"
-    return files.mapInPandas(cut, schema)
+    return files.mapInPandas(lambda batches: _file_blocks(batches, block_frames), schema)
