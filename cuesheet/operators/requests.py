@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StringType
 
+from cuesheet.operators import alignment as A
 from cuesheet.operators.scans import attach, chunk_of, global_position, salt
 from cuesheet.session import stored
 
@@ -18,6 +17,8 @@ BATCH_SIZE = 10
 LANES = 4
 GRID = 65_536
 VERSION = 1
+# What JSON writes with a backslash and one character; the backslash comes first.
+SHORT_ESCAPES = {"\\": "\\", '"': '"', "\b": "b", "\t": "t", "\n": "n", "\f": "f", "\r": "r"}
 
 
 def digest(rows: DataFrame, keys: Sequence[str], *content: Column, name: str = "digest") -> DataFrame:
@@ -88,19 +89,26 @@ def alignment_keys(contents: DataFrame, audio: DataFrame, rate: int, version: in
     return contents.select("clip_id", "digest").join(audio, "clip_id").select("clip_id", key.alias("key"))
 
 
-@F.pandas_udf(StringType())
-def canonical_key(script: pd.Series, voices: pd.Series) -> pd.Series:
+def _json_string(text: Column) -> Column:
+    """A JSON string with all but printable ASCII escaped, lower-case; null stays ``null``."""
+    short = text
+    for char, letter in SHORT_ESCAPES.items():
+        short = F.replace(short, F.lit(char), F.lit("\\" + letter))
+    units = lambda piece: F.regexp_replace(F.lower(F.hex(F.encode(piece, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    pieces = lambda some: F.transform(
+        F.regexp_extract_all(some, F.lit("[ -~]+|[^ -~]+"), F.lit(0)), lambda p: F.when(p.rlike("^[ -~]"), p).otherwise(units(p))
+    )
+    whole = A.let(lambda some: F.when(some.rlike("[^ -~]"), F.array_join(pieces(some), "")).otherwise(some), some=short)
+    return F.coalesce(F.concat(F.lit('"'), whole, F.lit('"')), F.lit("null"))
+
+
+def canonical_key(script: Column, voices: Column) -> Column:
     """Render key of a request held in one row, equal to keys already on disk as file names.
 
-    Those hash sorted, ASCII-escaped JSON, which has no built-in equivalent.
+    Those hash sorted, ASCII-escaped JSON.
     """
-    def key(text: str, samples) -> str:
-        payload = json.dumps(
-            {"normalized_script": text, "voice_samples": list(samples)}, sort_keys=True, ensure_ascii=True
-        )
-        return hashlib.sha256(payload.encode()).hexdigest()
-
-    return pd.Series([key(t, v) for t, v in zip(script, voices)], index=script.index)
+    samples = F.array_join(F.transform(voices, _json_string), ", ")
+    return F.sha2(F.concat(F.lit('{"normalized_script": '), _json_string(script), F.lit(', "voice_samples": ['), samples, F.lit("]}")), 256)
 
 
 def split_by_cache(requests: DataFrame, cache: DataFrame, mode: str, key: str = "key") -> DataFrame:
