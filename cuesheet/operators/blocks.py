@@ -19,6 +19,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cuesheet.operators import frames as FR
@@ -28,6 +30,7 @@ from cuesheet.operators.scans import attach, chunk_of
 BLOCK_SECONDS = 10
 DECAY = 20.0
 PAD = 9
+SUM_FRAMES = 1 << 22
 SCHEMA = "clip_id {id}, block_no bigint, start_frame bigint, total bigint, l array<float>, r array<float>"
 
 
@@ -132,35 +135,37 @@ def run_stage(blocks: DataFrame, stage: Local, block_frames: int) -> DataFrame:
     """
     kernel = stage.kernel
     id_type = blocks.schema["clip_id"].dataType.simpleString()
+    plain = ["clip_id", "block_no", "start_frame", "total"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            lead, own = batch["lead"].to_numpy(), batch["own"].to_numpy()
-            begin = batch["start_frame"].to_numpy() - lead == 0
-            length = batch["l"].map(len).to_numpy()
-            end = batch["start_frame"].to_numpy() - lead + length == batch["total"].to_numpy()
-            left, right = [None] * len(batch), [None] * len(batch)
-            shapes: dict[tuple, list[int]] = {}
-            for i in range(len(batch)):
-                shapes.setdefault((length[i], begin[i], end[i]), []).append(i)
-            for (_, at_start, at_end), members in shapes.items():
-                samples = np.stack(
-                    [np.stack([batch["l"].iat[i], batch["r"].iat[i]]) for i in members]
-                ).astype(np.float64)
+            lead, own, start, total = (batch.column(c).to_numpy() for c in ("lead", "own", "start_frame", "total"))
+            length = pc.list_value_length(batch.column("l")).to_numpy()
+            begin, end = start - lead == 0, start - lead + length == total
+            heard = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("l", "r")]
+            first = np.cumsum(length, dtype=np.int64) - length
+            ends = np.cumsum(own, dtype=np.int64)
+            made = [np.empty(int(ends[-1]), np.float32) for _ in heard]
+            shapes, member = np.unique(np.stack([length, begin, end], axis=1).astype(np.int64), axis=0, return_inverse=True)
+            member = member.reshape(-1)
+            for number, (size, at_start, at_end) in enumerate(shapes):
+                rows = np.flatnonzero(member == number)
+                frames = np.arange(size)
+                samples = np.stack([x[first[rows, None] + frames] for x in heard], axis=1).astype(np.float64)
                 done = kernel(samples, bool(at_start), bool(at_end)).astype(np.float32)
-                for place, i in enumerate(members):
-                    left[i] = done[place, 0, lead[i] : lead[i] + own[i]]
-                    right[i] = done[place, 1, lead[i] : lead[i] + own[i]]
-            out = batch[["clip_id", "block_no", "start_frame", "total"]].copy()
-            out["l"], out["r"] = left, right
-            yield out
+                kept = frames - lead[rows, None]
+                mine = (kept >= 0) & (kept < own[rows, None])
+                place = ((ends - own)[rows, None] + kept)[mine]
+                for channel, x in enumerate(made):
+                    x[place] = done[:, channel][mine]
+            cells = pa.array(np.append(0, ends).astype(np.int32))
+            sides = [pa.ListArray.from_arrays(cells, pa.array(x)) for x in made]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), *sides], [*plain, "l", "r"])
 
     haloed = with_halo(blocks, stage.before, stage.after, block_frames)
-    return haloed.select("clip_id", "block_no", "start_frame", "total", "l", "r", "lead", "own").mapInPandas(
-        run, SCHEMA.format(id=id_type)
-    )
+    return haloed.select(*plain, "l", "r", "lead", "own").mapInArrow(run, SCHEMA.format(id=id_type))
 
 
 def biquad(kind: str, cutoff_hz: float, rate: int) -> tuple[np.ndarray, np.ndarray]:
@@ -626,7 +631,8 @@ def mix_blocks(
 
     Input: keys, ``start_frame``, and the channels' arrays, equally long in a row. Pieces are cut at block edges and summed in three
     rounds: within each task's batches, per salted block, and per block, so that a moment at which a
-    third of all pieces sound does not meet in one task.
+    third of all pieces sound does not meet in one task. Until the last round a sum has just the frames from its first piece's
+    beginning to its last one's end.
     """
     size = F.size(channels[0])
     last = F.floor((F.col("start_frame") + size - 1) / block_frames)
@@ -641,54 +647,94 @@ def mix_blocks(
     pieces = cut.select(
         *keys,
         "block_no",
+        # By task: what a task says of a block goes to one place, however often it has to say it.
+        (F.spark_partition_id() % salts).alias("salt"),
         (begin - edge).cast("int").alias("at"),
-        *[cell(name).alias(name) for name in channels],
-        # Dealt in turn: pieces that start together, or that are equal, get different salts too.
-        (F.monotonically_increasing_id() % salts).cast("int").alias("salt"),
+        *[cell(name).cast("array<double>").alias(name) for name in channels],
     )
-    types = {f.name: f.dataType.simpleString() for f in placed.schema}
-    key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
     names = [*keys, "block_no", "salt"]
-    partial = f"{key_schema}, block_no bigint, salt int, at int, " + ", ".join(f"{c} array<double>" for c in channels)
 
-    def add_up(batch: pd.DataFrame, by: list[str], sums: dict[tuple, np.ndarray]) -> None:
-        for row in batch[[*by, "at", *channels]].itertuples(index=False, name=None):
-            key, at, arrays = row[: len(by)], row[len(by)], row[len(by) + 1 :]
-            total = sums.setdefault(key, np.zeros((len(channels), block_frames)))
-            for channel, samples in zip(total, arrays):
-                channel[at : at + len(samples)] += samples
+    def rounds(by: list[str], held_back: bool, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Sums of each batch; of rows that arrive sorted the last block is held back for the next batch."""
 
-    def shown(sums: dict[tuple, np.ndarray], by: list[str]) -> pd.DataFrame:
-        frame = pd.DataFrame([(*key, 0, *total) for key, total in sums.items()], columns=[*by, "at", *channels])
-        return frame if "salt" in by else frame.assign(salt=0)[[*names, "at", *channels]]
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                if held is not None:
+                    batch = pa.concat_batches([held, batch])
+                    held = None
+                for made in _block_sums(batch, by, channels, block_frames, whole):
+                    if held is not None:
+                        yield held
+                    held = made
+                if held is not None and held_back:
+                    ready, held = held.slice(0, held.num_rows - 1), held.slice(held.num_rows - 1)
+                    if ready.num_rows:
+                        yield ready
+                elif held is not None:
+                    yield held
+                    held = None
+            if held is not None:
+                yield held
 
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sums: dict[tuple, np.ndarray] = {}
-            add_up(batch, names, sums)
-            yield shown(sums, names)
+        return run
 
-    def merge(by: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        """Sums of rows that arrive sorted: only the last block is held back between batches."""
+    def summed(rows: DataFrame, by: list[str], whole: bool) -> DataFrame:
+        return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(rounds(by, True, whole), pieces.schema)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: dict[tuple, np.ndarray] = {}
-            for batch in batches:
-                if not len(batch):
-                    continue
-                add_up(batch, by, held)
-                last = next(reversed(held))
-                ready = {key: total for key, total in held.items() if key != last}
-                held = {last: held[last]}
-                if ready:
-                    yield shown(ready, by)
-            if held:
-                yield shown(held, by)
+    combined = pieces.mapInArrow(rounds(names, False, False), pieces.schema)
+    return summed(summed(combined, names, False), names[:-1], True).select(*keys, "block_no", *channels)
 
-        return run
 
-    def summed(rows: DataFrame, by: list[str]) -> DataFrame:
-        return rows.repartition(*by).sortWithinPartitions(*by).mapInPandas(merge(by), partial)
+def _block_sums(
+    batch: pa.RecordBatch, by: Sequence[str], channels: Sequence[str], block_frames: int, whole: bool
+) -> Iterator[pa.RecordBatch]:
+    """A batch's pieces, summed for each block, in the order in which blocks first come.
 
-    combined = pieces.mapInPandas(per_batch, partial)
-    return summed(summed(combined, names), names[:-1]).select(*keys, "block_no", *channels)
+    Samples stay flat arrays, without an object for each piece, and at most ``SUM_FRAMES`` of sums, or one block, are made at once.
+    """
+    if not batch.num_rows:
+        return
+    code = np.zeros(batch.num_rows, np.int64)
+    for name in by:
+        values = batch.column(name).dictionary_encode(null_encoding="encode")
+        code = code * (len(values.dictionary) + 1) + values.indices.to_numpy()
+        code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+    first = np.unique(code, return_index=True)[1]
+    turn = np.empty(len(first), np.int64)
+    turn[np.argsort(first)] = np.arange(len(first))
+    code = turn[code]
+    if (np.diff(code) < 0).any():
+        order = np.argsort(code, kind="stable")
+        batch, code = batch.take(pa.array(order)), code[order]
+    at = batch.column("at").to_numpy().astype(np.int64)
+    ends = at + pc.list_value_length(batch.column(channels[0])).to_numpy()
+    opens = np.flatnonzero(np.diff(code, prepend=-1))
+    low, high = np.minimum.reduceat(at, opens), np.maximum.reduceat(ends, opens)
+    if whole:
+        low, high = np.zeros_like(low), np.full_like(high, block_frames)
+    places = np.concatenate([[0], np.cumsum(high - low)])
+    closes = np.append(opens[1:], batch.num_rows)
+    done = 0
+    while done < len(opens):
+        upto = max(done + 1, int(np.searchsorted(places, places[done] + SUM_FRAMES, side="right")) - 1)
+        rows = slice(opens[done], closes[upto - 1])
+        part = batch.slice(rows.start, rows.stop - rows.start)
+        sizes, group = (ends - at)[rows], code[rows]
+        begin = places[group] - places[done] + at[rows] - low[group]
+        frame = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        total = places[upto] - places[done]
+        cells = pa.array((places[done : upto + 1] - places[done]).astype(np.int32))
+        heads = batch.take(pa.array(opens[done:upto]))
+        columns = []
+        for name in batch.schema.names:
+            if name in channels:
+                samples = part.column(name).flatten().to_numpy(zero_copy_only=False)
+                sums = pa.array(np.bincount(frame, samples, total))
+                columns.append(pa.ListArray.from_arrays(cells, sums).cast(batch.schema.field(name).type))
+            elif name == "at":
+                columns.append(pa.array(low[done:upto].astype(np.int32)))
+            else:
+                columns.append(heads.column(name))
+        yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        done = upto
